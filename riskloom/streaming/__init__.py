@@ -1,0 +1,5 @@
+"""No streaming operators: all work here is bounded batch input.
+
+Drift checks (``riskloom.operators.stability``) take the expected side as a
+table, so a caller can apply them to each micro-batch with ``foreachBatch``.
+"""
