@@ -6,8 +6,8 @@ only, and the exact totals of the ranges above are added as offsets:
 
 1. edges come from ``approxQuantile``; their accuracy moves balance, never results;
 2. a score that fills several ranges on its own gets a range of its own, cut
-   further by key, so mass ties spread over tasks too;
-3. totals per range are one map-side combined aggregate.
+   further by key into slots, so mass ties spread over tasks too;
+3. totals per slot are one map-side combined aggregate.
 
 Many questions need no row order at all.  "Is this row in the top k?" is a
 comparison with the k-th row (the *cut*), and finding a cut means ordering the
@@ -30,9 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_RANGES = 64
-MAX_RANGES = 4096
+SKETCH_RANGES = 1024
+MAX_RANGES = 65_536
 ROWS_PER_RANGE = 1_000_000
 BROADCAST_ROWS = 200_000
+SAMPLES_PER_RANGE = 32
+BELOW_ONE = 1.0 - 2.0 ** -20
 
 RANGE, SLOT = "__range", "__slot"
 
@@ -54,17 +57,14 @@ class Layout:
     key: str | None
     by: tuple[str, ...]
     splits: tuple[float, ...]
-    key_splits: tuple[float, ...]
+    slots: tuple[float, ...]
     hot: tuple[int, ...]
+    key_span: tuple[float, float] = (0.0, 1.0)
     measures: tuple[str, ...] = ()
     totals: list[dict] = field(default_factory=list, repr=False)
 
     # -- placing rows ---------------------------------------------------
 
-    @property
-    def n_sub(self) -> int:
-        return max(len(self.key_splits) - 1, 1)
-
     def range_table(self, spark, name: str, types: Mapping[str, str]) -> DataFrame:
         """``(by.., range, after_<name>)``: sum of a measure over all lower-scored ranges."""
         sums: dict[tuple, dict[int, int]] = defaultdict(lambda: defaultdict(int))
@@ -87,15 +87,16 @@ class Layout:
                             handleInvalid="keep").transform(df.withColumn("__score", s))
         s = F.col("__score")
         place = F.when(s.isNull() | F.isnan(s), n_ranges).otherwise(n_ranges - 1 - F.col("__bin").cast("int"))
-        placed = placed.withColumn(RANGE, place.cast("int")).drop("__score")
-        if not self.key_splits:
-            return placed.withColumn(SLOT, F.col(RANGE).cast("bigint") * self.n_sub).drop("__bin")
-        placed = (placed.withColumn("__key", F.col(self.key).cast("double")))
-        placed = Bucketizer(splits=list(self.key_splits), inputCol="__key", outputCol="__sub",
-                            handleInvalid="keep").transform(placed)
-        sub = F.when(F.col(RANGE).isin(list(self.hot)), F.col("__sub").cast("int")).otherwise(0)
-        return (placed.withColumn(SLOT, F.col(RANGE).cast("bigint") * self.n_sub + sub)
-                .drop("__bin", "__key", "__sub"))
+        placed = placed.withColumn(RANGE, place.cast("int"))
+        spot = F.col(RANGE).cast("double")
+        if self.slots:
+            low, width = self.key_span
+            inside = F.least((F.col(self.key).cast("double") - F.lit(low)) / F.lit(width), F.lit(BELOW_ONE))
+            spot = spot + F.when(F.col(RANGE).isin(list(self.hot)), inside).otherwise(0.0)
+            placed = Bucketizer(splits=list(self.slots), inputCol="__spot", outputCol="__slot_no",
+                                handleInvalid="keep").transform(placed.withColumn("__spot", spot))
+            return placed.withColumn(SLOT, F.col("__slot_no").cast("bigint")).drop("__score", "__bin", "__spot", "__slot_no")
+        return placed.withColumn(SLOT, F.col(RANGE).cast("bigint")).drop("__score", "__bin")
 
     def group_sizes(self) -> dict[tuple, dict]:
         """Row count and measure sums per ``by`` group."""
@@ -232,6 +233,43 @@ class Layout:
         return out.otherwise(F.lit(False))
 
 
+def _edges(known: DataFrame, n: int, n_ranges: int) -> list[float]:
+    """Approximate quantiles of the score, used to balance the ranges and for nothing else.
+
+    Up to about a thousand ranges a quantile sketch serves; beyond, its size per
+    task grows too far and the order of a small random sample takes over.
+    """
+    if n_ranges <= SKETCH_RANGES:
+        return known.approxQuantile("s", [i / n_ranges for i in range(1, n_ranges)], 1.0 / (4 * n_ranges))
+    share = min(1.0, n_ranges * SAMPLES_PER_RANGE / n)
+    found = np.sort(known.sample(share, 7).toArrow().column(0).to_numpy())
+    at = (np.arange(1, n_ranges) * len(found)) // n_ranges
+    return list(found[at]) if len(found) else []
+
+
+def _key_slots(df: DataFrame, score: str, key: str, heavy: Mapping[float, int], place: Mapping[float, int],
+               n_ranges: int) -> tuple[list[float], tuple[float, float]]:
+    """Slot edges when some ranges are cut further by key.
+
+    A slot position is the range number plus, in a heavy range, the key scaled to
+    [0, 1).  A score that fills c ranges' worth of rows gets c slots.
+    """
+    parts = max(heavy.values())
+    steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    k = F.col(key).cast("double")
+    rows = (df.select(F.col(score).cast("double").alias("s"), k.alias("k")).where(F.col("s").isin(list(heavy)))
+            .groupBy("s").agg(F.percentile_approx("k", steps, max(10_000, 4 * parts)).alias("q"),
+                              F.min("k").alias("lo"), F.max("k").alias("hi")).collect())
+    low, high = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
+    width = high - low + 1.0
+    edges = {float(i) for i in range(n_ranges + 1)}
+    for r in rows:
+        count = heavy[r["s"] + 0.0]
+        picks = {r["q"][(i * parts) // count - 1] for i in range(1, count)}
+        edges |= {place[r["s"] + 0.0] + min((q - low) / width, BELOW_ONE) for q in picks}
+    return [*sorted(edges), math.inf], (low, width)
+
+
 def fit_layout(df: DataFrame, score: str = "p", key: str | None = "app_id", by: Sequence[str] = (),
                measures: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE,
                min_ranges: int = MIN_RANGES) -> Layout:
@@ -243,32 +281,19 @@ def fit_layout(df: DataFrame, score: str = "p", key: str | None = "app_id", by:
     """
     n = df.count()
     n_ranges = int(min(max(min_ranges, math.ceil(n / rows_per_range)), MAX_RANGES))
-    probs = [i / n_ranges for i in range(1, n_ranges)]
     known = df.select(F.col(score).cast("double").alias("s")).where("s is not null and not isnan(s)")
-    edges = known.approxQuantile("s", probs, 1.0 / (4 * n_ranges))
     counts: dict[float, int] = defaultdict(int)
-    for e in edges:
-        counts[e + 0.0] += 1
-    inner = set(counts)
-    heavy = {e: c for e, c in counts.items() if c >= 3}
-    for e in heavy:
-        inner.add(float(np.nextafter(e, np.inf)))
-    splits = [-math.inf, *sorted(x for x in inner if not math.isinf(x)), math.inf]
-    if len(splits) < 3:
-        splits = [-math.inf, 0.0, math.inf]
-    key_splits: list[float] = []
-    hot = [len(splits) - 2 - splits.index(e) for e in heavy if not math.isinf(e)]
-    if hot and key:
-        parts = max(heavy.values())
-        steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        found = (df.where(F.col(score).cast("double").isin(list(heavy)))
-                 .groupBy(F.col(score).cast("double").alias("s"))
-                 .agg(F.percentile_approx(F.col(key).cast("double"), steps, 10_000).alias("q")).collect())
-        inner_keys = sorted({v for r in found for v in r["q"]})
-        key_splits = [-math.inf, *inner_keys, math.inf]
-        if len(key_splits) < 3:
-            key_splits = []
-    layout = Layout(score, key, tuple(by), tuple(splits), tuple(key_splits), tuple(hot), tuple(measures))
+    for e in _edges(known, n, n_ranges):
+        counts[float(e) + 0.0] += 1
+    heavy = {e: c for e, c in counts.items() if c >= 3 and not math.isinf(e)}
+    inner = {e for e in counts if not math.isinf(e)} | {float(np.nextafter(e, np.inf)) for e in heavy}
+    splits = [-math.inf, *sorted(inner), math.inf] if inner else [-math.inf, 0.0, math.inf]
+    place = {e: len(splits) - 2 - splits.index(e) for e in heavy}
+    slots: list[float] = []
+    span = (0.0, 1.0)
+    if heavy and key:
+        slots, span = _key_slots(df, score, key, heavy, place, len(splits) - 1)
+    layout = Layout(score, key, tuple(by), tuple(splits), tuple(slots), tuple(place.values()), span, tuple(measures))
     rows = (layout.slotted(df).groupBy(*by, SLOT, RANGE)
             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in measures]).collect())
     layout.totals.extend({"by": tuple(r[b] for b in by), "slot": r[SLOT], "range": r[RANGE], "n": r["n"],
@@ -364,10 +389,11 @@ def average_rank(df: DataFrame, score: str, key: str = "app_id", name: str = "av
             if r["range"] in hot:
                 first.setdefault(r["range"], r["before_n"])
                 size[r["range"]] += r["n"]
-        chain = F
-        for rng, start in first.items():
-            chain = chain.when(F.col(RANGE) == rng, F.lit(start + (size[rng] + 1) / 2.0))
-        place = chain.otherwise(place)
+        shared = df.sparkSession.createDataFrame(
+            [(rng, start + (size[rng] + 1) / 2.0) for rng, start in first.items()], f"{RANGE} int, __tied double")
+        out = out.join(F.broadcast(shared), RANGE, "left")
+        place = F.coalesce(F.col("__tied"), place)
+        return out.withColumn(name, place).drop(RANGE, SLOT, "before_n", "__tied")
     return out.withColumn(name, place).drop(RANGE, SLOT, "before_n")
 
 

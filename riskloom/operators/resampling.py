@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.verdicts import zero_band
 from riskloom.operators.evaluation import NEG, POS, auc_gini, with_classes
-from riskloom.operators.ranking import RANGE, SLOT, fit_layout, global_rank
+from riskloom.operators.ranking import BROADCAST_ROWS, RANGE, SLOT, fit_layout, global_rank
 from riskloom.operators.splitting import SEED, key_hash
 from riskloom.staging import stage
 
@@ -22,6 +22,8 @@ BOOT_ROWS_PER_RANGE = 100_000
 ROWS_PER_CELL = 4_000
 MAX_CELLS = 256
 CHUNK = 2_000
+HOT_COPIES = 100_000
+SALTS = 64
 
 # Poisson(1) distribution function, 0 .. 17 events.
 _POISSON_CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -138,17 +140,18 @@ def _pivots(df: DataFrame, by: str, key: str, vec: str, cells: dict) -> dict[obj
     return {g: np.array(v, dtype=float) for g, v in found.items()}
 
 
-def _nearest_pivot(pivots: dict[object, np.ndarray], by: str, key: str, vec: str):
+def _nearest_pivot(pivots, by: str):
+    """Add the cell (nearest pivot of the group) and the distance to it; ``pivots`` is a broadcast."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for g, part in pdf.groupby(by):
-                x, p = np.stack(part[vec]).astype(float), pivots.value[g]
+                x, p = np.stack(part["vec"]).astype(float), pivots.value[g]
                 cell, dist = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
                 for i in range(len(p)):
                     d = np.sqrt(((x - p[i]) ** 2).sum(axis=1))
                     near = d < dist
                     cell[near], dist[near] = i, d[near]
-                yield part[[by, key, vec]].assign(cell=cell.astype(np.int32), d=dist)
+                yield part.assign(cell=cell.astype(np.int32), d=dist)
     return run
 
 
@@ -174,78 +177,107 @@ def _reach(pivots: dict[object, np.ndarray], stats: dict[tuple, dict], k: int) -
     return out
 
 
-def _local_neighbours(k: int, key: str, vec: str, by: str):
+def _local_neighbours(k: int, by: str):
+    """Nearest candidates of every point of one chunk in one chunk of candidates."""
     def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = [by, key, "nn_id", "distance"]
+        cols = [by, "copy", "nn_id", "distance", "nn_vec"]
         if not len(left) or not len(right):
-            return pd.DataFrame({by: pd.Series(dtype=left[by].dtype), key: pd.Series(dtype="int64"),
-                                 "nn_id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})[cols]
-        a, b = np.stack(left[vec]).astype(float), np.stack(right[vec]).astype(float)
-        ia, ib = left[key].to_numpy(), right[key].to_numpy()
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
+        a, b = np.stack(left["vec"]).astype(float), np.stack(right["vec"]).astype(float)
+        ids = right["id"].to_numpy()
         fast = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T
-        fast[ia[:, None] == ib[None, :]] = np.inf
         slack = 1e-9 * ((a ** 2).sum(1).max() + (b ** 2).sum(1).max() + 1.0)
-        frames = []
-        for r in range(len(a)):
+        out = []
+        for r, copy in enumerate(left["copy"]):
             row = fast[r]
             kth = np.partition(row, k - 1)[k - 1] if len(row) >= k else np.inf
             # the matrix product only preselects; distances are taken again from the differences
-            near = np.flatnonzero((row <= kth + slack) & np.isfinite(row))
+            near = np.flatnonzero(row <= kth + slack)
             d = np.round(np.sqrt(((b[near] - a[r]) ** 2).sum(axis=1)), 9)
-            best = np.lexsort((ib[near], d))[:k]
-            frames.append(pd.DataFrame({by: group[0], key: ia[r], "nn_id": ib[near][best], "distance": d[best]}))
-        return pd.concat(frames)[cols]
+            for i in np.lexsort((ids[near], d))[:k]:
+                out.append((group[0], copy, ids[near[i]], d[i], b[near[i]]))
+        return pd.DataFrame(out, columns=cols)
     return run
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec: str = "embedding",
-                       by: str = "label", rows_per_cell: int = ROWS_PER_CELL, chunk: int = CHUNK) -> DataFrame:
+                       by: str = "label", rows_per_cell: int = ROWS_PER_CELL, chunk: int = CHUNK,
+                       hot_copies: int = HOT_COPIES, vectors: bool = False) -> DataFrame:
     """Exact k nearest other rows within each ``by`` group (few groups): ``(by, key, nn_rank, nn_id, distance)``.
 
-    Partition-based kNN join: rows go to the cell of their nearest pivot, and a
-    row is sent to another cell only if the triangle inequality cannot rule it
-    out there.  Cells are cut into chunks on both sides, so a hot cell becomes
-    many bounded tasks.  Equal distances are ordered by id.
+    Copies first: rows with the same vector have the same neighbours, and of one
+    set of copies only the k+1 lowest ids can ever be somebody's neighbours.  So
+    one point per distinct vector asks, and at most k+1 per distinct vector answer,
+    however often a vector occurs.
+
+    Then a partition-based kNN join: points go to the cell of their nearest pivot,
+    and a candidate is sent to another cell only if the triangle inequality cannot
+    rule it out there.  Cells are cut into chunks on both sides, so a dense cell
+    becomes many bounded tasks.  Equal distances are ordered by id.
     """
     spark = df.sparkSession
-    data = df.select(by, F.col(key).cast("bigint").alias(key), F.col(vec).cast("array<double>").alias(vec))
-    sizes = {r[by]: r["count"] for r in data.groupBy(by).count().collect()}
+    v = F.col(vec).cast("array<double>")
+    kind = df.schema[by].dataType.simpleString()
+    rows = stage(df.select(by, F.col(key).cast("bigint").alias("id"), v.alias("vec"),
+                           F.sha2(F.array_join(v, ","), 256).alias("copy")), "points")
+    w = Window.partitionBy(by, "copy").orderBy("id")
+    points = (rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1))
+    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
     cells = {g: min(max(1, math.ceil(n / rows_per_cell)), MAX_CELLS) for g, n in sizes.items()}
-    pivots = _pivots(data, by, key, vec, cells)
-    kind = data.schema[by].dataType.simpleString()
-    placed = stage(data.mapInPandas(
-        _nearest_pivot(spark.sparkContext.broadcast(pivots), by, key, vec),
-        f"`{by}` {kind}, `{key}` bigint, `{vec}` array<double>, cell int, d double"), "cells")
+    pivots = _pivots(points.where("nth = 1"), by, "id", "vec", cells)
+    shape = f"`{by}` {kind}, id bigint, vec array<double>, copy string, nth int, cell int, d double"
+    placed = stage(points.mapInPandas(_nearest_pivot(spark.sparkContext.broadcast(pivots), by), shape), "cells")
 
     w = Window.partitionBy(by, "cell").orderBy("d")
     nearest = (placed.select(by, "cell", "d").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
                .groupBy(by, "cell").agg(F.collect_list("d").alias("nearest")))
-    extent = placed.groupBy(by, "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n"))
+    extent = placed.groupBy(by, "cell").agg(F.max("d").alias("radius"), F.count_if(F.col("nth") == 1).alias("n"))
     stats = {(r[by], r["cell"]): r.asDict() for r in extent.join(nearest, [by, "cell"]).collect()}
 
-    reach = spark.createDataFrame(_reach(pivots, stats, k), f"`{by}` {kind}, cell int, target int, lb double")
-    sent = placed.join(F.broadcast(reach), [by, "cell"]).where(F.col("d") >= F.col("lb")).drop("cell", "d", "lb")
-    counts = {(r[by], r["target"]): r["n"] for r in sent.groupBy(by, "target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pairs = _reach(pivots, stats, k)
+    reach = spark.createDataFrame(pairs, f"`{by}` {kind}, cell int, target int, lb double")
+    sent = (placed.join(_small(reach, len(pairs)), [by, "cell"]).where(F.col("d") >= F.col("lb"))
+            .select(by, "target", "id", "vec"))
+    counts = sent.groupBy(by, "target").agg(F.count(F.lit(1)).alias("n")).collect()
     parts = spark.createDataFrame(
-        [(g, c, math.ceil(stats[(g, c)]["n"] / chunk), math.ceil(n / chunk)) for (g, c), n in counts.items()
-         if (g, c) in stats], f"`{by}` {kind}, target int, lparts int, rparts int")
+        [(r[by], r["target"], max(1, math.ceil(stats[(r[by], r["target"])]["n"] / chunk)), math.ceil(r["n"] / chunk))
+         for r in counts], f"`{by}` {kind}, target int, lparts int, rparts int")
 
     def chunk_no(n: str):
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
 
     def spread(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (placed.withColumnRenamed("cell", "target").join(F.broadcast(parts), [by, "target"])
-            .select(*[F.col(c).alias(c) for c in (by, "target", key, vec)],  # new attribute ids for the self cogroup
-                    chunk_no("lparts").alias("lc"), spread("rparts").alias("rc")))
-    right = (sent.join(F.broadcast(parts), [by, "target"])
-             .select(by, "target", key, vec, chunk_no("rparts").alias("rc"), spread("lparts").alias("lc")))
+    asking = (placed.where("nth = 1").withColumnRenamed("cell", "target").join(_small(parts, len(counts)), [by, "target"])
+              .select(*[F.col(c).alias(c) for c in (by, "target", "copy", "vec")],  # new attribute ids for the self cogroup
+                      chunk_no("lparts").alias("lc"), spread("rparts").alias("rc")))
+    answering = (sent.join(_small(parts, len(counts)), [by, "target"])
+                 .select(by, "target", "id", "vec", chunk_no("rparts").alias("rc"), spread("lparts").alias("lc")))
     groups = [by, "target", "lc", "rc"]
-    local = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(
-        _local_neighbours(k, key, vec, by), f"`{by}` {kind}, `{key}` bigint, nn_id bigint, distance double")
-    best = Window.partitionBy(by, key).orderBy("distance", "nn_id")
-    return (local.withColumn("nn_rank", F.row_number().over(best)).where(F.col("nn_rank") <= k)
-            .select(by, key, "nn_rank", "nn_id", "distance"))
+    local = asking.groupBy(*groups).cogroup(answering.groupBy(*groups)).applyInPandas(
+        _local_neighbours(k + 1, by), f"`{by}` {kind}, copy string, nn_id bigint, distance double, nn_vec array<double>")
+    best = Window.partitionBy(by, "copy").orderBy("distance", "nn_id")
+    per_copy = (local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+                .groupBy(by, "copy").agg(F.sort_array(F.collect_list(F.struct(
+                    "distance", "nn_id", *(["nn_vec"] if vectors else [])))).alias("near")))
+
+    # back to the rows; vectors with very many copies are salted
+    hot = [r["copy"] for r in rows.groupBy(by, "copy").count().where(F.col("count") >= hot_copies).select("copy").distinct().collect()]
+    salt, salts = F.lit(0), F.lit(1)
+    if hot:
+        is_hot = F.col("copy").isin(hot)
+        salt = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+        salts = F.when(is_hot, F.lit(SALTS)).otherwise(1)
+    lists = per_copy.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    own = rows.select(by, "id", "copy", salt.alias("salt"))
+    others = F.slice(F.filter("near", lambda t: t["nn_id"] != F.col("id")), 1, k)
+    return (own.join(lists, [by, "copy", "salt"]).select(by, F.col("id").alias(key), F.posexplode(others).alias("i", "t"))
+            .select(by, key, (F.col("i") + 1).alias("nn_rank"), F.col("t.nn_id").alias("nn_id"),
+                    F.col("t.distance").alias("distance"), *([F.col("t.nn_vec").alias("nn_vec")] if vectors else [])))
 
 
 def synthetic_minority(minority: DataFrame, n_new: int, k: int = NEIGHBOURS, seed: int | str = SEED,
@@ -262,13 +294,12 @@ def synthetic_minority(minority: DataFrame, n_new: int, k: int = NEIGHBOURS, see
     if n < 2:
         raise ValueError("interpolation needs at least two minority rows")
     k = min(k, n - 1)
-    nn = nearest_neighbours(rows.withColumn("g", F.lit(0)), k, "id", "x", "g").select(
-        F.col("id").alias("base_id"), "nn_rank", "nn_id")
+    nn = nearest_neighbours(rows.withColumn("g", F.lit(0)), k, "id", "x", "g", vectors=True).select(
+        F.col("id").alias("base_id"), "nn_rank", "nn_id", F.col("nn_vec").alias("nx"))
     index = (global_rank(rows.select("id", F.col("id").cast("double").alias("s")), "s", "id")
              .select(F.col("id").alias("base_id"), (F.col("rank") - 1).alias("idx")))
     edges = (nn.join(index, "base_id")
-             .join(rows.select(F.col("id").alias("base_id"), F.col("x").alias("bx")), "base_id")
-             .join(rows.select(F.col("id").alias("nn_id"), F.col("x").alias("nx")), "nn_id"))
+             .join(rows.select(F.col("id").alias("base_id"), F.col("x").alias("bx")), "base_id"))
 
     def draw(tag: str):
         return F.xxhash64(F.lit(f"{seed}|{tag}"), F.col("synthetic_id"))
