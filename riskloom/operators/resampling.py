@@ -275,7 +275,8 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     lists = per_copy.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     own = rows.select(by, "id", "copy", salt.alias("salt"))
     others = F.slice(F.filter("near", lambda t: t["nn_id"] != F.col("id")), 1, k)
-    return (own.join(lists, [by, "copy", "salt"]).select(by, F.col("id").alias(key), F.posexplode(others).alias("i", "t"))
+    return (own.join(lists, [by, "copy", "salt"]).withColumn("near", others)
+            .select(by, F.col("id").alias(key), F.posexplode("near").alias("i", "t"))
             .select(by, key, (F.col("i") + 1).alias("nn_rank"), F.col("t.nn_id").alias("nn_id"),
                     F.col("t.distance").alias("distance"), *([F.col("t.nn_vec").alias("nn_vec")] if vectors else [])))
 
