@@ -67,6 +67,8 @@ def hash_cuts(df: DataFrame, strata: str, key: str, seed: int | str,
 def proportional_quotas(sizes: Mapping[object, int], take: int) -> dict[object, int]:
     """``take`` rows shared over strata by size: floor, then largest remainder (ties: smaller stratum label first)."""
     total = sum(sizes.values())
+    if not total:
+        return {s: 0 for s in sizes}
     exact = {s: n * take / total for s, n in sizes.items()}
     out = {s: math.floor(v) for s, v in exact.items()}
     order = sorted(sizes, key=lambda s: (-(exact[s] - out[s]), str(s)))

@@ -625,7 +625,7 @@ def category_union(spark, d):
 
 
 def _train(spark, d):
-    return stage(with_piles(spark, d).where("pile = 'train'"), "train")
+    return _piles(spark, d)[0]
 
 
 @register
@@ -662,7 +662,7 @@ def knn_pairs(spark, d):
 
 
 def _piles(spark, d):
-    df = stage(with_piles(spark, d), "piles")
+    df = stage(with_piles(spark, d), "piles", ["pile"])
     return df.where("pile = 'train'"), df.where("pile = 'val'")
 
 
@@ -682,6 +682,15 @@ def weighted_comparison(spark, d):
     return models.weighted_comparison(*_piles(spark, d), SPEC)
 
 
+@register
+def model_roundtrip(spark, d):
+    """Scores of a scorecard that was saved and loaded again."""
+    train, val = _piles(spark, d)
+    path = _fresh(spark, "card")
+    models.fit_scorecard(train, SPEC).save(spark, path)
+    return models.Scorecard.load(spark, path).score(val)
+
+
 @register
 def ablation(spark, d):
     return models.ablation(*_piles(spark, d), SPEC, ["dti", "purpose"])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh shared table and return a scan of it."""
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` to a fresh shared table and return a scan of it.
+
+    With ``partition_by`` a later filter on those columns reads only its folders.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/riskloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
