@@ -114,12 +114,11 @@ def bootstrap_ci(df: DataFrame, champion: str = "p", challenger: str = "p2", rep
     boot = stage(bootstrap_gini(df, [champion, challenger], replicates, seed, label, key), "replicates")
     long = (df.select(key, F.col(label).alias("y"), champion, challenger)
             .unpivot([key, "y"], [champion, challenger], "model", "p"))
-    point = auc_gini(long, "p", "y", key, ["model"]).select("model", "gini")
-    value = {m: F.max(F.when(F.col("model") == m, F.col("gini"))) for m in (champion, challenger)}
-    gap = point.agg((value[challenger] - value[champion]).alias("gini")).select(
-        F.lit(f"{challenger} - {champion}").alias("model"), "gini")
+    point = {r["model"]: r["gini"] for r in auc_gini(long, "p", "y", key, ["model"]).collect()}
+    gap = None if None in point.values() else point[challenger] - point[champion]
+    points = df.sparkSession.createDataFrame([*point.items(), (f"{challenger} - {champion}", gap)], "model string, gini double")
     ci = interval(boot.unionByName(paired_difference(boot, champion, challenger)), "gini", ["model"])
-    return (point.unionByName(gap).join(ci, "model")
+    return (points.join(ci, "model")
             .withColumn("half_width", (F.col("high") - F.col("low")) / 2)
             .withColumn("verdict", F.when(F.col("model").contains(" - "), zero_band("low"))))
 
@@ -177,10 +176,11 @@ def _reach(pivots: dict[object, np.ndarray], stats: dict[tuple, dict], k: int) -
     return out
 
 
-def _local_neighbours(k: int, by: str):
+def _local_neighbours(k: int, by: str, vectors: bool):
     """Nearest candidates of every point of one chunk in one chunk of candidates."""
+    cols = [by, "copy", "nn_id", "distance", *(["nn_vec"] if vectors else [])]
+
     def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = [by, "copy", "nn_id", "distance", "nn_vec"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
         a, b = np.stack(left["vec"]).astype(float), np.stack(right["vec"]).astype(float)
@@ -195,7 +195,7 @@ def _local_neighbours(k: int, by: str):
             near = np.flatnonzero(row <= kth + slack)
             d = np.round(np.sqrt(((b[near] - a[r]) ** 2).sum(axis=1)), 9)
             for i in np.lexsort((ids[near], d))[:k]:
-                out.append((group[0], copy, ids[near[i]], d[i], b[near[i]]))
+                out.append((group[0], copy, ids[near[i]], d[i], *([b[near[i]]] if vectors else [])))
         return pd.DataFrame(out, columns=cols)
     return run
 
@@ -225,7 +225,7 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     rows = stage(df.select(by, F.col(key).cast("bigint").alias("id"), v.alias("vec"),
                            F.sha2(F.array_join(v, ","), 256).alias("copy")), "points")
     w = Window.partitionBy(by, "copy").orderBy("id")
-    points = (rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1))
+    points = stage(rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1), "distinct-points")
     sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
     cells = {g: min(max(1, math.ceil(n / rows_per_cell)), MAX_CELLS) for g, n in sizes.items()}
     pivots = _pivots(points.where("nth = 1"), by, "id", "vec", cells)
@@ -259,7 +259,8 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
                  .select(by, "target", "id", "vec", chunk_no("rparts").alias("rc"), spread("lparts").alias("lc")))
     groups = [by, "target", "lc", "rc"]
     local = asking.groupBy(*groups).cogroup(answering.groupBy(*groups)).applyInPandas(
-        _local_neighbours(k + 1, by), f"`{by}` {kind}, copy string, nn_id bigint, distance double, nn_vec array<double>")
+        _local_neighbours(k + 1, by, vectors),
+        f"`{by}` {kind}, copy string, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
     best = Window.partitionBy(by, "copy").orderBy("distance", "nn_id")
     per_copy = (local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
                 .groupBy(by, "copy").agg(F.sort_array(F.collect_list(F.struct(

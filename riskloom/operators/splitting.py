@@ -175,10 +175,10 @@ def fixed_sample(df: DataFrame, n: int, key: str, seed: int | str = SEED) -> Dat
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     """Balanced weights n / (classes * n_class)."""
-    counts = df.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n_class"))
-    rows = counts.collect()
-    total, k = sum(r["n_class"] for r in rows), max(len(rows), 1)
-    return counts.withColumn("weight", F.lit(float(total)) / (F.lit(k) * F.col("n_class")))
+    sizes = _strata_sizes(df, label)
+    total, kind = sum(sizes.values()), df.schema[label].dataType.simpleString()
+    rows = [(y, n, total / (len(sizes) * n)) for y, n in sizes.items()]
+    return df.sparkSession.createDataFrame(rows, f"y {kind}, n_class bigint, weight double")
 
 
 def with_class_weight(df: DataFrame, label: str = "y", name: str = "weight") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.verdicts import PSI_MODERATE, psi_band
 from riskloom.operators.quantiles import exact_quantiles
+from riskloom.staging import stage
 
 FLOOR = 1e-6
 SIDE = "__expected"
@@ -61,7 +62,12 @@ def psi_categorical(both: DataFrame, columns: Sequence[str], side: str = SIDE) -
 
 
 def _psi(counts: DataFrame) -> DataFrame:
-    """PSI from ``(feature, bin, e, a)`` counts; the totals are aggregated apart and joined back by feature."""
+    """PSI from ``(feature, bin, e, a)`` counts.
+
+    The counts feed both the totals and the terms, so they are staged: the input
+    is scanned once however the two uses are planned.
+    """
+    counts = stage(counts, "psi-counts")
     totals = counts.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
     e = F.greatest(F.try_divide(F.col("e").cast("double"), F.col("te").cast("double")), F.lit(FLOOR))
     a = F.greatest(F.try_divide(F.col("a").cast("double"), F.col("ta").cast("double")), F.lit(FLOOR))

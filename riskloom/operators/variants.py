@@ -22,12 +22,13 @@ def variant_audit(df: DataFrame, variants: Mapping[str, str], baseline: str, seg
     """
     renamed = df.select(key, label, *segments, *[F.col(s).alias(n) for n, s in variants.items()])
     long = stage(renamed.unpivot([key, label, *segments], list(variants), "variant", "p"), "variants")
-    head = metric_block(long, share, "p", label, key, ["variant"])
-    caught = {r["variant"]: r["tp"] for r in head.select("variant", "tp").collect()}
+    head = metric_block(long, share, "p", label, key, ["variant"]).select("variant", "tp", "gini").collect()
+    base = next(r["tp"] for r in head if r["variant"] == baseline)
+    table = df.sparkSession.createDataFrame([(r["variant"], r["tp"], base - r["tp"], r["gini"]) for r in head],
+                                            "variant string, caught bigint, cost bigint, gini double")
     groups = segment_audit(long, segments, share, min_defaults, "p", label, key, ["variant"])
     amp = amplification(groups, ["variant"]).select("variant", "segment", "amplification", "fpr_gap_pp")
-    return (head.select("variant", F.col("tp").alias("caught"), (F.lit(caught[baseline]) - F.col("tp")).alias("cost"), "gini")
-            .join(amp, "variant", "left"))
+    return table.join(amp, "variant", "left")
 
 
 def group_fpr_change(groups: DataFrame, before: str, after: str, variant: str = "variant") -> DataFrame:
