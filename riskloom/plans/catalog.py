@@ -191,7 +191,7 @@ def math_scalars(spark, d):
         "app_id", F.abs(inc).alias("abs_inc"), F.sqrt(F.abs(inc)).alias("root"), F.ln(F.greatest(inc, F.lit(1e-6))).alias("log_floor"),
         fs.sigmoid(inc / 10000).alias("sigmoid"), fs.half_even(F.col("loan_amnt") / 1000).alias("thousands"),
         fs.safe_ratio(F.col("loan_amnt"), F.col("dti") - 100).alias("ratio"))
-    return r6(out, "root", "log_floor", "sigmoid", "ratio")
+    return r6(r6(out, "root", "log_floor", "sigmoid"), "ratio", digits=9)
 
 
 # -- policy and profiling -------------------------------------------------------

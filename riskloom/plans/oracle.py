@@ -300,7 +300,7 @@ def build() -> dict[str, str]:
         cast(fico_range_low as integer) fico_int from app""")
     q["math_scalars"] = _on("""select app_id, abs(annual_inc) abs_inc, round(sqrt(abs(annual_inc)), 6) root, round(ln(greatest(annual_inc, 1e-6)), 6) log_floor,
         round(1 / (1 + exp(-(annual_inc / 10000))), 6) sigmoid, cast(round_even(loan_amnt / 1000, 0) as bigint) thousands,
-        round(loan_amnt / nullif(dti - 100, 0), 6) ratio from app""")
+        round(loan_amnt / nullif(dti - 100, 0), 9) ratio from app""")
 
     feats = ", ".join(si.application_policy().features())
     q["policy_projection"] = _on(f"select {feats}, y from cohort")
