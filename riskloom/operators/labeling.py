@@ -14,8 +14,7 @@ from riskloom.sources.policy import FAILED_STATUSES, LABEL_CUTOFF, SENSITIVITY_C
 
 def with_dates(raw: DataFrame, issue: str = "issue_d", last_payment: str = "last_pymnt_d") -> DataFrame:
     """Add ``issue_dt``, ``last_pymnt_dt`` and ``m``, the whole months between them."""
-    return (raw.withColumn("issue_dt", parse_month(issue))
-            .withColumn("last_pymnt_dt", parse_month(last_payment))
+    return (raw.withColumns({"issue_dt": parse_month(issue), "last_pymnt_dt": parse_month(last_payment)})
             .withColumn("m", whole_months("issue_dt", "last_pymnt_dt")))
 
 

@@ -7,8 +7,11 @@ slice; ``scored`` adds two fixed formula scores for the metric operators.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskloom.functions.dates import MONTH_TEXT, month_range
 from riskloom.functions.scalars import band, regroup
@@ -28,8 +31,15 @@ DTI_BANDS = ([-1.0, 60.0, 110.0, 160.0, float("inf")], ["under 60", "60-110", "1
 SEGMENTS = ["home_ownership", "term", "employment", "income_band", "score_band", "dti_band", "purpose"]
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet scan; the schema of a table is looked up once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def applications(spark: SparkSession, sf_dir: str, months: tuple[str, str] | None = None) -> DataFrame:
@@ -37,40 +47,32 @@ def applications(spark: SparkSession, sf_dir: str, months: tuple[str, str] | Non
     orders = read_table(spark, sf_dir, "orders")
     if months:
         lo, hi = month_range(*months)
-        day = F.col("o_orderdate")
-        orders = orders.where((day >= F.lit(str(lo)).cast("timestamp_ntz"))
-                              & (day < F.date_add(F.lit(hi), 1).cast("timestamp_ntz")))
-    lines = (read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.max("l_shipdate").alias("last_ship"),
-        F.sum("l_quantity").alias("qty"),
-        F.count(F.lit(1)).alias("n_lines"),
-        F.max(F.when(F.col("l_returnflag") == "R", F.col("l_discount"))).alias("disc_r")))
-    customer = read_table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    joined = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-              .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left"))
-    key, nation = F.col("o_orderkey"), F.col("c_nationkey")
-    return joined.select(
-        key.alias("app_id"),
-        F.date_format("o_orderdate", MONTH_TEXT).alias("issue_d"),
-        F.date_format("last_ship", MONTH_TEXT).alias("last_pymnt_d"),
-        F.date_format(F.add_months(F.coalesce("last_ship", "o_orderdate").cast("date"), (key % 5).cast("int")),
-                      MONTH_TEXT).alias("last_credit_pull_d"),
-        F.when(F.col("o_orderstatus") == "F", "Charged Off")
-         .when(F.col("o_orderstatus") == "P", "Late (31-120 days)")
-         .otherwise("Current").alias("loan_status"),
-        F.col("o_totalprice").alias("loan_amnt"),
-        F.col("c_acctbal").alias("annual_inc"),
-        F.col("qty").alias("dti"),
-        F.col("disc_r"),
-        (F.lit(600.0) + (F.col("o_custkey") * 37) % 250).alias("fico_range_low"),
-        F.col("c_mktsegment").alias("home_ownership"),
-        F.col("o_orderpriority").alias("purpose"),
-        F.when(F.col("n_lines") >= 4, "60 months").otherwise("36 months").alias("term"),
-        F.when(nation == 1, "< 1 year").when(nation == 2, "1 year")
-         .when(nation.between(3, 10), F.concat((nation - 1).cast("string"), F.lit(" years")))
-         .when(nation > 10, "10+ years").alias("emp_length"),
-        (((key * 7919) % 1000).cast("double") / 1000).alias("u"))
+        orders = orders.where(f"o_orderdate >= timestamp_ntz'{lo}' and o_orderdate < timestamp_ntz'{hi + timedelta(days=1)}'")
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.expr("max(l_shipdate)").alias("last_ship"), F.expr("sum(l_quantity)").alias("qty"),
+        F.expr("count(1)").alias("n_lines"), F.expr("max(case when l_returnflag = 'R' then l_discount end)").alias("disc_r"))
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    joined = (orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+              .join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left"))
+    return joined.selectExpr(
+        "o_orderkey as app_id",
+        f"date_format(o_orderdate, '{MONTH_TEXT}') as issue_d",
+        f"date_format(last_ship, '{MONTH_TEXT}') as last_pymnt_d",
+        f"date_format(add_months(cast(coalesce(last_ship, o_orderdate) as date), cast(o_orderkey % 5 as int)), '{MONTH_TEXT}') "
+        "as last_credit_pull_d",
+        "case o_orderstatus when 'F' then 'Charged Off' when 'P' then 'Late (31-120 days)' else 'Current' end as loan_status",
+        "o_totalprice as loan_amnt",
+        "c_acctbal as annual_inc",
+        "qty as dti",
+        "disc_r",
+        "600D + (o_custkey * 37) % 250 as fico_range_low",
+        "c_mktsegment as home_ownership",
+        "o_orderpriority as purpose",
+        "case when n_lines >= 4 then '60 months' else '36 months' end as term",
+        "case when c_nationkey = 1 then '< 1 year' when c_nationkey = 2 then '1 year' "
+        "when c_nationkey between 3 and 10 then concat(c_nationkey - 1, ' years') "
+        "when c_nationkey > 10 then '10+ years' end as emp_length",
+        "cast((o_orderkey * 7919) % 1000 as double) / 1000 as u")
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,16 +85,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The formula uses the label on purpose: it only has to exercise the metrics.
     """
-    u = F.col("u")
-    secured = F.col("home_ownership").isin("BUILDING", "MACHINERY").cast("int")
-    p = F.round(0.5 * u + 0.5 * secured * u + 0.2 * F.col("y") * u, 6)
-    return (cohort(spark, sf_dir)
-            .withColumn("p", p)
-            .withColumn("p2", F.round(0.7 * F.col("p") + 0.3 * u, 6))
-            .withColumn("employment", regroup("emp_length", EMP_GROUPS, "4-9 years"))
-            .withColumn("income_band", band("annual_inc", *INCOME_BANDS))
-            .withColumn("score_band", band("fico_range_low", *SCORE_BANDS))
-            .withColumn("dti_band", band("dti", *DTI_BANDS)))
+    return cohort(spark, sf_dir).withColumns({
+        "p": F.expr("round(0.5D * u + 0.5D * cast(home_ownership in ('BUILDING', 'MACHINERY') as int) * u + 0.2D * y * u, 6)"),
+        "employment": regroup("emp_length", EMP_GROUPS, "4-9 years"),
+        "income_band": band("annual_inc", *INCOME_BANDS),
+        "score_band": band("fico_range_low", *SCORE_BANDS),
+        "dti_band": band("dti", *DTI_BANDS),
+    }).withColumn("p2", F.expr("round(0.7D * p + 0.3D * u, 6)"))
 
 
 def application_policy() -> ColumnPolicy:
