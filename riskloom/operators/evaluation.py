@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import safe_ratio
-from riskloom.operators.ranking import (RANGE, SLOT, Layout, capacity_cuts, cumulative_shares, fit_layout, half_even_k,
-                                        with_decile)
+from riskloom.operators.ranking import (RANGE, SLOT, Layout, capacity_cuts, cumulative_shares, fit_layout,
+                                        sized_broadcast, with_decile)
 from riskloom.sources.policy import REVIEW_CAPACITY
 
 CURVE_SHARES = (0.01, 0.05, 0.10, 0.20, 0.50, 1.00)
@@ -75,7 +75,7 @@ def _auc(df: DataFrame, layout: Layout, by: Sequence[str]) -> DataFrame:
          .rowsBetween(Window.unboundedPreceding, -1))
     table = layout.range_table(df.sparkSession, NEG, _types(df))
     below = F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col(f"after_{NEG}")
-    pairs = (ties.join(F.broadcast(table), [*by, RANGE])
+    pairs = (ties.join(table, [*by, RANGE])
              .withColumn("conc", F.col("pos") * (below + F.col("neg") / 2.0)))
     auc = F.try_divide(F.sum("conc"), F.sum("pos").cast("double") * F.sum("neg").cast("double"))
     return pairs.groupBy(*by).agg(auc.alias("auc")).withColumn("gini", 2 * F.col("auc") - 1)
@@ -115,7 +115,7 @@ def _ks(df: DataFrame, layout: Layout, by: Sequence[str]) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = ((F.sum(POS).over(run) + F.col("bp")).cast("double") / F.col("tp")
            - (F.sum(NEG).over(run) + F.col("bg")).cast("double") / F.col("tn"))
-    inside = (layout.slotted(df).join(F.broadcast(table), [*by, SLOT])
+    inside = (layout.slotted(df).join(sized_broadcast(table, len(rows)), [*by, SLOT])
               .select(*by, gap.alias("gap"), (F.row_number().over(w) + F.col("bn")).alias("rank"),
                       (F.col("tp") + F.col("tn")).alias("size")))
     top = inside.groupBy(*by).agg(F.max(F.struct(F.col("gap"), -F.col("rank"), F.col("size"))).alias("top"))
@@ -168,8 +168,8 @@ def roc_points(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
     ties = layout.slotted(df).groupBy(RANGE, score).agg(F.sum(POS).alias("pos"), F.sum(NEG).alias("neg"))
     w = Window.partitionBy(RANGE).orderBy(F.asc_nulls_first(score)).rowsBetween(Window.unboundedPreceding, -1)
     spark, types = df.sparkSession, _types(df)
-    out = (ties.join(F.broadcast(layout.range_table(spark, POS, types)), RANGE)
-           .join(F.broadcast(layout.range_table(spark, NEG, types)), RANGE))
+    out = (ties.join(layout.range_table(spark, POS, types), RANGE)
+           .join(layout.range_table(spark, NEG, types), RANGE))
     P, N = float(sizes[POS]), float(sizes[NEG])
     tp = F.lit(P) - F.col(f"after_{POS}") - F.coalesce(F.sum("pos").over(w), F.lit(0))
     fp = F.lit(N) - F.col(f"after_{NEG}") - F.coalesce(F.sum("neg").over(w), F.lit(0))

@@ -40,6 +40,11 @@ BELOW_ONE = 1.0 - 2.0 ** -20
 RANGE, SLOT = "__range", "__slot"
 
 
+def sized_broadcast(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a driver-made table of known size; a larger one is joined by shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
 @dataclass(frozen=True)
 class Cut:
     """The k-th row of a group in rank order; ``k`` = 0 selects nothing."""
@@ -77,7 +82,7 @@ class Layout:
                 data.append((*group, rng, float(acc)))
                 acc += per_range[rng]
         schema = ", ".join([*[f"`{b}` {types[b]}" for b in self.by], f"{RANGE} int", f"after_{name} double"])
-        return spark.createDataFrame(data, schema)
+        return sized_broadcast(spark.createDataFrame(data, schema), len(data))
 
     def slotted(self, df: DataFrame) -> DataFrame:
         """Add the range and slot of each row; smaller slot = higher score."""
@@ -130,8 +135,7 @@ class Layout:
                  *["bigint" if all(isinstance(r[f"before_{n}"], int) for r in rows) else "double" for n in names]]
         data = [(*r["by"], r["slot"], *[r[f"before_{n}"] for n in names]) for r in rows]
         table = spark.createDataFrame(data, ", ".join(f"`{c}` {k}" for c, k in zip(cols, kinds)))
-        small = F.broadcast(table) if len(data) <= BROADCAST_ROWS else table
-        return slotted.join(small, [*self.by, SLOT])
+        return slotted.join(sized_broadcast(table, len(data)), [*self.by, SLOT])
 
     # -- order inside slots ---------------------------------------------
 
@@ -185,7 +189,7 @@ class Layout:
             schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", __at array<bigint>"
             targets = spark.createDataFrame([(*g, sorted(v)) for g, v in wanted.items()], schema)
             keep = [self.score] + ([self.key] if self.key else [])
-            rows = (slotted.select(*cols, *keep).join(F.broadcast(targets), cols)
+            rows = (slotted.select(*cols, *keep).join(sized_broadcast(targets, len(wanted)), cols)
                     .withColumn("__rn", F.row_number().over(self.window()).cast("bigint"))
                     .where(F.array_contains("__at", F.col("__rn"))).collect())
             for r in rows:
@@ -391,7 +395,7 @@ def average_rank(df: DataFrame, score: str, key: str = "app_id", name: str = "av
                 size[r["range"]] += r["n"]
         shared = df.sparkSession.createDataFrame(
             [(rng, start + (size[rng] + 1) / 2.0) for rng, start in first.items()], f"{RANGE} int, __tied double")
-        out = out.join(F.broadcast(shared), RANGE, "left")
+        out = out.join(sized_broadcast(shared, len(first)), RANGE, "left")
         place = F.coalesce(F.col("__tied"), place)
         return out.withColumn(name, place).drop(RANGE, SLOT, "before_n", "__tied")
     return out.withColumn(name, place).drop(RANGE, SLOT, "before_n")

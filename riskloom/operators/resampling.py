@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.verdicts import zero_band
-from riskloom.operators.evaluation import NEG, POS, auc_gini, with_classes
-from riskloom.operators.ranking import BROADCAST_ROWS, RANGE, SLOT, fit_layout, global_rank
+from riskloom.operators.evaluation import POS, with_classes
+from riskloom.operators.ranking import RANGE, SLOT, fit_layout, global_rank, sized_broadcast
 from riskloom.operators.splitting import SEED, key_hash
 from riskloom.staging import stage
 
 REPLICATES = 1000
+POINT = -1
 NEIGHBOURS = 5
 BOOT_ROWS_PER_RANGE = 100_000
 ROWS_PER_CELL = 4_000
@@ -43,7 +44,7 @@ def poisson_weights(keys: np.ndarray, first: int, last: int, seed: int) -> np.nd
 
 
 def bootstrap_gini(df: DataFrame, scores: Sequence[str], replicates: int = REPLICATES, seed: int = SEED,
-                   label: str = "y", key: str = "app_id", unit_weights: bool = False,
+                   label: str = "y", key: str = "app_id", point: bool = False,
                    rows_per_range: int = BOOT_ROWS_PER_RANGE) -> DataFrame:
     """Gini per score and replicate: ``(model, replicate, gini)``.
 
@@ -51,7 +52,8 @@ def bootstrap_gini(df: DataFrame, scores: Sequence[str], replicates: int = REPLI
     tallied once for all replicates (positive weight, negative weight,
     concordant weight inside), and the tallies are combined: no row is copied per
     replicate.  Weights hash the key, so all scores see the same resample.
-    Replicates without both classes are left out.
+    Replicates without both classes are left out.  With ``point`` the same pass also
+    tallies the rows as they are, as replicate ``POINT``.
     """
     long = with_classes(df.select(key, F.col(label).alias("y"), *scores)
                         .unpivot([key, "y"], list(scores), "model", "p"), "y").drop("y")
@@ -65,16 +67,18 @@ def bootstrap_gini(df: DataFrame, scores: Sequence[str], replicates: int = REPLI
         keys, p = pdf[key].to_numpy(), pdf["p"].to_numpy()
         starts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
         step = max(1, 2_000_000 // max(len(pdf), 1))
-        parts = []
-        for b0 in range(0, replicates, step):
-            b1 = min(b0 + step, replicates)
-            w = np.ones((len(pdf), b1 - b0)) if unit_weights else poisson_weights(keys, b0, b1, seed)
+
+        def tallied(first: int, last: int, w: np.ndarray) -> pd.DataFrame:
             wp = np.add.reduceat(w * pos[:, None], starts, axis=0)
             wn = np.add.reduceat(w * (1 - pos)[:, None], starts, axis=0)
             below = np.cumsum(wn, axis=0) - wn
-            parts.append(pd.DataFrame({
-                "model": model, RANGE: rng, "replicate": np.arange(b0, b1), "wp": wp.sum(axis=0), "wn": wn.sum(axis=0),
-                "conc": (wp * (below + wn / 2)).sum(axis=0)}))
+            return pd.DataFrame({
+                "model": model, RANGE: rng, "replicate": np.arange(first, last), "wp": wp.sum(axis=0), "wn": wn.sum(axis=0),
+                "conc": (wp * (below + wn / 2)).sum(axis=0)})
+        parts = [tallied(POINT, 0, np.ones((len(pdf), 1)))] if point else []
+        for b0 in range(0, replicates, step):
+            b1 = min(b0 + step, replicates)
+            parts.append(tallied(b0, b1, poisson_weights(keys, b0, b1, seed)))
         return pd.concat(parts)
 
     tallies = (layout.slotted(long).select("model", RANGE, SLOT, key, POS, "p")
@@ -111,13 +115,10 @@ def paired_difference(replicates: DataFrame, champion: str, challenger: str) ->
 def bootstrap_ci(df: DataFrame, champion: str = "p", challenger: str = "p2", replicates: int = REPLICATES,
                  seed: int = SEED, label: str = "y", key: str = "app_id") -> DataFrame:
     """Point Gini and 95% interval of two scores and of their paired difference."""
-    boot = stage(bootstrap_gini(df, [champion, challenger], replicates, seed, label, key), "replicates")
-    long = (df.select(key, F.col(label).alias("y"), champion, challenger)
-            .unpivot([key, "y"], [champion, challenger], "model", "p"))
-    point = {r["model"]: r["gini"] for r in auc_gini(long, "p", "y", key, ["model"]).collect()}
-    gap = None if None in point.values() else point[challenger] - point[champion]
-    points = df.sparkSession.createDataFrame([*point.items(), (f"{challenger} - {champion}", gap)], "model string, gini double")
-    ci = interval(boot.unionByName(paired_difference(boot, champion, challenger)), "gini", ["model"])
+    boot = stage(bootstrap_gini(df, [champion, challenger], replicates, seed, label, key, point=True), "replicates")
+    both = boot.unionByName(paired_difference(boot, champion, challenger))
+    points = both.where(F.col("replicate") == POINT).select("model", "gini")
+    ci = interval(both.where(F.col("replicate") != POINT), "gini", ["model"])
     return (points.join(ci, "model")
             .withColumn("half_width", (F.col("high") - F.col("low")) / 2)
             .withColumn("verdict", F.when(F.col("model").contains(" - "), zero_band("low"))))
@@ -200,10 +201,6 @@ def _local_neighbours(k: int, by: str, vectors: bool):
     return run
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec: str = "embedding",
                        by: str = "label", rows_per_cell: int = ROWS_PER_CELL, chunk: int = CHUNK,
                        hot_copies: int = HOT_COPIES, vectors: bool = False) -> DataFrame:
@@ -240,7 +237,7 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
 
     pairs = _reach(pivots, stats, k)
     reach = spark.createDataFrame(pairs, f"`{by}` {kind}, cell int, target int, lb double")
-    sent = (placed.join(_small(reach, len(pairs)), [by, "cell"]).where(F.col("d") >= F.col("lb"))
+    sent = (placed.join(sized_broadcast(reach, len(pairs)), [by, "cell"]).where(F.col("d") >= F.col("lb"))
             .select(by, "target", "id", "vec"))
     counts = sent.groupBy(by, "target").agg(F.count(F.lit(1)).alias("n")).collect()
     parts = spark.createDataFrame(
@@ -252,10 +249,10 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
 
     def spread(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = (placed.where("nth = 1").withColumnRenamed("cell", "target").join(_small(parts, len(counts)), [by, "target"])
+    asking = (placed.where("nth = 1").withColumnRenamed("cell", "target").join(sized_broadcast(parts, len(counts)), [by, "target"])
               .select(*[F.col(c).alias(c) for c in (by, "target", "copy", "vec")],  # new attribute ids for the self cogroup
                       chunk_no("lparts").alias("lc"), spread("rparts").alias("rc")))
-    answering = (sent.join(_small(parts, len(counts)), [by, "target"])
+    answering = (sent.join(sized_broadcast(parts, len(counts)), [by, "target"])
                  .select(by, "target", "id", "vec", chunk_no("rparts").alias("rc"), spread("lparts").alias("lc")))
     groups = [by, "target", "lc", "rc"]
     local = asking.groupBy(*groups).cogroup(answering.groupBy(*groups)).applyInPandas(

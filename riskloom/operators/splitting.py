@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import safe_ratio
+from riskloom.operators.ranking import sized_broadcast
 
 SEED = 42
 ROWS_PER_PREFIX = 500_000
@@ -58,7 +59,7 @@ def hash_cuts(df: DataFrame, strata: str, key: str, seed: int | str,
         targets = df.sparkSession.createDataFrame([(s, p, sorted(v)) for (s, p), v in wanted.items()],
                                                   f"__s {kind}, {PREFIX} string, __at array<int>")
         w = Window.partitionBy("__s", PREFIX).orderBy(HASH)
-        rows = (hashed.join(F.broadcast(targets), ["__s", PREFIX]).withColumn("__rn", F.row_number().over(w))
+        rows = (hashed.join(sized_broadcast(targets, len(wanted)), ["__s", PREFIX]).withColumn("__rn", F.row_number().over(w))
                 .where(F.array_contains("__at", F.col("__rn"))).collect())
         found = {(r["__s"], r[PREFIX], r["__rn"]): r[HASH] for r in rows}
     return {s: [found[place[(s, q)]] if (s, q) in place else None for q in qs] for s, qs in quotas.items()}

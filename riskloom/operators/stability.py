@@ -49,7 +49,7 @@ def psi_numeric(both: DataFrame, columns: Sequence[str], bins: int = 10, side: s
             .unpivot([side], cols, "feature", "bin").where("bin is not null"))
     counts = long.groupBy("feature", "bin").agg(F.count_if(F.col(side)).alias("e"), F.count_if(~F.col(side)).alias("a"))
     grid = spark.createDataFrame([(c, b) for c in cols for b in range(len(inner[c]) + 1)], "feature string, bin int")
-    filled = (F.broadcast(grid).join(counts, ["feature", "bin"], "left")
+    filled = (grid.join(counts, ["feature", "bin"], "left")
               .select("feature", "bin", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("a", F.lit(0)).alias("a")))
     return _psi(filled)
 

@@ -18,7 +18,6 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskloom.functions.scalars import sigmoid
 from riskloom.staging import shared_dir

@@ -204,8 +204,10 @@ def policy_projection(spark, d):
 
 @register
 def policy_gaps(spark, d):
-    raw = si.applications(spark, d)
-    return policy.policy_gaps(profiling.header_table(raw), si.application_policy().table(spark))
+    """Columns without exactly one place in the policy, and how many values they hold."""
+    rates = stage(profiling.null_rates(si.applications(spark, d)), "rates")
+    gaps = policy.policy_gaps(rates.select("column"), si.application_policy().table(spark))
+    return gaps.join(rates, "column", "left").select("column", "problem", (F.col("n") - F.col("n_null")).alias("n_filled"))
 
 
 @register

@@ -304,7 +304,7 @@ def build() -> dict[str, str]:
 
     feats = ", ".join(si.application_policy().features())
     q["policy_projection"] = _on(f"select {feats}, y from cohort")
-    q["policy_gaps"] = "select 'u' \"column\", 'unclassified' problem"
+    q["policy_gaps"] = _on("select 'u' \"column\", 'unclassified' problem, count(u) n_filled from app")
     roles = [(c, "numeric") for c in ("loan_amnt", "annual_inc", "dti", "fico_range_low", "disc_r")] + \
             [(c, "categorical") for c in si.CATEGORICAL]
     q["column_roles"] = _on(" union all ".join(f"select '{c}' \"column\", '{k}' role, count(*) filter (where {c} is null) n_null from cohort" for c, k in roles)

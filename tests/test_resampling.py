@@ -9,15 +9,16 @@ from riskloom.staging import stage
 
 def test_unit_weights_give_the_plain_gini(scored):
     want = evaluation.auc_gini(scored).first()["gini"]
-    got = resampling.bootstrap_gini(scored, ["p"], 2, unit_weights=True).collect()
-    assert len(got) == 2 and all(r["gini"] == pytest.approx(want, abs=1e-12) for r in got)
+    got = resampling.bootstrap_gini(scored, ["p"], 2, point=True)
+    assert got.count() == 3
+    assert got.where(f"replicate = {resampling.POINT}").first()["gini"] == pytest.approx(want, abs=1e-12)
 
 
 def test_unit_weights_under_mass_ties(spark):
     df = stage(spark.range(6000).select(F.col("id").alias("app_id"), (F.col("id") % 11 == 0).cast("int").alias("y"),
                                         F.when(F.col("id") % 5 < 3, 0.5).otherwise((F.col("id") % 97) / 100).alias("p")), "ties")
     want = evaluation.auc_gini(df).first()["gini"]
-    assert resampling.bootstrap_gini(df, ["p"], 1, unit_weights=True).first()["gini"] == pytest.approx(want, abs=1e-12)
+    assert resampling.bootstrap_gini(df, ["p"], 0, point=True).first()["gini"] == pytest.approx(want, abs=1e-12)
 
 
 def test_replicates_do_not_depend_on_partitions(spark, scored):
