@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.ranking import fit_layout
 from riskloom.staging import stage
 
-DIRECT_VALUES = 4_000_000
+DIRECT_VALUES = 1_000_000
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

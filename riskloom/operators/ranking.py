@@ -92,7 +92,8 @@ class Layout:
                             handleInvalid="keep").transform(df.withColumn("__score", s))
         s = F.col("__score")
         place = F.when(s.isNull() | F.isnan(s), n_ranges).otherwise(n_ranges - 1 - F.col("__bin").cast("int"))
-        placed = placed.withColumn(RANGE, place.cast("int"))
+        # never NULL, and said so: joins on it then need no extra filter
+        placed = placed.withColumn(RANGE, F.coalesce(place.cast("int"), F.lit(n_ranges)))
         spot = F.col(RANGE).cast("double")
         if self.slots:
             low, width = self.key_span
@@ -100,7 +101,8 @@ class Layout:
             spot = spot + F.when(F.col(RANGE).isin(list(self.hot)), inside).otherwise(0.0)
             placed = Bucketizer(splits=list(self.slots), inputCol="__spot", outputCol="__slot_no",
                                 handleInvalid="keep").transform(placed.withColumn("__spot", spot))
-            return placed.withColumn(SLOT, F.col("__slot_no").cast("bigint")).drop("__score", "__bin", "__spot", "__slot_no")
+            number = F.coalesce(F.col("__slot_no").cast("bigint"), F.lit(len(self.slots)).cast("bigint"))
+            return placed.withColumn(SLOT, number).drop("__score", "__bin", "__spot", "__slot_no")
         return placed.withColumn(SLOT, F.col(RANGE).cast("bigint")).drop("__score", "__bin")
 
     def group_sizes(self) -> dict[tuple, dict]:
