@@ -4,4 +4,11 @@ Every operator takes DataFrames and returns a DataFrame.  Only constants reach
 the driver: bin edges, cut points, medians, coefficients, totals per range.
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Functions that run in Python workers travel with their code, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
