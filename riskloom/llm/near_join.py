@@ -14,8 +14,9 @@ From the signatures to components:
 1. Tasks sort what they have of each signature and send on one row of it (its first
    set); the others stay with that set.  So a signature that a third of all rows carry
    arrives as one row per task.
-2. In a bucket (the sets of one signature) every set is compared with the first one;
-   the comparisons are exact, on the whole sets.
+2. In a bucket (the sets of one signature) every set is compared with the first one:
+   counts of shingles per hash cell bound the difference from below and drop most of
+   those that are not similar; the others are compared exactly, on the whole sets.
 3. Buckets whose sets ended in different components are compared in blocks: the sets
    outside the bucket's main component against all that are in another one.  No link
    is lost and nothing is compared twice once connected.
@@ -39,6 +40,11 @@ from riskloom.staging import stage
 
 #: Signature rows that a map task sorts at a time.
 BUFFER = 1_000_000
+#: A band takes the fewest signatures that cover so many shingles each, among plans with at most so many signatures;
+#: bands of larger sets take one part per choice.
+LEAST_FEATURES, MOST_SIGNATURES = 6, 64
+#: Cells of the count sketch that comparisons look at first.
+CELLS = 256
 #: Sets in a block of the exact comparison inside a bucket.
 BLOCK = 256
 
@@ -46,8 +52,8 @@ BLOCK = 256
 class Scheme:
     """Bands and partitions for one similarity ``num / den``."""
 
-    def __init__(self, num: int, den: int, least_features: float = 4):
-        self.num, self.den, self.least = num, den, least_features
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
         self.lows = [1]
 
     def bands(self, size: int) -> list[int]:
@@ -68,14 +74,13 @@ class Scheme:
             self.lows.append(max(self.lows[-1] + 1, ceil(self.lows[-1] * Fraction(self.den, self.num) ** 3)))
         low, high = self.lows[band], self.lows[band + 1] - 1
         k = 2 * high * (self.den - self.num) // (self.den + self.num)
-        best = None
-        for k2, n2 in ((0, 1), (1, 3), (2, 4)):
+        mid, plans = sqrt(low * high), []
+        for k2, n2 in ((0, 1), (1, 3), (2, 4), (3, 6)):
             need = k // (k2 + 1) + 1
-            cover = low / need * (n2 - k2) / n2
-            rank = (min(cover, self.least), -need * comb(n2, k2))
-            if best is None or rank > best[0]:
-                best = rank, need, n2, k2, cover
-        _, need, n2, k2, cover = best
+            plans.append((need * comb(n2, k2), mid / need * (n2 - k2) / n2, need, n2, k2))
+        few = [p for p in plans if p[0] <= MOST_SIGNATURES]
+        sharp = [p for p in few if p[1] >= LEAST_FEATURES]
+        _, cover, need, n2, k2 = min(sharp) if sharp else max(few, key=lambda p: p[1]) if few else plans[0]
         empty = need * comb(n2, k2) * exp(-cover)
         spare = ceil(empty + 4 * sqrt(empty)) if need > 1 else 0
         return need + spare, n2, k2, spare + 1
@@ -92,7 +97,7 @@ def signatures(grams: np.ndarray, band: int, parts: tuple[int, int, int, int]) -
     choices = [list(c) for c in combinations(range(n2), n2 - k2)]
     sigs = np.stack([mix(part[:, c].sum(axis=1, dtype=np.uint64) + np.uint64(1 + i)) for i, c in enumerate(choices)])
     full = np.stack([has[:, c].any(axis=1) for c in choices])
-    sigs = mix(sigs + np.uint64(band) * np.uint64(0xA0761D6478BD642F))
+    sigs = mix(sigs + mix(np.array([band])))
     return sigs[full] if (~full).any(axis=0).sum() < sure else sigs.ravel()
 
 
@@ -117,7 +122,7 @@ def set_rows(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def node_of(grams: np.ndarray) -> int:
     """Signed 64-bit name of a set."""
-    return int(mix(mix(grams + np.uint64(0x632BE5AB)).sum(dtype=np.uint64) + np.uint64(len(grams))).astype(np.int64))
+    return int(mix(mix(grams + np.uint64(0x632BE5AB)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -223,8 +228,7 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     doc_nodes = table.where("kind = 0").select("doc_id", "node", "n")
     members = table.where("kind = 2").select("sig", "node", "n", "pivot", "pn")
     alike = F.least("n", "pn") * F.lit(den) >= F.greatest("n", "pn") * F.lit(num)
-    pairs = members.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stage(pairs, "near-pairs")
+    pairs = members.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("pn")).alias("both")).distinct()
 
     # The whole sets of those that share a bucket, made again from the texts of one document each.
     wanted = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
@@ -233,16 +237,17 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
 
     def sets_of(batches):
         for batch in batches:
-            node, n, got = [], [], []
+            node, cells, got = [], [], []
             for _, grams in set_rows(batch, shingle):
                 node.append(node_of(grams))
-                n.append(len(grams))
+                count = np.bincount((grams >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
+                cells.append(np.minimum(count, 255).astype(np.uint8).tobytes())
                 got.append(_signed(grams))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(got, pa.list_(pa.int64()))],
-                                             names=["node", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(cells, pa.binary()), pa.array(got, pa.list_(pa.int64()))],
+                                             names=["node", "cells", "grams"])
 
     wanted_texts = rows.join(readers.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    made = wanted_texts.mapInArrow(sets_of, "node long, n int, grams array<long>")
+    made = wanted_texts.mapInArrow(sets_of, "node long, cells binary, grams array<long>")
     sets = stage(made.join(readers, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -252,50 +257,73 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
         union = F.size("ga") + F.size("gb") - common
         return (candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b"))
 
+    def counts(batch, column):
+        return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+
+    def close(batches):
+        """Pairs whose cell counts differ no more than similar sets of these sizes may."""
+        for batch in batches:
+            if batch.num_rows:
+                apart = np.abs(counts(batch, "ca") - counts(batch, "cb")).sum(axis=1, dtype=np.int64)
+                may = apart * (num + den) <= batch.column("both").to_numpy() * (den - num)
+                yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    sketches = sets.select("node", "cells")
+    pairs = (pairs.join(sketches.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")
+             .join(sketches.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
+             .select("a", "b", "both", "ca", "cb").mapInArrow(close, "a long, b long"))
     links = stage(verified(pairs), "near-links")
     labels = stage(components(links, "near-labels"), "near-labels")
 
-    # Buckets whose sets are still apart: blocks of sets outside the main component against all others.
-    inside = members.select("sig", "node").union(members.select("sig", F.col("pivot").alias("node"))).distinct()
-    inside = inside.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label"))
-    apart = (inside.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-             .where("lo <> hi").select("sig", "size"))
+    # Buckets of more than two sets (a pair has been compared) that are still apart, one of those with the same sets: blocks of sets outside the main component against all others.
+    inside = members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct()
+    inside = inside.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
+    apart = (inside.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
+                                          F.bit_xor(F.xxhash64("node")).alias("same"))
+             .where("lo <> hi and size > 2").groupBy("size", "same").agg(F.min("sig").alias("sig")).select("sig", "size"))
     inside = stage(inside.join(apart, "sig"), "near-apart")
     by_label = inside.groupBy("sig", "label").agg(F.count("*").alias("m"))
     main = by_label.groupBy("sig").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
     inside = inside.join(main, "sig").select(
-        "sig", "node", "label", (F.col("label") != F.col("main")).alias("minor"),
+        "sig", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"),
         F.ceil(F.col("size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int").alias("tall"))
     spread = F.pmod(F.xxhash64("node"), F.col("wide").cast("long")).cast("int")
     row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int")
-    against = inside.select("sig", "node", "label", F.lit(False).alias("left"), spread.alias("j"),
+    against = inside.select("sig", "node", "label", "n", F.lit(False).alias("left"), spread.alias("j"),
                             F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"))
-    outsiders = inside.where("minor").select("sig", "node", "label", F.lit(True).alias("left"),
+    outsiders = inside.where("minor").select("sig", "node", "label", "n", F.lit(True).alias("left"),
                                              F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), row.alias("i"))
-    placed = against.select("sig", "i", "j", "node", "label", "left").union(outsiders.select("sig", "i", "j", "node", "label", "left"))
-
-    def compare(group):
-        left, right = group[group.left], group[~group.left]
-        out = []
-        gr = [np.asarray(g) for g in right.grams]
-        lens = np.array([len(g) for g in gr])
-        flat = np.concatenate(gr) if gr else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(gr)), lens)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        labels_r, nodes_r = right.label.to_numpy(), right.node.to_numpy()
-        for node, label, grams in zip(left.node, left.label, left.grams):
-            grams = np.sort(np.asarray(grams))
-            lo, hi = np.searchsorted(flat, grams, "left"), np.searchsorted(flat, grams, "right")
-            counts = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-            common = np.bincount(owner[at], minlength=len(gr))
-            hit = (common * den >= (len(grams) + lens - common) * num) & (labels_r != label)
-            out += [(node, x) for x in nodes_r[hit].tolist()]
-        return type(group)(out, columns=["a", "b"]).astype("int64")
-
-    more = (placed.join(sets.select("node", "grams"), "node").groupBy("sig", "i", "j").applyInPandas(compare, "a long, b long"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = against.unionByName(outsiders)
+
+    def compare(left, right):
+        """Pairs of the sets of ``left`` with close ones of ``right`` in other components; rows are (left, node, label, n, cells)."""
+        cells = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        nodes, labels_r, n_r = (np.array([r[i] for r in right]) for i in (1, 2, 3))
+        for _, node, label, n, own in left:
+            least = np.maximum(np.abs(n_r - n), np.abs(cells - np.frombuffer(own, np.uint8)).sum(axis=1, dtype=np.int64))
+            hit = (least * (num + den) <= (n_r + n) * (den - num)) & (labels_r != label)
+            yield from ((node, x) for x in nodes[hit].tolist())
+
+    def blocks(batches):
+        """Rows sorted by sig, i, j: a block against another at a time."""
+        key, left, right = None, [], []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "left", "node", "label", "n", "cells")]
+            out = []
+            for sig, i, j, is_left, node, label, n, cells in zip(*cols):
+                if (sig, i, j) != key:
+                    if left and right:
+                        out += compare(left, right)
+                    key, left, right = (sig, i, j), [], []
+                (left if is_left else right).append((is_left, node, label, n, cells))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+        if left and right and (out := list(compare(left, right))):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    more = (placed.join(sketches, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            .mapInArrow(blocks, "a long, b long"))
+    more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = stage(links.union(more).distinct(), "near-all-links")
     labels = components(links, "near-labels")
 
