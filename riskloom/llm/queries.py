@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import near_join, quality_ftrl
+from riskloom.llm import line_winnow, mixing, near_join, packing, quality_ftrl
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tree of the mixture.  The tables have no domain; sources are dealt to three by name.
+LEVELS = {"domain": F.concat(F.lit("domain"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3),
+          "lang": F.col("lang"), "source": F.col("source")}
+WEIGHTS = [F.when(F.col("mix_domain") == "domain0", 0.5).when(F.col("mix_domain") == "domain1", 0.25).otherwise(0.25),
+           F.when(F.col("mix_lang") == "en", 0.5).when(F.col("mix_lang") == "de", 0.25).otherwise(0.125),
+           F.lit(1.0)]
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, by weights of domain, language and source; up to three epochs of a leaf."""
+    taken = mixing.mix(_table(spark, sf_dir, "documents"), LEVELS, WEIGHTS, share_of_tokens=0.5, max_epochs=3)
+    return taken.select("doc_id", F.col("mix_domain").alias("domain"), F.col("mix_lang").alias("lang"),
+                        F.col("mix_source").alias("source"), F.col("epoch").cast("long").alias("epoch"), "tokens")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without later repeats of runs of 50 words and more."""
+    return line_winnow.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at Jaccard 0.9 on three-word shingles."""
     return near_join.join_components(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
@@ -22,5 +48,5 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-REGISTRY = {f.__name__: f for f in (op9_ngram_jaccard_join, op10_quality_ftrl)}
+REGISTRY = {f.__name__: f for f in (op2_mix_sources, op6_best_fit_packing, op7_line_winnowing, op9_ngram_jaccard_join, op10_quality_ftrl)}
 SQL: dict[str, str] = {}
