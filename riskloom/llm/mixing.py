@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, log2
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.staging import stage
@@ -42,15 +42,15 @@ def share(children: DataFrame, parent: Sequence[str], own: str) -> DataFrame:
     return ranked.withColumn("budget", budget).drop("ratio", "before", "rest", "level", "first_open")
 
 
-def tree_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Column], budget: float, max_epochs: int) -> DataFrame:
+def tree_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[str], budget: float, max_epochs: int) -> DataFrame:
     """Leaves (``levels``, ``tokens``) with their ``budget`` in whole tokens.
 
-    ``weights`` has a column expression for each level over the level columns down to it;
+    ``weights`` has a SQL expression for each level over the level columns down to it;
     nodes whose weight is missing or not above 0 get nothing.
     """
     paths = [list(levels[:i + 1]) for i in range(len(levels))]
     weighted = [f"_w{i}" for i in range(len(levels))]
-    known = leaves.withColumns({w: F.greatest(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0)) for w, c in zip(weighted, weights)})
+    known = leaves.withColumns({w: F.greatest(F.coalesce(F.expr(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for w, c in zip(weighted, weights)})
     alive = F.lit(True)
     for w in weighted:
         alive = alive & (F.col(w) > 0)
@@ -64,11 +64,11 @@ def tree_budgets(leaves: DataFrame, levels: Sequence[str], weights: Sequence[Col
     return leaves.join(given.select(*levels, F.floor(F.col("budget") + 1e-6).cast("long").alias("budget")), list(levels))
 
 
-def mix(docs: DataFrame, levels: dict[str, Column], weights: Sequence[Column], share_of_tokens: float = 0.5,
+def mix(docs: DataFrame, levels: dict[str, str], weights: Sequence[str], share_of_tokens: float = 0.5,
         max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """Rows of ``docs`` that the mixture takes, with ``epoch``, ``tokens`` and the level columns (prefix ``mix_``).
 
-    ``levels`` maps a name to its column, from the root down; ``weights`` are over the
+    ``levels`` maps a name to its SQL expression, from the root down; ``weights`` are over the
     names with the prefix.  The budget is ``share_of_tokens`` of all tokens (words).  A
     document comes once per epoch that takes it; documents are never cut, a prefix ends
     before the one that would pass the budget.  Missing level values are a group of their
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weights: Sequence[Column], s
     """
     names = [f"mix_{x}" for x in levels]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    base = docs.withColumns({f"mix_{x}": F.coalesce(c.cast("string"), F.lit("")) for x, c in levels.items()} | {
+    base = docs.withColumns({f"mix_{x}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for x, c in levels.items()} | {
         "tokens": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")})
     narrow = base.select(*names, "tokens", key.alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"))
     leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))

@@ -14,11 +14,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: The tree of the mixture.  The tables have no domain; sources are dealt to three by name.
-LEVELS = {"domain": F.concat(F.lit("domain"), F.crc32(F.coalesce("source", F.lit("")).cast("binary")) % 3),
-          "lang": F.col("lang"), "source": F.col("source")}
-WEIGHTS = [F.when(F.col("mix_domain") == "domain0", 0.5).when(F.col("mix_domain") == "domain1", 0.25).otherwise(0.25),
-           F.when(F.col("mix_lang") == "en", 0.5).when(F.col("mix_lang") == "de", 0.25).otherwise(0.125),
-           F.lit(1.0)]
+LEVELS = {"domain": "concat('domain', crc32(cast(coalesce(source, '') as binary)) % 3)", "lang": "lang", "source": "source"}
+WEIGHTS = ["case mix_domain when 'domain0' then 0.5 else 0.25 end",
+           "case mix_lang when 'en' then 0.5 when 'de' then 0.25 else 0.125 end", "1.0"]
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
