@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import line_winnow, mixing, near_join, packing, quality_ftrl
+from riskloom.llm import line_winnow, mixing, near_join, nra_topk, packing, quality_ftrl, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ WEIGHTS = ["case mix_domain when 'domain0' then 0.5 else 0.25 end",
            "case mix_lang when 'en' then 0.5 when 'de' then 0.25 else 0.125 end", "1.0"]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; cutoffs by language at 2 percent of good documents, 90 percent sure."""
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "lang", alpha=0.02, delta=0.1)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all tokens, by weights of domain, language and source; up to three epochs of a leaf."""
     taken = mixing.mix(_table(spark, sf_dir, "documents"), LEVELS, WEIGHTS, share_of_tokens=0.5, max_epochs=3)
@@ -26,6 +31,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("mix_source").alias("source"), F.col("epoch").cast("long").alias("epoch"), "tokens")
 
 
+def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every vector whose id 20 divides."""
+    return nra_topk.top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -36,6 +46,11 @@ def op7_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_winnow.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards, equal texts together."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at Jaccard 0.9 on three-word shingles."""
     return near_join.join_components(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
@@ -46,5 +61,16 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-REGISTRY = {f.__name__: f for f in (op2_mix_sources, op6_best_fit_packing, op7_line_winnowing, op9_ngram_jaccard_join, op10_quality_ftrl)}
-SQL: dict[str, str] = {}
+REGISTRY = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_nra_topk, op6_best_fit_packing, op7_line_winnowing,
+                                  op8_label_propagation, op9_ngram_jaccard_join, op10_quality_ftrl)}
+#: DuckDB twins.  The others are trained, iterative or tokenised, or too slow in SQL on whole tables; tests hold them
+#: against brute-force versions.
+SQL: dict[str, str] = {
+    "op4_nra_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda c: cast(floor(64 * cast(c as double)) as bigint)) x from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+        s as (select q.vec_id query_id, v.vec_id, cast(list_inner_product(cast(q.x as double[]), cast(v.x as double[])) as bigint) score
+              from v q join v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+}
