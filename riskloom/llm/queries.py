@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import line_winnow, mixing, near_join, nra_topk, packing, quality_ftrl, quality_rules, sharding
+from riskloom.llm import line_winnow, mixing, near_join, nra_topk, packing, quality_ftrl, quality_rules, sharding, surrogates, toxicity_nbsvm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +31,21 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("mix_source").alias("source"), F.col("epoch").cast("long").alias("epoch"), "tokens")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data; a real run passes its own secret key."""
+    return surrogates.replace(_table(spark, sf_dir, "documents"), key="example key").select("doc_id", "n_entities", "text")
+
+
 def op4_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for every vector whose id 20 divides."""
     return nra_topk.top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
+def op5_toxicity_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity_nbsvm.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -61,7 +71,7 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ftrl.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_nra_topk, op6_best_fit_packing, op7_line_winnowing,
+REGISTRY = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pii_surrogates, op4_nra_topk, op5_toxicity_nbsvm, op6_best_fit_packing, op7_line_winnowing,
                                   op8_label_propagation, op9_ngram_jaccard_join, op10_quality_ftrl)}
 #: DuckDB twins.  The others are trained, iterative or tokenised, or too slow in SQL on whole tables; tests hold them
 #: against brute-force versions.
