@@ -18,8 +18,10 @@ From the signatures to components:
    counts of shingles per hash cell bound the difference from below and drop most of
    those that are not similar; the others are compared exactly, on the whole sets.
 3. Buckets whose sets ended in different components are compared in blocks: the sets
-   outside the bucket's main component against all that are in another one.  No link
-   is lost and nothing is compared twice once connected.
+   outside the bucket's main component against all that are in another one.  First only
+   the closest candidate of a set in a block is looked at, which connects most of what
+   can be connected; then all candidates that are still apart are.  No link between
+   components is lost.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ BUFFER = 1_000_000
 #: bands of larger sets take one part per choice.
 LEAST_FEATURES, MOST_SIGNATURES = 6, 64
 #: Cells of the count sketch that comparisons look at first.
-CELLS = 256
+CELLS = 512
 #: Sets in a block of the exact comparison inside a bucket.
 BLOCK = 256
 
@@ -273,38 +275,19 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
              .join(sketches.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
              .select("a", "b", "both", "ca", "cb").mapInArrow(close, "a long, b long"))
     links = stage(verified(pairs), "near-links")
-    labels = stage(components(links, "near-labels"), "near-labels")
 
-    # Buckets of more than two sets (a pair has been compared) that are still apart, one of those with the same sets: blocks of sets outside the main component against all others.
-    inside = members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct()
-    inside = inside.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-    apart = (inside.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
-                                          F.bit_xor(F.xxhash64("node")).alias("same"))
-             .where("lo <> hi and size > 2").groupBy("size", "same").agg(F.min("sig").alias("sig")).select("sig", "size"))
-    inside = stage(inside.join(apart, "sig"), "near-apart")
-    by_label = inside.groupBy("sig", "label").agg(F.count("*").alias("m"))
-    main = by_label.groupBy("sig").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
-    inside = inside.join(main, "sig").select(
-        "sig", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int").alias("tall"))
-    spread = F.pmod(F.xxhash64("node"), F.col("wide").cast("long")).cast("int")
-    row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int")
-    against = inside.select("sig", "node", "label", "n", F.lit(False).alias("left"), spread.alias("j"),
-                            F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"))
-    outsiders = inside.where("minor").select("sig", "node", "label", "n", F.lit(True).alias("left"),
-                                             F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), row.alias("i"))
-    placed = against.unionByName(outsiders)
-
-    def compare(left, right):
-        """Pairs of the sets of ``left`` with close ones of ``right`` in other components; rows are (left, node, label, n, cells)."""
+    def compare(left, right, best):
+        """Pairs of the sets of ``left`` with close ones (or the closest) of ``right`` in other components; rows are (left, node, label, n, cells)."""
         cells = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, CELLS).astype(np.int16)
         nodes, labels_r, n_r = (np.array([r[i] for r in right]) for i in (1, 2, 3))
         for _, node, label, n, own in left:
             least = np.maximum(np.abs(n_r - n), np.abs(cells - np.frombuffer(own, np.uint8)).sum(axis=1, dtype=np.int64))
             hit = (least * (num + den) <= (n_r + n) * (den - num)) & (labels_r != label)
+            if best and hit.any():
+                hit = [np.where(hit, least / (n_r + n), np.inf).argmin()]
             yield from ((node, x) for x in nodes[hit].tolist())
 
-    def blocks(batches):
+    def blocks(batches, best):
         """Rows sorted by sig, i, j: a block against another at a time."""
         key, left, right = None, [], []
         for batch in batches:
@@ -313,19 +296,45 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
             for sig, i, j, is_left, node, label, n, cells in zip(*cols):
                 if (sig, i, j) != key:
                     if left and right:
-                        out += compare(left, right)
+                        out += compare(left, right, best)
                     key, left, right = (sig, i, j), [], []
                 (left if is_left else right).append((is_left, node, label, n, cells))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-        if left and right and (out := list(compare(left, right))):
+        if left and right and (out := list(compare(left, right, best))):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    more = (placed.join(sketches, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-            .mapInArrow(blocks, "a long, b long"))
-    more = verified(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stage(links.union(more).distinct(), "near-all-links")
-    labels = components(links, "near-labels")
+    def across(labels: DataFrame, best: bool) -> DataFrame:
+        """Links between components, of all candidates or of the closest ones."""
+        # Buckets of more than two sets (a pair has been compared) that are still apart, one of those with the same sets: blocks of sets outside the main component against all others.
+        inside = members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct()
+        inside = inside.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
+        apart = (inside.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
+                                              F.bit_xor(F.xxhash64("node")).alias("same"))
+                 .where("lo <> hi and size > 2").groupBy("size", "same").agg(F.min("sig").alias("sig")).select("sig", "size"))
+        inside = stage(inside.join(apart, "sig"), "near-apart")
+        by_label = inside.groupBy("sig", "label").agg(F.count("*").alias("m"))
+        main = by_label.groupBy("sig").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
+        inside = inside.join(main, "sig").select(
+            "sig", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"),
+            F.ceil(F.col("size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int").alias("tall"))
+        spread = F.pmod(F.xxhash64("node"), F.col("wide").cast("long")).cast("int")
+        row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int")
+        against = inside.select("sig", "node", "label", "n", F.lit(False).alias("left"), spread.alias("j"),
+                                F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"))
+        outsiders = inside.where("minor").select("sig", "node", "label", "n", F.lit(True).alias("left"),
+                                                 F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), row.alias("i"))
+        placed = against.unionByName(outsiders)
+        found = (placed.join(sketches, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+                 .mapInArrow(lambda batches: blocks(batches, best), "a long, b long"))
+        return verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    labels = stage(components(links, "near-labels"), "near-labels")
+    for best in (True, False):
+        more = stage(across(labels, best), "near-links")
+        links = links.union(more)
+        labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-labels"), "near-labels")
+    links = links.distinct()
 
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
