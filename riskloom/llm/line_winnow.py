@@ -27,10 +27,10 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _keys(docs: DataFrame, d: str = "d", r: str = "r") -> DataFrame:
     """Names of rows: ``d`` (doc_id, the lowest number when missing) and ``r`` (hash of the text)."""
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-                             "r": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
+                             r: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
 
 
 def _fingerprints(window: int, min_words: int) -> Column:
@@ -105,12 +105,13 @@ def dedup_lines(docs: DataFrame, window: int = 2, min_words: int = 50, drop_empt
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     cut = repeated_runs(docs, window, min_words)
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    cut = cut.withColumnsRenamed({"d": "__d", "r": "__r", "gone": "__gone"})
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     rest = _let(lines, lambda x: F.array_join(F.transform(keep, lambda i: F.get(x, i)), "\n"))
-    out = (_keys(docs).join(cut, ["d", "r"], "left")
-           .withColumns({"_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest),
+    out = (_keys(docs, "__d", "__r").join(cut, ["__d", "__r"], "left")
+           .withColumns({"__text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(rest),
                          "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-                         "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long")}))
+                         "n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}))
     if drop_empty:
-        out = out.where("n_removed = 0 or _text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "n_removed")
+        out = out.where("n_removed = 0 or __text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "n_removed")

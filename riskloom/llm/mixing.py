@@ -79,31 +79,30 @@ def mix(docs: DataFrame, levels: dict[str, str], weights: Sequence[str], share_o
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     base = docs.withColumns({f"mix_{x}": F.coalesce(F.expr(c).cast("string"), F.lit("")) for x, c in levels.items()} | {
         "tokens": F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")})
-    narrow = base.select(*names, "tokens", key.alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"))
-    leaves = narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+    leaves = base.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = stage(leaves, "mix-leaves")
     total, widest = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
     bits = max(0, ceil(log2(max(1, widest / ROWS_PER_RANGE))))
     plan = tree_budgets(leaves, names, weights, total * share_of_tokens, max_epochs)
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int"))
-    plan = stage(plan.select(*names, "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("left")), "mix-plan")
+    plan = stage(plan.select(*names, F.col("full").alias("__full"), (F.col("budget") - F.col("full") * F.col("tokens")).alias("__left")), "mix-plan")
 
-    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("full").cast("string"), key)), 1, 15), 16, 10).cast("long")
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__full").cast("string"), key)), 1, 15), 16, 10).cast("long")
     bucket = F.shiftright(place, 60 - bits).cast("int") if bits else F.lit(0)
-    placed = base.join(plan, names).withColumns({"_place": place, "_bucket": bucket})
-    by_leaf = Window.partitionBy(*names).orderBy("_bucket")
-    sums = placed.where("left > 0").groupBy(*names, "_bucket", "left").agg(F.sum("tokens").alias("t"))
-    ends = sums.withColumn("end", F.sum("t").over(by_leaf)).where(F.col("end") > F.col("left"))
-    ends = ends.groupBy(*names).agg(F.min(F.struct("_bucket", (F.col("end") - F.col("t")).alias("before"))).alias("at"))
-    ends = stage(plan.join(ends.select(*names, F.col("at._bucket").alias("cut"), F.col("at.before").alias("before")), names, "left"), "mix-cuts")
-
-    placed = base.join(ends, names).withColumns({"_place": place, "_bucket": bucket})
-    prefix = (F.col("left") > 0) & (F.col("cut").isNull() | (F.col("_bucket") < F.col("cut")))
+    placed = base.join(plan, names).withColumns({"__place": place, "__bucket": bucket})
+    by_leaf = Window.partitionBy(*names).orderBy("__bucket")
+    sums = placed.where("__left > 0").groupBy(*names, "__bucket", "__left").agg(F.sum("tokens").alias("t"))
+    ends = sums.withColumn("end", F.sum("t").over(by_leaf)).where(F.col("end") > F.col("__left"))
+    ends = ends.groupBy(*names).agg(F.min(F.struct("__bucket", (F.col("end") - F.col("t")).alias("__before"))).alias("at"))
+    ends = stage(plan.join(ends.select(*names, F.col("at.__bucket").alias("__cut"), F.col("at.__before").alias("__before")), names, "left"), "mix-cuts")
+
+    placed = base.join(ends, names).withColumns({"__place": place, "__bucket": bucket})
+    prefix = (F.col("__left") > 0) & (F.col("__cut").isNull() | (F.col("__bucket") < F.col("__cut")))
     rows = [c for c in docs.columns if c not in ("epoch", "tokens", *names)]
-    epochs = F.sequence(F.lit(0), F.col("full") - F.when(prefix, 0).otherwise(1))
-    sure = placed.where((F.col("full") > 0) | prefix).select(*rows, *names, "tokens", F.explode(epochs).alias("epoch"))
-    edge = Window.partitionBy(*names).orderBy("_place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    last = (placed.where((F.col("left") > 0) & (F.col("_bucket") == F.col("cut")))
-            .withColumn("_end", F.sum("tokens").over(edge)).where(F.col("_end") <= F.col("left") - F.col("before"))
-            .select(*rows, *names, "tokens", F.col("full").alias("epoch")))
+    epochs = F.sequence(F.lit(0), F.col("__full") - F.when(prefix, 0).otherwise(1))
+    sure = placed.where((F.col("__full") > 0) | prefix).select(*rows, *names, "tokens", F.explode(epochs).alias("epoch"))
+    edge = Window.partitionBy(*names).orderBy("__place", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    last = (placed.where((F.col("__left") > 0) & (F.col("__bucket") == F.col("__cut")))
+            .withColumn("__end", F.sum("tokens").over(edge)).where(F.col("__end") <= F.col("__left") - F.col("__before"))
+            .select(*rows, *names, "tokens", F.col("__full").alias("epoch")))
     return sure.unionByName(last)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,6 @@ def features(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(w.codes):
         return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     words = w.distinct.to_pylist()
-    import pandas as pd
     lower = pd.util.hash_array(np.array([x.lower() for x in words], object), categorize=False)[w.codes]
     outline = pd.util.hash_array(np.array([shape(x) for x in words], object), categorize=False)[w.codes]
     same = np.concatenate([[False], lower[1:] == lower[:-1]])
@@ -163,11 +163,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
     def choose(batches):
         for batch in batches:
             w = sent.value
-            for part in slices(batch, "_text"):
-                idx, starts = features(part.column("_text"), bits)
+            for part in slices(batch, "__text"):
+                idx, starts = features(part.column("__text"), bits)
                 sums = np.concatenate([[0.0], np.cumsum(w[idx])])
                 m = w[-1] + SCALE * (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(np.diff(starts), 1)
                 p = 1 / (1 + np.exp(-np.clip(m, -35, 35)))
                 yield part.select(names).filter(pa.array(p >= threshold))
 
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(choose, docs.schema)
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(choose, docs.schema)

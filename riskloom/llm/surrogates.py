@@ -221,18 +221,18 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     names = [c for c in docs.columns if c != "n_entities"]
     late = stage(tries(docs, key), "late-entities")
     row = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
-    base = docs.select(*names, row.alias("_row")).withColumn("text", F.col("text").cast("string"))
+    base = docs.select(*names, row.alias("__row")).withColumn("text", F.col("text").cast("string"))
 
     def mentions(batches):
         for batch in batches:
-            rows = batch.column("_row")
+            rows = batch.column("__row")
             seen = {(rows[i].as_py(), k, c) for i, _, found in _rows(batch) for _, _, k, c in found}
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*seen), (pa.int64(), pa.string(), pa.string()))],
-                                                 names=["_row", "kind", "canon"])
+                                                 names=["__row", "kind", "canon"])
 
-    where = (base.select("text", "_row").mapInArrow(mentions, "_row long, kind string, canon string").join(late, ["kind", "canon"])
-             .distinct().groupBy("_row").agg(F.collect_list(F.struct("kind", "canon", "turn")).alias("_late")))
+    where = (base.select("text", "__row").mapInArrow(mentions, "__row long, kind string, canon string").join(late, ["kind", "canon"])
+             .distinct().groupBy("__row").agg(F.collect_list(F.struct("kind", "canon", "turn")).alias("__late")))
     where = stage(where, "late-rows")
     schema = docs.select(*names).schema
 
@@ -240,7 +240,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
         maker = Maker(key)
         for batch in batches:
             text, count = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int64)
-            later = batch.column("_late") if "_late" in batch.schema.names else None
+            later = batch.column("__late") if "__late" in batch.schema.names else None
             for i, own, found in _rows(batch):
                 turns = {(x["kind"], x["canon"]): x["turn"] for x in (later[i].as_py() or [])} if later is not None else {}
                 out, last = [], 0
@@ -255,6 +255,6 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     out = copy.deepcopy(schema).add("n_entities", "long")
     # Texts that cannot hold an entity are not shuffled to meet the entities past their first try.
     may = F.col("text").rlike("[0-9@]|[A-F]{32}|[a-f]{32}|(AKIA|ASIA|sk|pk|ghp|gho|xox[bp])|(?iu)\\b(" + "|".join(TITLES) + ")\\.? ")
-    plain = base.where(F.col("text").isNull() | ~may).withColumn("n_entities", F.lit(0).cast("long")).drop("_row")
-    held = base.where(may).join(where, "_row", "left").drop("_row").mapInArrow(write, out)
+    plain = base.where(F.col("text").isNull() | ~may).withColumn("n_entities", F.lit(0).cast("long")).drop("__row")
+    held = base.where(may).join(where, "__row", "left").drop("__row").mapInArrow(write, out)
     return plain.select(*names, "n_entities").unionByName(held)
