@@ -42,7 +42,7 @@ def psi_all_features(spark):
 
 
 def paired_bootstrap(spark):
-    resampling.bootstrap_ci(catalog.scored(spark, SF_DIR, "p2"), replicates=200).collect()
+    resampling.bootstrap_ci(catalog.scored(spark, SF_DIR, "p2"), replicates=1000).collect()
 
 
 def exact_split(spark):

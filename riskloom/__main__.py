@@ -1,12 +1,17 @@
-"""Run one stage of the job: ``spark-submit -m riskloom STAGE --raw CSV --out DIR [feature ...]``."""
+"""Run one stage of the job: ``spark-submit riskloom/__main__.py STAGE --raw CSV --out DIR [feature ...]``."""
 
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 
-from pyspark.sql import DataFrame, SparkSession
+if not __package__:  # started as a file: the package's parent is not on the path yet
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from riskloom.plans.stages import Job
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+
+from riskloom.plans.stages import Job  # noqa: E402
 
 STAGES = ("inspect", "build_cohort", "cleared", "label_reports", "lag", "inventory", "split", "split_report", "missingness",
           "fit_baseline", "evaluate", "segments", "money", "robustness", "final_test", "ablate", "explain")

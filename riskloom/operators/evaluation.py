@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import safe_ratio
 from riskloom.operators.ranking import (RANGE, SLOT, Layout, capacity_cuts, cumulative_shares, fit_layout,
-                                        sized_broadcast, with_decile)
+                                        half_even_k, sized_broadcast, with_decile)
 from riskloom.sources.policy import REVIEW_CAPACITY
 
 CURVE_SHARES = (0.01, 0.05, 0.10, 0.20, 0.50, 1.00)
@@ -180,13 +180,13 @@ def roc_points(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
 
 
 def gains_points(df: DataFrame, score: str = "p", label: str = "y", key: str = "app_id",
-                 max_points: int = 1000) -> DataFrame:
-    """Depth against cumulative shares at up to ``max_points`` evenly spaced ranks and the last one."""
+                 depths: Sequence[float] | None = None) -> DataFrame:
+    """Depth against cumulative shares at every rank, or at the ranks nearest to given ``depths``."""
     n = df.count()
-    step = max(1, -(-n // max_points))
     curve = cumulative_shares(df, score, key, label)
-    return (curve.where((F.col("rank") % step == 0) | (F.col("rank") == n))
-            .select("rank", (F.col("rank") / F.lit(float(max(n, 1)))).alias("depth"), "share_pos", "share_neg"))
+    if depths is not None:
+        curve = curve.where(F.col("rank").isin([half_even_k(n, d) for d in depths]))
+    return (curve.select("rank", (F.col("rank") / F.lit(float(max(n, 1)))).alias("depth"), "share_pos", "share_neg"))
 
 
 def calibration(df: DataFrame, parts: int = 10, score: str = "p", label: str = "y", key: str = "app_id",
@@ -206,13 +206,16 @@ def score_summary(df: DataFrame, score: str = "p", by: Sequence[str] = ()) -> Da
 
 def score_histogram(df: DataFrame, score: str = "p", label: str = "y", bins: int = 59,
                     floor_max: float = 0.35) -> DataFrame:
-    """Count and density per class over equal bins from 0 to the largest score; the last bin is closed."""
+    """Count and density per class over equal bins from 0 to the largest score, empty ones too; the last bin is closed."""
     top = df.agg(F.max(score)).first()[0]
     width = max(top or 0.0, floor_max) / bins
     b = F.least(F.floor(F.col(score) / F.lit(width)), F.lit(bins - 1)).cast("int")
     counts = df.groupBy(F.col(label).alias("y"), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select("y").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counts = (grid.join(counts.where("bin is not null"), ["y", "bin"], "left")
+              .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
     total = F.sum("n").over(Window.partitionBy("y"))
-    return counts.withColumn("density", F.col("n") / (total * F.lit(width)))
+    return counts.withColumn("density", F.try_divide(F.col("n"), total * F.lit(width)))
 
 
 def pile_gap(metrics: DataFrame, group: str, first: str, second: str, by: Sequence[str] = (),

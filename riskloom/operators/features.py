@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import fill_text
 from riskloom.operators.quantiles import exact_medians
 
-MAX_CATEGORIES = 10_000
-
 
 @dataclass(frozen=True)
 class Preparation:
@@ -63,17 +61,20 @@ class Preparation:
                   "categories array<string>")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.table(spark).write.mode("overwrite").parquet(path)
+        table = self.table(spark)
+        fill = spark.createDataFrame([(0, self.unknown, "unknown", None, None, None, None)], table.schema)
+        table.unionByName(fill).write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Preparation:
         rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r["position"])
-        pick = {k: [r for r in rows if r["kind"] == k] for k in ("numeric", "flag", "text")}
+        pick = {k: [r for r in rows if r["kind"] == k] for k in ("numeric", "flag", "text", "unknown")}
         num = pick["numeric"]
         return cls(tuple(r["column"] for r in num), tuple(r["column"] for r in pick["flag"]),
                    tuple(r["column"] for r in pick["text"]),
                    {r["column"]: r["median"] for r in num}, {r["column"]: r["mean"] for r in num},
-                   {r["column"]: r["scale"] for r in num}, {r["column"]: tuple(r["categories"]) for r in pick["text"]})
+                   {r["column"]: r["scale"] for r in num}, {r["column"]: tuple(r["categories"]) for r in pick["text"]},
+                   pick["unknown"][0]["column"])
 
 
 def column_roles(features: Sequence[str], categorical: Sequence[str], flagged: Sequence[str]) -> dict[str, list[str]]:
@@ -108,11 +109,7 @@ def _categories(train: DataFrame, categorical: Sequence[str], unknown: str) -> d
         return {}
     long = (train.select(*[fill_text(F.col(c).cast("string"), unknown).alias(c) for c in categorical])
             .unpivot([], list(categorical), "column", "value").distinct())
-    rows = long.limit(MAX_CATEGORIES * len(categorical) + 1).collect()
     out: dict[str, list[str]] = {c: [] for c in categorical}
-    for r in rows:
+    for r in long.toLocalIterator():
         out[r["column"]].append(r["value"])
-    wide = [c for c, v in out.items() if len(v) > MAX_CATEGORIES]
-    if wide or len(rows) > MAX_CATEGORIES * len(categorical):
-        raise ValueError(f"too many categories to one-hot encode: {wide or list(categorical)}")
     return {c: tuple(sorted(v)) for c, v in out.items()}

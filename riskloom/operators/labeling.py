@@ -97,7 +97,7 @@ def label_sensitivity(cohort: DataFrame, cutoffs: Sequence[int] = SENSITIVITY_CU
 
 
 def lag_ladder(df: DataFrame, gap: str | Column, statuses: Sequence[str], status: str = "loan_status") -> DataFrame:
-    """Quartiles and mean of a month gap per status, statuses in the given order.
+    """Quartiles and mean of a month gap per status, statuses in the given order; those without rows stay.
 
     Month gaps take few distinct values, so the exact ``percentile`` keeps a
     value->count map of a few hundred entries however many rows there are.
@@ -110,8 +110,10 @@ def lag_ladder(df: DataFrame, gap: str | Column, statuses: Sequence[str], status
              .groupBy("loan_status")
              .agg(F.count("gap").alias("n"), F.count(F.lit(1)).alias("n_rows"), q.alias("q"),
                   F.avg("gap").alias("mean")))
-    return (stats.where("n > 0")
-            .select("loan_status", order.cast("int").alias("position"), "n", "n_rows",
+    wanted = df.sparkSession.createDataFrame([(s,) for s in statuses], "loan_status string")
+    stats = (wanted.join(stats, "loan_status", "left")
+             .withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("n", "n_rows")}))
+    return (stats.select("loan_status", order.cast("int").alias("position"), "n", "n_rows",
                     F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "mean")
             .orderBy("position"))
 

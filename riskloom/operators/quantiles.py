@@ -1,8 +1,7 @@
 """Exact interpolated quantiles for columns of any size.
 
-``percentile`` keeps every distinct value of a column in one buffer, which is
-fine for a few million values and not beyond.  Larger columns are answered from
-order statistics: ranges of the value axis are counted, and only the ranges
+``percentile`` keeps every distinct value of a column in one buffer.  Here quantiles
+come from order statistics: ranges of the value axis are counted, and only the ranges
 holding a wanted position are ordered.
 """
 
@@ -17,28 +16,16 @@ from pyspark.sql import functions as F
 from riskloom.operators.ranking import fit_layout
 from riskloom.staging import stage
 
-DIRECT_VALUES = 1_000_000
 
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    direct_values: int = DIRECT_VALUES) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles per column, NULLs left out; all-NULL columns give None."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles per column, NULL and NaN left out; columns without values give None."""
     cols = list(columns)
     if not cols:
         return {}
-    counts = df.agg(*[F.count(c).alias(c) for c in cols]).first().asDict()
-    if sum(counts.values()) <= direct_values:
-        q = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in cols]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-    return _by_order_statistics(df, counts, probs)
-
-
-def _by_order_statistics(df: DataFrame, counts: dict[str, int], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    cols = list(counts)
     long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-            .unpivot([], cols, "column", "value").where("value is not null"))
+            .unpivot([], cols, "column", "value").where("value is not null and not isnan(value)"))
     long = stage(long, "values")
+    counts = dict.fromkeys(cols, 0) | {r["column"]: r["count"] for r in long.groupBy("column").count().collect()}
     layout = fit_layout(long, "value", None, ["column"])
     spots = {c: [p * (n - 1) for p in probs] for c, n in counts.items() if n}
     # ascending position i is descending rank n - i

@@ -14,7 +14,7 @@ comparison with the k-th row (the *cut*), and finding a cut means ordering the
 one range it falls in.  ``Layout.cuts`` does that, so flags, deciles and capacity
 curves leave the rows where they are.
 
-Total order: score descending, key ascending, NULL scores last.
+Total order: score descending, key ascending, NULL and NaN scores last.
 """
 
 from __future__ import annotations
@@ -40,6 +40,11 @@ BELOW_ONE = 1.0 - 2.0 ** -20
 RANGE, SLOT = "__range", "__slot"
 
 
+def known_score(score: str) -> Column:
+    """The score with NaN as NULL: both are unknown and stand last."""
+    return F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+
+
 def sized_broadcast(table: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a driver-made table of known size; a larger one is joined by shuffle."""
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
@@ -142,7 +147,7 @@ class Layout:
     # -- order inside slots ---------------------------------------------
 
     def window(self) -> Window:
-        order = [F.desc_nulls_last(self.score)] + ([F.asc(self.key)] if self.key else [])
+        order = [F.desc_nulls_last(known_score(self.score))] + ([F.asc(self.key)] if self.key else [])
         return Window.partitionBy(*self.by, SLOT).orderBy(*order)
 
     def ranked(self, df: DataFrame, cumulative: Mapping[str, str] | None = None) -> DataFrame:
@@ -195,7 +200,8 @@ class Layout:
                     .withColumn("__rn", F.row_number().over(self.window()).cast("bigint"))
                     .where(F.array_contains("__at", F.col("__rn"))).collect())
             for r in rows:
-                found[(*[r[b] for b in self.by], r[SLOT], r["__rn"])] = (r[self.score], r[self.key] if self.key else None)
+                edge = r[self.score] if r[self.score] == r[self.score] else None
+                found[(*[r[b] for b in self.by], r[SLOT], r["__rn"])] = (edge, r[self.key] if self.key else None)
         out: dict[tuple, list[Cut]] = {}
         for group, values in ks.items():
             out[group] = []
@@ -220,9 +226,8 @@ class Layout:
         if cut.k <= 0:
             return F.lit(False)
         if cut.score is None:
-            s = F.col(self.score)
-            return s.isNotNull() | (F.col(self.key) <= F.lit(cut.key))
-        s, edge = F.col(self.score), F.lit(cut.score)
+            return known_score(self.score).isNotNull() | (F.col(self.key) <= F.lit(cut.key))
+        s, edge = known_score(self.score), F.lit(cut.score)
         return F.coalesce((s > edge) | ((s == edge) & (F.col(self.key) <= F.lit(cut.key))), F.lit(False))
 
     def above_by(self, cuts: Mapping[tuple, Sequence[Cut]], i: int) -> Column:

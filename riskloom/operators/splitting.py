@@ -170,8 +170,12 @@ def sample_per_group(df: DataFrame, group: str, n: int, key: str, seed: int | st
 
 
 def fixed_sample(df: DataFrame, n: int, key: str, seed: int | str = SEED) -> DataFrame:
-    """``n`` rows by hash order; every task keeps only its own first ``n``."""
-    return df.orderBy(key_hash(key, seed)).limit(n)
+    """The first ``n`` rows in hash order: those up to the n-th hash, left where they are."""
+    total = df.count()
+    if total <= n:
+        return df
+    cut = hash_cuts(df.withColumn("__all", F.lit(0)), "__all", key, seed, {0: [n]}, total)[0][0]
+    return df.where(F.lit(False) if cut is None else key_hash(key, seed) <= cut)
 
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:

@@ -24,14 +24,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 YEARS = (1996, 1997)
-LADDER = ["Current", "Late (31-120 days)"]
+LADDER = ["Current", "Late (31-120 days)", "In Grace Period"]
 PROFILED = ["loan_amnt", "annual_inc", "dti", "disc_r", "fico_range_low", "emp_length", "last_pymnt_d"]
 SPEC = models.ColumnSpec(tuple(si.NUMERIC), tuple(si.FLAGGED), tuple(si.CATEGORICAL))
 MIN_DEFAULTS = 20
 # Small settings so that the model queries answer in seconds.
 FOREST = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 10}
 BOOSTING = {"rounds": 10, "patience": 5, "maxDepth": 3}
-REPLICATES = 200
+REPLICATES = 1000
 COEFFICIENTS = {"loan_amnt": 0.000002, "dti": -0.01, "disc_r": 3.5, "fico_range_low": -0.004,
                 "purpose_2-HIGH": 0.4, "purpose_5-LOW": -0.3}
 

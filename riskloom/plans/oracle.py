@@ -277,9 +277,9 @@ def build() -> dict[str, str]:
         select c.cutoff, count(*) n, count(*) filter (where loan_status = 'Charged Off' and (m is null or m <= c.cutoff)) defaults, cast(sum(y) as bigint) base
         from cohort, (values (8), (9), (12)) c(cutoff) group by c.cutoff)""")
     ladder = " union all ".join(
-        f"""select '{name}' anchor, loan_status, cast(case loan_status when 'Current' then 1 else 2 end as integer) "position", count({g}) n, count(*) n_rows,
+        f"""select '{name}' anchor, loan_status, pos "position", count({g}) n, count(app_id) n_rows,
         round(quantile_cont({g}, 0.25)::double, 6) p25, round(quantile_cont({g}, 0.5)::double, 6) "median", round(quantile_cont({g}, 0.75)::double, 6) p75, round(avg({g}), 6) mean
-        from gp where loan_status in ('Current', 'Late (31-120 days)') group by loan_status having count({g}) > 0"""
+        from (values ('Current', 1), ('Late (31-120 days)', 2), ('In Grace Period', 3)) s(loan_status, pos) left join gp using (loan_status) group by loan_status, pos"""
         for name, g in (("snapshot", "gap_global"), ("own pull", "gap_own"), ("issue", "m")))
     q["lag_ladder"] = _on(ladder, gaps)
     cases = [("failed early", "loan_status = 'Charged Off' and m <= 8"), ("failed late", "loan_status = 'Charged Off' and m > 15"),
@@ -371,9 +371,10 @@ def build() -> dict[str, str]:
     q["top_by_value"] = _on("select app_id, annual_inc from cohort order by abs(annual_inc) desc, app_id limit 25")
 
     q["score_summary"] = _sc("select round(avg(p), 6) mean_p, round(max(p), 6) max_p, count(*) filter (where p >= 0.5) n_at_half from scored")
-    q["score_histogram"] = _sc("""select y, bin, n, round(n / (sum(n) over (partition by y) * w), 6) density from (
-        select y, cast(least(floor(p / w), 58) as integer) bin, w, count(*) n
-        from scored, (select greatest(max(p), 0.35::double) / 59 w from scored) group by 1, 2, 3)""")
+    q["score_histogram"] = _sc("""select g.y, g.bin, count(s.p) n, round(count(s.p) / (sum(count(s.p)) over (partition by g.y) * w), 6) density
+        from (select distinct y, cast(b as integer) bin from scored, range(59) t(b)) g
+        cross join (select greatest(max(p), 0.35::double) / 59 w from scored)
+        left join scored s on s.y = g.y and cast(least(floor(s.p / w), 58) as integer) = g.bin group by g.y, g.bin, w""")
     src = "src as (select 'all' g, app_id, y, p from scored)"
     q["confusion"] = _sc('select n, n_def, k, tp, fp, fn, tn, round(recall, 6) recall, round("precision", 6) "precision", round(lift, 6) lift from metrics', src, _METRICS)
     q["auc_gini"] = _sc("select round(auc, 6) auc, round(gini, 6) gini from metrics", src, _METRICS)
@@ -387,7 +388,7 @@ def build() -> dict[str, str]:
     q["roc_points"] = _sc("""select p threshold, round(sum(neg) over (order by p desc) / sum(neg) over (), 6) fpr,
         round(sum(pos) over (order by p desc) / sum(pos) over (), 6) tpr from mtie union all select null, 0.0, 0.0""", src, _METRICS)
     q["gains_points"] = _sc("""select rank, round(rank / n::double, 6) depth, round(cp::double / n_pos, 6) share_pos, round(cn::double / (n - n_pos), 6) share_neg
-        from mcum where rank % greatest(cast(ceil(n / 1000.0) as bigint), 1) = 0 or rank = n""", src, _METRICS)
+        from mcum""", src, _METRICS)
     q["calibration"] = _sc("""select decile, count(*) n, round(avg(p), 9) predicted, round(avg(y), 9) observed, round(avg(p) / nullif(avg(y), 0), 9) ratio
         from (select *, cast(ntile(10) over (order by p desc, app_id) as integer) decile from scored) group by decile""")
     piles = "src as (select 'p|' || pile g, app_id, y, p from piled union all select 'p2|' || pile, app_id, y, p2 from piled)"

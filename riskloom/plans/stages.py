@@ -55,7 +55,7 @@ class Job:
     def dated(self, extra: Sequence[str] = ()) -> DataFrame:
         """Cohort rows with parsed dates, the key as ``app_id`` and the policy's columns."""
         columns = list(dict.fromkeys([self.key, "issue_d", "loan_status", "last_pymnt_d", *self.policy.features(), *extra]))
-        rows = labeling.with_dates(self.raw_rows(columns)).withColumn("app_id", F.col(self.key).cast("bigint"))
+        rows = labeling.with_dates(self.raw_rows(columns)).withColumn("app_id", F.expr(f"try_cast(`{self.key}` as bigint)"))
         return labeling.cohort_rows(rows, *self.months)
 
     def inspect(self) -> DataFrame:

@@ -54,11 +54,16 @@ def test_preparation_uses_population_spread(spark):
     assert features.fit_preparation(df, ["x"]).scales["x"] == pytest.approx(np.std([1, 2, 6]))
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_CATEGORIES", 3)
-    df = spark.range(10).select(F.col("id").cast("string").alias("t"))
-    with pytest.raises(ValueError):
-        features.fit_preparation(df, [], [], ["t"])
+def test_categories_have_no_limit(spark):
+    df = spark.range(12_000).select(F.col("id").cast("string").alias("t"))
+    assert len(features.fit_preparation(df, [], [], ["t"]).categories["t"]) == 12_000
+
+
+def test_loaded_preparation_keeps_the_fill_text(spark, tmp_path):
+    df = spark.createDataFrame([("a",), (None,)], "t string")
+    prep = features.fit_preparation(df, [], [], ["t"], unknown="blank")
+    prep.save(spark, str(tmp_path / "prep"))
+    assert features.Preparation.load(spark, str(tmp_path / "prep")) == prep
 
 
 def test_logistic_is_at_the_optimum_of_its_objective(card, train):

@@ -97,11 +97,24 @@ def test_all_scores_equal(spark):
 
 def test_null_scores_come_last(spark):
     df = spark.createDataFrame([(1, 0.1), (2, None), (3, 0.9), (4, float("nan"))], "app_id bigint, p double")
-    df = df.withColumn("p", F.when(~F.isnan("p"), F.col("p")))
     got = [r["app_id"] for r in ranking.global_rank(df).orderBy("rank").collect()]
     assert got == [3, 1, 2, 4]
 
 
+def test_rank_flag_and_decile_agree_on_unknown_scores(spark):
+    """NaN and NULL scores stand last by key for every operator, also when a cut falls among them."""
+    rows = [(i, float("nan") if i % 20 == 3 else None if i % 20 == 5 else ((i * 7919) % 1000) / 1000, i % 3 == 0) for i in range(1000)]
+    df = stage(spark.createDataFrame([(a, p, int(y)) for a, p, y in rows], "app_id bigint, p double, y int"), "unknown")
+    known = sorted(((p, i) for i, p, _ in rows if p is not None and p == p), key=lambda x: (-x[0], x[1]))
+    order = [i for _, i in known] + [i for i, p, _ in rows if p is None or p != p]
+    assert [r.app_id for r in ranking.global_rank(df).orderBy("rank").collect()] == order
+    for share in (0.1, 0.95):
+        flagged = {r.app_id for r in ranking.topk_flag(df, share).where("reviewed").collect()}
+        assert flagged == set(order[:round(1000 * share)])
+    deciles = {r.app_id: r.decile for r in ranking.with_decile(df).collect()}
+    assert deciles == {i: 1 + at // 100 for at, i in enumerate(order)}
+
+
 def test_negative_zero_ties_with_zero(spark):
     df = spark.createDataFrame([(i, -0.0 if i % 2 else 0.0) for i in range(50)], "app_id bigint, p double")
     assert [r["app_id"] for r in ranking.global_rank(df).orderBy("rank").collect()] == list(range(50))
@@ -138,12 +151,14 @@ def test_flags_move_no_rows(scored):
     assert "Exchange" not in plan_of(ranking.with_decile(scored))
 
 
-def test_exact_quantiles_agree_on_both_routes(tied):
+def test_exact_quantiles_agree_with_percentile(tied):
     _, df = tied
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
     wide = df.withColumn("z", F.when(F.col("app_id") % 5 > 0, F.col("app_id") / 7)).withColumn("empty", F.lit(None).cast("double"))
     cols = ["p", "z", "empty"]
-    assert quantiles.exact_quantiles(wide, cols, probs) == quantiles.exact_quantiles(wide, cols, probs, direct_values=0)
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    want = wide.agg(*[F.percentile(F.col(c).cast("double"), at).alias(c) for c in cols]).first()
+    assert quantiles.exact_quantiles(wide, cols, probs) == {c: list(want[c]) if want[c] else [None] * 7 for c in cols}
 
 
 def test_spearman_matches_pandas(scored):
