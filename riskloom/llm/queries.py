@@ -13,8 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The tree of the mixture.  The tables have no domain; sources are dealt to three by name.
-LEVELS = {"domain": "concat('domain', crc32(cast(coalesce(source, '') as binary)) % 3)", "lang": "lang", "source": "source"}
+#: The tree of the mixture.  The tables have no domain; sources are dealt to three by number.
+LEVELS = {"domain": "concat('domain', coalesce(try_cast(substr(source, 4) as int), 0) % 3)", "lang": "lang", "source": "source"}
 WEIGHTS = ["case mix_domain when 'domain0' then 0.5 else 0.25 end",
            "case mix_lang when 'en' then 0.5 when 'de' then 0.25 else 0.125 end", "1.0"]
 
@@ -63,7 +63,8 @@ def op8_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked at Jaccard 0.9 on three-word shingles."""
-    return near_join.join_components(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+    found = near_join.join_components(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +74,36 @@ def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pii_surrogates, op4_nra_topk, op5_toxicity_nbsvm, op6_best_fit_packing, op7_line_winnowing,
                                   op8_label_propagation, op9_ngram_jaccard_join, op10_quality_ftrl)}
+def _water(nodes: str, parent: str, own: str) -> str:
+    """SQL of the budgets among children: ``nodes`` with w, cap, pb, grouped by ``parent``."""
+    part = f"partition by {parent}" if parent else ""
+    return f"""(select *, case when fo is null or ratio < fo then cap else least(cap, fl * w) end b from (
+        select *, min(case when lv < ratio then ratio end) over ({part}) fo,
+               first_value(lv) over ({part} order by case when lv < ratio then 0 else 1 end, ratio, {own}) fl from (
+        select *, (pb - coalesce(sum(cap) over ({part} order by ratio, {own} rows between unbounded preceding and 1 preceding), 0))
+               / sum(w) over ({part} order by ratio, {own} rows between current row and unbounded following) lv from (
+        select *, cap / w ratio from {nodes}))))"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: DuckDB twins.  The others are trained, iterative or tokenised, or too slow in SQL on whole tables; tests hold them
 #: against brute-force versions.
 SQL: dict[str, str] = {
+    "op2_mix_sources": rf"""
+        with d as (select doc_id, concat('domain', coalesce(try_cast(substr(source, 4) as integer), 0) % 3) as domain, coalesce(lang, '') lang,
+                          coalesce(source, '') source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) t from documents),
+        leaf as (select domain, lang, source, sum(t)::double tok, 3 * sum(t)::double cap from d group by all),
+        n0 as (select domain, sum(cap) cap, case domain when 'domain0' then 0.5::double else 0.25 end w, (select sum(t) * 0.5::double from d) pb from leaf group by domain),
+        b0 as (select domain, b from {_water('n0', '', 'domain')}),
+        n1 as (select domain, lang, sum(cap) cap, case lang when 'en' then 0.5::double when 'de' then 0.25 else 0.125 end w, any_value(b) pb from leaf join b0 using (domain) group by domain, lang),
+        b1 as (select domain, lang, b from {_water('n1', 'domain', 'lang')}),
+        n2 as (select domain, lang, source, tok, cap, 1.0::double w, b pb from leaf join b1 using (domain, lang)),
+        b2 as (select domain, lang, source, tok, floor(b + 1e-6) b from {_water('n2', 'domain, lang', 'source')}),
+        p as (select domain, lang, source, cast(case when tok > 0 then floor(b / tok) else 0 end as bigint) f, b - tok * case when tok > 0 then floor(b / tok) else 0 end l from b2),
+        o as (select d.*, f, l, sum(t) over (partition by domain, lang, source order by cast('0x' || substr(md5('7|' || f || '|' || doc_id), 1, 15) as bigint), doc_id
+                     rows unbounded preceding) c from d join p using (domain, lang, source))
+        select doc_id, domain, lang, source, epoch, t tokens from (
+            select *, unnest(range(f)) epoch from o union all select *, f epoch from o where l > 0 and c <= l)""",
     "op4_nra_topk": """
         with v as (select vec_id, list_transform(embedding, lambda c: cast(floor(64 * cast(c as double)) as bigint)) x from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
@@ -83,4 +111,18 @@ SQL: dict[str, str] = {
               from v q join v on v.vec_id <> q.vec_id where q.vec_id % 20 = 0),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20""",
+    "op9_ngram_jaccard_join": rf"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') w from documents),
+        s as (select doc_id, unnest(case
+                when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l),
+        r as (select doc_id a, doc_id b from n union select r.a, e.b from r join e on r.b = e.a),
+        m as (select a, min(b) c from r group by a)
+        select d.doc_id, coalesce(n.n, 0) n_shingles, coalesce(m.c, d.doc_id) component_id
+        from documents d left join n on n.doc_id = d.doc_id left join m on m.a = d.doc_id""",
 }
