@@ -48,7 +48,10 @@ def applications(spark: SparkSession, sf_dir: str, months: tuple[str, str] | Non
     if months:
         lo, hi = month_range(*months)
         orders = orders.where(f"o_orderdate >= timestamp_ntz'{lo}' and o_orderdate < timestamp_ntz'{hi + timedelta(days=1)}'")
-    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    lines = read_table(spark, sf_dir, "lineitem")
+    if months:  # only lines of the orders in question are shuffled and summed
+        lines = lines.join(orders.select("o_orderkey"), lines["l_orderkey"] == orders["o_orderkey"], "left_semi")
+    lines = lines.groupBy("l_orderkey").agg(
         F.expr("max(l_shipdate)").alias("last_ship"), F.expr("sum(l_quantity)").alias("qty"),
         F.expr("count(1)").alias("n_lines"), F.expr("max(case when l_returnflag = 'R' then l_discount end)").alias("disc_r"))
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
