@@ -108,9 +108,9 @@ def certify(rows: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delt
              for r, s, cuts in RULES for i, c in enumerate(cuts)]
     counted = (rows.select(stratum, F.explode(F.array(*tests)).alias("x")).select(stratum, "x.*")
                .groupBy(stratum, "rule", "step", "cutoff").agg(F.count_if("hit").alias("k"), F.count("*").alias("n")))
-    strata = rows.agg(F.countDistinct(stratum).alias("strata"))
-    tested = counted.join(F.broadcast(strata)).withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)))
-    passed = F.col("p_value") * F.col("strata") * len(RULES) <= delta
+    strata = rows.agg(F.countDistinct(stratum)).first()[0]
+    tested = counted.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)))
+    passed = F.col("p_value") * (strata * len(RULES)) <= delta
     stop = Window.partitionBy(stratum, "rule")
     taken = (tested.withColumn("stop", F.min(F.when(~passed, F.col("step"))).over(stop))
              .where(passed & (F.col("stop").isNull() | (F.col("step") < F.col("stop")))))
