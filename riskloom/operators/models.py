@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel, RandomForestClassifier)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import safe_ratio
 from riskloom.functions.verdicts import ABLATION_NOISE, challenger_band, keep_band, noise_band
 from riskloom.operators.cleaning import add_missing_flags
+from riskloom.operators.comparison import align_scores, caught_change, review_overlap, spearman
 from riskloom.operators.evaluation import auc_gini, metric_block
 from riskloom.operators.features import Preparation, fit_preparation
+from riskloom.operators.resampling import oversample
 from riskloom.operators.splitting import stratified_holdout, with_class_weight
 from riskloom.operators.trees import Forest, forest_of, staged_margins
 from riskloom.sources.policy import REVIEW_CAPACITY
@@ -120,6 +122,38 @@ def fit_scorecard(train: DataFrame, spec: ColumnSpec, label: str = "y", balanced
     return Scorecard(spec, prep, fit_logistic(vectors, label, "weight" if balanced else None))
 
 
+def fit_oversampled(train: DataFrame, spec: ColumnSpec, label: str = "y", key: str = "app_id") -> Scorecard:
+    """A scorecard fitted on the training rows plus synthetic minority rows; preparation sees the real rows only."""
+    prep = spec.fit(train)
+    rows = prep.vectors(spec.with_flags(train), [key, label]).select(key, label, vector_to_array("features").alias("x"))
+    filled = oversample(stage(rows, "train-arrays"), label=label, key=key)
+    vectors = stage(filled.select(label, array_to_vector("x").alias("features")), "oversampled")
+    return Scorecard(spec, prep, fit_logistic(vectors, label))
+
+
+def refit_comparison(train: DataFrame, val: DataFrame, spec: ColumnSpec, how: str, capacity: float = REVIEW_CAPACITY,
+                     label: str = "y", key: str = "app_id") -> DataFrame:
+    """What a ``balanced`` or ``oversampled`` refit changes against the plain fit; one row.
+
+    Level (mean score), ranking (AUC, caught at capacity, recall), order (shared review
+    list, rank correlation), whether the change is noise, and the verdict on keeping it.
+    """
+    fits = {"balanced": lambda: fit_scorecard(train, spec, label, True), "oversampled": lambda: fit_oversampled(train, spec, label, key)}
+    plain = fit_scorecard(train, spec, label).score(val, [key, label])
+    both = stage(align_scores(plain, fits[how]().score(val, [key, label]), key), "refit-scores")
+    long = both.unpivot([key, label], ["p", "p2"], "model", "score")
+    rows = {r["model"]: r for r in metric_block(stage(long, "refit-long"), capacity, "score", label, key, ["model"]).collect()}
+    same = review_overlap(both, "p", "p2", capacity, key).first()
+    rank = spearman(both, "p", "p2", key).first()["spearman"]
+    level = both.agg(F.avg("p").alias("p"), F.avg("p2").alias("p2")).first()
+    change = caught_change(both, "p", "p2", capacity, label, key)
+    figures = {"mean_p_plain": level["p"], "mean_p_refit": level["p2"], "auc_plain": rows["p"]["auc"], "auc_refit": rows["p2"]["auc"],
+               "recall_plain": rows["p"]["recall"], "recall_refit": rows["p2"]["recall"], "same": same["same"], "overlap": same["share"],
+               "spearman": rank}
+    return change.select(F.lit(how).alias("refit"), "caught_first", "caught_second", "diff", "noise", F.col("verdict").alias("noise_verdict"),
+                         keep_band("diff").alias("verdict"), *[F.lit(v).alias(n) for n, v in figures.items()])
+
+
 def weighted_comparison(train: DataFrame, val: DataFrame, spec: ColumnSpec, capacity: float = REVIEW_CAPACITY,
                         label: str = "y", key: str = "app_id") -> DataFrame:
     """Plain against class-balanced fit: one row per model with level and order figures."""
@@ -166,6 +200,17 @@ class BoostedPrefix:
     best_round: int
     auc_by_round: tuple[float, ...]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.forest.table(spark).write.mode("overwrite").parquet(f"{path}/nodes")
+        rounds = [(i, float(a)) for i, a in enumerate(self.auc_by_round)]
+        spark.createDataFrame(rounds, "round int, auc double").write.mode("overwrite").parquet(f"{path}/rounds")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BoostedPrefix:
+        forest = Forest.load(spark.read.parquet(f"{path}/nodes"))
+        rounds = sorted(spark.read.parquet(f"{path}/rounds").collect(), key=lambda r: r["round"])
+        return cls(forest, forest.n_trees, tuple(r["auc"] for r in rounds))
+
 
 def best_prefix(model: GBTClassificationModel, stop: DataFrame, label: str = "y", key: str = "app_id",
                 patience: int = STALE_ROUNDS, block: int = 50) -> BoostedPrefix:
@@ -227,12 +272,3 @@ def model_bench(train: DataFrame, val: DataFrame, spec: ColumnSpec, capacity: fl
     gain = F.col("caught") - F.lit(base)
     return table.withColumn("gain", gain).withColumn(
         "verdict", F.when(F.col("model") == "logistic", "baseline").otherwise(challenger_band(gain)))
-
-
-def resampling_verdict(metrics: DataFrame, baseline: str, candidate: str, model: str = "model") -> DataFrame:
-    """Keep a resampling only if it catches enough more than the baseline."""
-    def caught(name: str):
-        return F.max(F.when(F.col(model) == name, F.col("tp")))
-    return (metrics.agg(caught(baseline).alias("caught_baseline"), caught(candidate).alias("caught_candidate"))
-            .withColumn("gain", F.col("caught_candidate") - F.col("caught_baseline"))
-            .withColumn("verdict", keep_band("gain")))

@@ -71,6 +71,19 @@ class Forest:
     def n_trees(self) -> int:
         return len(self.trees)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """Nodes as rows, the form in which a forest is saved."""
+        rows = [(t, i, *(int(a[i]) for a in (tree.feature, tree.left, tree.right)), *(float(a[i]) for a in (tree.threshold, tree.value, tree.cover)))
+                for t, tree in enumerate(self.trees) for i in range(len(tree.feature))]
+        return spark.createDataFrame(rows, "tree int, node int, feature int, `left` int, `right` int, threshold double, value double, cover double")
+
+    @classmethod
+    def load(cls, nodes: DataFrame) -> Forest:
+        """The forest of a node table; its size is that of the model."""
+        pdf = nodes.toPandas().sort_values(["tree", "node"])
+        return cls(tuple(Tree(*(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "value", "cover")))
+                         for _, t in pdf.groupby("tree")))
+
     def prefix(self, n: int) -> Forest:
         return replace(self, trees=self.trees[:n])
 

@@ -684,6 +684,50 @@ def weighted_comparison(spark, d):
     return models.weighted_comparison(*_piles(spark, d), SPEC)
 
 
+@register
+def weighted_order(spark, d):
+    return models.refit_comparison(*_piles(spark, d), SPEC, "balanced")
+
+
+@register
+def smote_experiment(spark, d):
+    return models.refit_comparison(*_piles(spark, d), SPEC, "oversampled")
+
+
+@register
+def challenger_roundtrip(spark, d):
+    """Difference between the scores of a boosted challenger and of its saved copy, for every validation row."""
+    _, boosted, val = _boosted(spark, d)
+    path = _fresh(spark, "challenger")
+    boosted.save(spark, path)
+    again = models.BoostedPrefix.load(spark, path)
+    both = comparison.align_scores(boosted.forest.score(val, ["app_id"]), again.forest.score(val, ["app_id"]))
+    return both.select("app_id", (F.col("p") - F.col("p2")).alias("difference"))
+
+
+@register
+def scorecard_roundtrip(spark, d):
+    """Difference between the scores of a scorecard and of its saved copy, for every validation row."""
+    train, val = _piles(spark, d)
+    path = _fresh(spark, "card")
+    card = models.fit_scorecard(train, SPEC)
+    card.save(spark, path)
+    both = comparison.align_scores(card.score(val, ["app_id"]), models.Scorecard.load(spark, path).score(val, ["app_id"]))
+    return both.select("app_id", (F.col("p") - F.col("p2")).alias("difference"))
+
+
+@register
+def unknown_scores(spark, d):
+    """Rank, review flag and decile when every seventh score is NaN and every eleventh missing."""
+    p = F.when(F.col("app_id") % 7 == 0, F.lit(float("nan"))).when(F.col("app_id") % 11 != 0, F.col("p"))
+    df = stage(scored(spark, d).withColumn("p", p), "unknown-scores")
+    flagged = ranking.topk_flag(df, 0.1).select("app_id", "reviewed")
+    most = ranking.topk_flag(df, 0.9).select("app_id", F.col("reviewed").alias("reviewed_most"))
+    deciles = ranking.with_decile(df).select("app_id", "decile")
+    ranks = ranking.global_rank(df).select("app_id", "rank")
+    return ranks.join(flagged, "app_id").join(most, "app_id").join(deciles, "app_id")
+
+
 @register
 def model_roundtrip(spark, d):
     """Scores of a scorecard that was saved and loaded again."""

@@ -360,6 +360,11 @@ def build() -> dict[str, str]:
         from (select y, count(*) n_class from cohort group by y)""")
 
     q["global_rank"] = _sc("select app_id, rank from rk", _RANKED)
+    q["unknown_scores"] = _sc("""select app_id, rk rank, rk <= round_even(n * 0.1::double, 0) reviewed, rk <= round_even(n * 0.9::double, 0) reviewed_most,
+        cast(ntile(10) over (order by rk) as integer) decile from (select app_id, count(*) over () n,
+        row_number() over (order by case when app_id % 7 <> 0 and app_id % 11 <> 0 then p end desc nulls last, app_id) rk from scored)""")
+    for name in ("challenger_roundtrip", "scorecard_roundtrip"):
+        q[name] = _on("select app_id, 0.0::double difference from piled where pile = 'val'", _split())
     q["topk_flag"] = _sc("select app_id, rank <= round_even(n * 0.1::double, 0) reviewed from rk", _RANKED)
     q["cum_shares"] = _sc("""select app_id, rank, round(sum(y) over (order by rank)::double / n_pos, 6) share_pos,
         round(sum(1 - y) over (order by rank)::double / (n - n_pos), 6) share_neg from rk""", _RANKED)

@@ -121,9 +121,21 @@ class Job:
         return models.Scorecard.load(self.spark, f"{self.out}/scorecard")
 
     def fit_challenger(self, **settings) -> models.BoostedPrefix:
-        """Boosted trees on the scorecard's own preparation."""
+        """Boosted trees on the scorecard's own preparation, saved next to it."""
         vectors = stage(self.scorecard().vectors(self.pile("train"), ["app_id", TARGET_COLUMN]), "challenger")
-        return models.fit_boosted_prefix(vectors, TARGET_COLUMN, **settings)
+        boosted = models.fit_boosted_prefix(vectors, TARGET_COLUMN, **settings)
+        boosted.save(self.spark, f"{self.out}/challenger")
+        return boosted
+
+    def challenger(self) -> Forest:
+        """The saved challenger."""
+        return models.BoostedPrefix.load(self.spark, f"{self.out}/challenger").forest
+
+    def class_weighting(self) -> DataFrame:
+        return models.refit_comparison(self.pile("train"), self.pile("val"), self.spec, "balanced", self.capacity, TARGET_COLUMN)
+
+    def smote(self) -> DataFrame:
+        return models.refit_comparison(self.pile("train"), self.pile("val"), self.spec, "oversampled", self.capacity, TARGET_COLUMN)
 
     def scores(self, pile: str, challenger: Forest | None = None, keep: Sequence[str] = ()) -> DataFrame:
         """Champion score ``p``, and ``p2`` of the challenger, with ``y`` and kept columns."""
