@@ -6,8 +6,10 @@ some rows of counts and no edge is written out.  In every round a linked documen
 is not in its group's home (the shards that hold most of the group, as many as it needs
 at a shard's capacity) wants to move there.  Shards exchange: what moves from s to t is
 limited to what moves from t to s and the unlinked rows that t can send back, so row
-counts never change.  Where more want to move than may, those with the most neighbours
-to gain go first.  Rounds end when nothing moves or after ``rounds``.
+counts never change.  Where more want to move than may, those of the largest groups,
+with the most neighbours to meet, go first; those of groups of ``STRONG`` and more may
+also push out rows of groups of at most ``SMALL``, which lose fewer.  Rounds end when nothing moves or after
+``rounds``.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from riskloom.staging import stage
 
 #: A group with more than this share of all rows is joined by broadcast: there are fewer than its inverse of them.
 HOT_SHARE = 0.001
+#: Group sizes (the first a power of 2): rows of groups this large may push out rows of groups this small.
+STRONG, SMALL = 16, 4
 
 
 def number(df: DataFrame, by: Sequence[str], name: str, first: Sequence[str] = ()) -> DataFrame:
@@ -41,12 +45,11 @@ def number(df: DataFrame, by: Sequence[str], name: str, first: Sequence[str] = (
 
 
 def _home(counts: DataFrame, capacity: int) -> DataFrame:
-    """Groups (``g``) with ``home``: shards in the order of what they hold, as many as the group needs, and ``held`` per shard."""
+    """Groups (``g``) with ``size`` and ``home``: shards in the order of what they hold, as many as the group needs."""
     held = F.array_sort(F.collect_list(F.struct((-F.col("m")).alias("m"), F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 20)).alias("tie"), "shard")))
     out = counts.groupBy("g").agg(held.alias("held"), F.sum("m").alias("size"))
     need = F.ceil(F.col("size") / F.lit(max(1, capacity))).cast("int")
-    return out.select("g", "size", F.transform(F.slice("held", 1, need), lambda x: x["shard"]).alias("home"),
-                      F.map_from_entries(F.transform("held", lambda x: F.struct(x["shard"], -x["m"]))).alias("held"))
+    return out.select("g", "size", F.transform(F.slice("held", 1, need), lambda x: x["shard"]).alias("home"))
 
 
 def propagate(docs: DataFrame, link: Column, shards: int = 16, rounds: int = 8) -> DataFrame:
@@ -66,21 +69,27 @@ def propagate(docs: DataFrame, link: Column, shards: int = 16, rounds: int = 8)
         home = F.col("home")
         target = F.when(F.array_contains(home, F.col("shard")), F.lit(-1)).otherwise(
             F.get(home, F.pmod(F.xxhash64("uid"), F.size(home).cast("long")).cast("int")))
-        gain = F.col("held")[F.col("to")] - F.col("held")[F.col("shard")]
-        want = near.withColumn("to", target).select("uid", "g", "shard", "to", F.when(F.col("to") >= 0, -F.least(
-            F.floor(F.log2(F.greatest(gain, F.lit(0)) + 1)), F.lit(40))).otherwise(0).cast("int").alias("less"))
+        less = F.when(F.col("to") >= 0, -F.floor(F.log2(F.col("size")))).otherwise(1).cast("int")
+        want = near.withColumn("to", target).withColumn("less", less).select(
+            "uid", "g", "shard", F.when((F.col("to") < 0) & (F.col("size") <= SMALL), -2).otherwise(F.col("to")).alias("to"), "less")
         free = state.where("g is null").select("uid", "g", "shard", F.lit(-2).alias("to"), F.lit(0).alias("less"))
         want = stage(want.unionByName(free), "shard-want")
 
         # Quotas between the shards: at most shards * shards rows.
-        flow = want.groupBy("shard", "to").agg(F.count("*").alias("m"))
+        flow = want.groupBy("shard", "to").agg(F.count("*").alias("m"), F.count_if(F.col("less") <= 1 - STRONG.bit_length()).alias("strong"),
+                                               F.count_if(F.col("less") == 0).alias("free"))
         ids = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
         grid = ids.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> `to`")
-        grid = grid.join(flow, ["shard", "to"], "left").select("shard", "to", F.coalesce("m", F.lit(0)).alias("m"))
-        spare = flow.where("`to` = -2").select(F.col("shard").alias("to"), F.floor(F.col("m") / (shards - 1)).alias("spare"))
+        grid = grid.join(flow, ["shard", "to"], "left").select(
+            "shard", "to", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("m", "strong")])
+        other = max(1, shards - 1)
+        spare = flow.where("`to` = -2").select(F.col("shard").alias("to"), F.floor(F.col("free") / other).alias("spare"),
+                                               F.floor((F.col("m") - F.col("free")) / other).alias("more"))
         back = grid.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("m").alias("back"))
         quota = (grid.join(back, ["shard", "to"]).join(spare, "to", "left")
-                 .select("shard", "to", F.least("m", F.col("back") + F.coalesce("spare", F.lit(0))).alias("moves")))
+                 .withColumn("moves", F.least("m", F.col("back") + F.coalesce("spare", F.lit(0))))
+                 .select("shard", "to", (F.col("moves") + F.least(F.greatest(F.col("strong") - F.col("moves"), F.lit(0)),
+                                                                  F.coalesce("more", F.lit(0)))).alias("moves")))
         other = quota.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("moves").alias("come"))
         quota = quota.join(other, ["shard", "to"]).select("shard", "to", "moves", F.greatest(
             F.col("come") - F.col("moves"), F.lit(0)).alias("send"))
