@@ -46,7 +46,9 @@ BUFFER = 1_000_000
 #: bands of larger sets take one part per choice.
 LEAST_FEATURES, MOST_SIGNATURES = 6, 64
 #: Cells of the count sketch that comparisons look at first.
-CELLS = 512
+CELLS = 256
+#: Bits of the bitmap that names documents whose texts are read again.
+SLOTS = 1 << 21
 #: Sets in a block of the exact comparison inside a bucket.
 BLOCK = 256
 
@@ -84,7 +86,7 @@ class Scheme:
         sharp = [p for p in few if p[1] >= LEAST_FEATURES]
         _, cover, need, n2, k2 = min(sharp) if sharp else max(few, key=lambda p: p[1]) if few else plans[0]
         empty = need * comb(n2, k2) * exp(-cover)
-        spare = ceil(empty + 4 * sqrt(empty)) if need > 1 else 0
+        spare = ceil(empty + 2 * sqrt(empty)) if need > 1 else 0
         return need + spare, n2, k2, spare + 1
 
 
@@ -127,18 +129,24 @@ def node_of(grams: np.ndarray) -> int:
     return int(mix(mix(grams + np.uint64(0x632BE5AB)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
 
+def cell_counts(grams: np.ndarray) -> bytes:
+    """Shingles per hash cell, up to 255: sets differ by at least the sum of the differences."""
+    count = np.bincount((grams >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-ROW = "kind byte, key long, sig long, node long, n int, pivot long, pn int, doc_id long"
+ROW = "kind byte, key long, sig long, node long, n int, pivot long, pn int, doc_id long, cells binary"
 FIELDS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()),
-                    ("pivot", pa.int64()), ("pn", pa.int32()), ("doc_id", pa.int64())])
+                    ("pivot", pa.int64()), ("pn", pa.int32()), ("doc_id", pa.int64()), ("cells", pa.binary())])
 
 
-def _batch(kind, key, sig, node, n, pivot=None, pn=None, doc_id=None) -> pa.RecordBatch:
+def _batch(kind, key, sig, node, n, pivot=None, pn=None, doc_id=None, cells=None) -> pa.RecordBatch:
     size = len(key)
-    cols = [np.full(size, kind, np.int8), key, sig, node, n, pivot, pn, doc_id]
+    cols = [np.full(size, kind, np.int8), key, sig, node, n, pivot, pn, doc_id, cells]
     return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, FIELDS)],
                                       schema=FIELDS)
 
@@ -180,7 +188,7 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
             out = []
             for i, grams in set_rows(batch, shingle):
                 node = node_of(grams)
-                out.append((node, len(grams)))
+                out.append((node, len(grams), cell_counts(grams)))
                 if not len(grams) or ids[i] is None or node in seen:
                     continue
                 if len(seen) > BUFFER:
@@ -198,9 +206,9 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
                     yield from flush()
                     sigs, nodes, ns, held = [], [], [], 0
             if out:
-                node, n = map(np.array, zip(*out))
+                node, n = (np.array([x[i] for x in out]) for i in (0, 1))
                 key = _signed(mix(node.view(np.uint64) + np.arange(len(node), dtype=np.uint64)))
-                yield _batch(0, key, None, node, n.astype(np.int32), doc_id=ids)
+                yield _batch(0, key, None, node, n.astype(np.int32), doc_id=ids, cells=[x[2] for x in out])
         if held:
             yield from flush()
 
@@ -232,32 +240,38 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     alike = F.least("n", "pn") * F.lit(den) >= F.greatest("n", "pn") * F.lit(num)
     pairs = members.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("pn")).alias("both")).distinct()
 
-    # The whole sets of those that share a bucket, made again from the texts of one document each.
+    # One row per set that shares a bucket: a document that holds it, and its counts.
     wanted = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
-    readers = (doc_nodes.where("doc_id is not null").join(wanted, "node", "left_semi")
-               .groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    sketches = stage(table.where("kind = 0 and doc_id is not null").join(wanted, "node", "left_semi")
+                     .groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "near-sketches")
 
     def sets_of(batches):
         for batch in batches:
-            node, cells, got = [], [], []
+            node, got = [], []
             for _, grams in set_rows(batch, shingle):
                 node.append(node_of(grams))
-                count = np.bincount((grams >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
-                cells.append(np.minimum(count, 255).astype(np.uint8).tobytes())
                 got.append(_signed(grams))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(cells, pa.binary()), pa.array(got, pa.list_(pa.int64()))],
-                                             names=["node", "cells", "grams"])
-
-    wanted_texts = rows.join(readers.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    made = wanted_texts.mapInArrow(sets_of, "node long, cells binary, grams array<long>")
-    sets = stage(made.join(readers, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["node", "grams"])
 
     def verified(candidates: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-        b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+        """Candidates whose whole sets are similar; the sets are made again from the texts of one document each.
+
+        A bitmap of ``SLOTS`` bits names the documents to read, so texts of others are not moved.
+        """
+        candidates = stage(candidates, "near-candidates")
+        ends = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
+        readers = stage(sketches.join(ends, "node", "left_semi").select("node", "doc_id"), "near-readers")
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+        bits = (readers.select(F.floor(slot / 32).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int))").alias("bit"))
+                .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+        texts = (rows.withColumn("word", F.floor(slot / 32)).join(F.broadcast(bits), "word")
+                 .where(f"(shiftright(bits, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int)) & 1L) = 1").select("text"))
+        made = texts.mapInArrow(sets_of, "node long, grams array<long>").join(readers, "node", "left_semi").dropDuplicates(["node"])
+        made = stage(made.select("node", "grams"), "near-sets")
+        a, b = (made.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
         common = F.size(F.array_intersect("ga", "gb"))
         union = F.size("ga") + F.size("gb") - common
-        return (candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b"))
+        return candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b")
 
     def counts(batch, column):
         return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
@@ -270,64 +284,74 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
                 may = apart * (num + den) <= batch.column("both").to_numpy() * (den - num)
                 yield batch.select(["a", "b"]).filter(pa.array(may))
 
-    sketches = sets.select("node", "cells")
-    pairs = (pairs.join(sketches.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")
-             .join(sketches.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
+    cells = sketches.select("node", "cells")
+    pairs = (pairs.join(cells.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")
+             .join(cells.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
              .select("a", "b", "both", "ca", "cb").mapInArrow(close, "a long, b long"))
     links = stage(verified(pairs), "near-links")
 
-    def compare(left, right, best):
-        """Pairs of the sets of ``left`` with close ones (or the closest) of ``right`` in other components; rows are (left, node, label, n, cells)."""
-        cells = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    def compare(group, best):
+        """Close pairs across components in a block; rows are (side, node, label, n, cells), side 0 against 1, 2 against all."""
+        right = [r for r in group if r[0] > 0]
+        if not right:
+            return
+        held = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, CELLS).astype(np.int16)
         nodes, labels_r, n_r = (np.array([r[i] for r in right]) for i in (1, 2, 3))
-        for _, node, label, n, own in left:
-            least = np.maximum(np.abs(n_r - n), np.abs(cells - np.frombuffer(own, np.uint8)).sum(axis=1, dtype=np.int64))
+        for at, (side, node, label, n, own) in enumerate(group):
+            if side == 1:
+                continue
+            least = np.maximum(np.abs(n_r - n), np.abs(held - np.frombuffer(own, np.uint8)).sum(axis=1, dtype=np.int64))
             hit = (least * (num + den) <= (n_r + n) * (den - num)) & (labels_r != label)
             if best and hit.any():
                 hit = [np.where(hit, least / (n_r + n), np.inf).argmin()]
-            yield from ((node, x) for x in nodes[hit].tolist())
+            yield from ((min(node, x), max(node, x)) for x in nodes[hit].tolist())
 
     def blocks(batches, best):
-        """Rows sorted by sig, i, j: a block against another at a time."""
-        key, left, right = None, [], []
+        """Rows sorted by sig, i, j: a block at a time."""
+        key, group = None, []
+
+        def done():
+            found = list(dict.fromkeys(compare(group, best)))
+            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])] if found else []
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "left", "node", "label", "n", "cells")]
-            out = []
-            for sig, i, j, is_left, node, label, n, cells in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "side", "node", "label", "n", "cells")]
+            for sig, i, j, *row in zip(*cols):
                 if (sig, i, j) != key:
-                    if left and right:
-                        out += compare(left, right, best)
-                    key, left, right = (sig, i, j), [], []
-                (left if is_left else right).append((is_left, node, label, n, cells))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-        if left and right and (out := list(compare(left, right, best))):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                    yield from done()
+                    key, group = (sig, i, j), []
+                group.append(row)
+        yield from done()
 
     def across(labels: DataFrame, best: bool) -> DataFrame:
-        """Links between components, of all candidates or of the closest ones."""
-        # Buckets of more than two sets (a pair has been compared) that are still apart, one of those with the same sets: blocks of sets outside the main component against all others.
+        """Links between components: of the closest candidates, in buckets in which something is linked, or of all.
+
+        Of buckets of more than two sets (a pair has been compared) that are still apart,
+        one of those with the same sets.  Small ones are one block, larger ones go as blocks
+        of the sets outside the main component against blocks of all.
+        """
         inside = members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct()
         inside = inside.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-        apart = (inside.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
-                                              F.bit_xor(F.xxhash64("node")).alias("same"))
-                 .where("lo <> hi and size > 2").groupBy("size", "same").agg(F.min("sig").alias("sig")).select("sig", "size"))
-        inside = stage(inside.join(apart, "sig"), "near-apart")
-        by_label = inside.groupBy("sig", "label").agg(F.count("*").alias("m"))
-        main = by_label.groupBy("sig").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"))
-        inside = inside.join(main, "sig").select(
-            "sig", "node", "label", "n", (F.col("label") != F.col("main")).alias("minor"),
-            F.ceil(F.col("size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int").alias("tall"))
-        spread = F.pmod(F.xxhash64("node"), F.col("wide").cast("long")).cast("int")
-        row = F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int")
-        against = inside.select("sig", "node", "label", "n", F.lit(False).alias("left"), spread.alias("j"),
-                                F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"))
-        outsiders = inside.where("minor").select("sig", "node", "label", "n", F.lit(True).alias("left"),
-                                                 F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), row.alias("i"))
-        placed = against.unionByName(outsiders)
-        found = (placed.join(sketches, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        main = (inside.groupBy("sig", "label").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("same"))
+                .groupBy("sig").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("size"),
+                                    F.bit_xor("same").alias("same")))
+        main = main.where("m < size and size > 2 and m > 1" if best else "m < size and size > 2")
+        main = main.groupBy("size", "same").agg(F.min_by(F.struct("sig", "main", "m"), "sig").alias("one")).select("size", "one.*")
+        inside = inside.join(main, "sig").withColumns({
+            "wide": F.ceil(F.col("size") / BLOCK).cast("int"), "tall": F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int")})
+        kept = ["sig", "node", "label", "n"]
+        small = inside.where("wide = 1").select(*kept, F.when(F.col("label") == F.col("main"), 1).otherwise(2).alias("side"),
+                                                F.lit(0).alias("i"), F.lit(0).alias("j"))
+        large = inside.where("wide > 1")
+        against = large.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"),
+                               F.pmod(F.xxhash64("node"), F.col("wide").cast("long")).cast("int").alias("j"))
+        outsiders = large.where("label <> main").select(
+            *kept, F.lit(0).alias("side"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int").alias("i"),
+            F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
+        placed = small.unionByName(against, allowMissingColumns=False).unionByName(outsiders)
+        found = (placed.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
                  .mapInArrow(lambda batches: blocks(batches, best), "a long, b long"))
-        return verified(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return verified(found.distinct())
 
     labels = stage(components(links, "near-labels"), "near-labels")
     for best in (True, False):
