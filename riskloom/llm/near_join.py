@@ -26,7 +26,8 @@ From the signatures to components:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 from itertools import combinations
 from math import ceil, comb, exp, sqrt
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.graph import components
 from riskloom.llm.words import Words, gram_hashes, mix, slices
-from riskloom.staging import stage
+from riskloom.staging import stage as write_stage
 
 #: Signature rows that a map task sorts at a time.
 BUFFER = 1_000_000
@@ -151,6 +152,19 @@ def _batch(kind, key, sig, node, n, pivot=None, pn=None, doc_id=None, cells=None
                                       schema=FIELDS)
 
 
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """A staged table, after which shuffle files that no live plan needs are given up.
+
+    Spark deletes them when the driver collects its garbage, which a driver that only waits for jobs
+    seldom does; the signatures' files are larger than anything that follows.
+    """
+    out = write_stage(df, name, partition_by)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``n_links``.
 
