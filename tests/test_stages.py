@@ -46,7 +46,8 @@ def test_reports_before_the_cohort(job):
     assert cleared["total_rev_hi_lim"] == 0 and all(cleared[c] > 0 for c in ("annual_inc", "revol_util", "pub_rec"))
     inv = job.inventory().collect()
     assert len(inv) == 151 and [r["status"] for r in inv] == sorted((r["status"] for r in inv), key=policy.STATUS_ORDER.get)
-    assert job.lag()["global"].count() == 2
+    ladder = job.lag()["global"].collect()
+    assert len(ladder) == 4 and sum(r["n_rows"] > 0 for r in ladder) == 2
     assert policy.policy_gaps(profiling.header_table(job.raw_rows()), job.policy.table(job.spark)).count() == 0
 
 
@@ -86,3 +87,21 @@ def test_command_line_rejects_missing_features():
     from riskloom.__main__ import main
     with pytest.raises(SystemExit):
         main(["ablate", "--raw", "x", "--out", "y"])
+
+
+def test_command_starts_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    main = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "riskloom", "__main__.py")
+    done = subprocess.run([sys.executable, main, "--help"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and "smote" in done.stdout
+
+
+def test_functions_for_workers_travel_by_value():
+    from pyspark import cloudpickle
+
+    import riskloom
+    from riskloom.operators.trees import Tree
+    assert riskloom.__name__ in cloudpickle.list_registry_pickle_by_value()
+    assert b"def_types" in cloudpickle.dumps(Tree) or b"_make_skeleton_class" in cloudpickle.dumps(Tree)
