@@ -6,10 +6,15 @@ lose to others), and so is every gram, or single line, that reaches ``min_words`
 A run of whole lines that two places share and that has ``min_words`` words holds a
 common fingerprint: one line or two are one themselves, longer runs hold a window.
 
-The first place of a fingerprint, by doc_id and line, is joined to the later ones.
-Places with the same two documents and the same distance are one diagonal; along it the
-match is extended both ways over equal lines, and runs of at least ``min_words`` words
-are deleted from the later place.
+That holds for a window of 2; with a larger one runs of 3 to ``window`` lines can have none.
+
+Fingerprints that occur twice only name candidates.  What is compared are contexts: from
+every line the shortest run forward, and the shortest run back, that has ``min_words``
+words.  A repeated run of ``min_words`` words is the union of the contexts inside it, and
+each of them holds a fingerprint of the run, so only contexts around repeated
+fingerprints are written.  The first place of a context, by doc_id and line, keeps it and
+all later ones are deleted: no place is compared with a single other document, and no
+pairs are made.
 """
 
 from __future__ import annotations
@@ -59,16 +64,47 @@ def _fingerprints(window: int, min_words: int) -> Column:
         F.transform(singles, lambda i: F.struct(F.get("h", i).alias("a"), F.lit(0).cast("long").alias("b"), i.alias("pos"))))
 
 
-def _runs(min_words: int) -> Column:
-    """Runs (s, e) of the later row's lines that equal the earlier row's along the diagonal ``delta``."""
-    low = F.greatest(F.lit(0), F.col("delta"))
-    high = F.least(F.size("h"), F.size("fh") + F.col("delta")) - 1
-    differ = F.filter(F.sequence(low, high), lambda p: F.get("h", p) != F.get("fh", p - F.col("delta")))
-    breaks = F.concat(F.array(low - 1), differ, F.array(high + 1))
-    spans = _let(breaks, lambda b: F.transform(F.sequence(F.lit(1), F.size(b) - 1), lambda k: F.struct(
-        (F.get(b, k - 1) + 1).alias("s"), (F.get(b, k) - 1).alias("e"))))
-    return F.filter(spans, lambda x: (x["e"] >= x["s"]) & (F.aggregate(
-        F.slice("n", x["s"] + 1, F.greatest(x["e"] - x["s"] + 1, F.lit(0))), F.lit(0), lambda t, v: t + v) >= min_words))
+def _contexts(min_words: int) -> Column:
+    """Contexts of a row's lines that hold one of its sorted line numbers ``hits``: structs (a, b, s, e), lines s to e."""
+    size = F.size("h")
+    every = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    # Lines without words never complete a context, they only lengthen it at the end away from its words.
+    worded = F.filter(every, lambda i: F.get("n", i) > 0) if min_words > 0 else every
+    most = max(1, min_words)
+
+    def lines_needed(counts: Column) -> Column:
+        """How many of the counts reach min_words, null when all are too few."""
+        return F.aggregate(counts, F.struct(F.lit(0).alias("t"), F.lit(0).alias("c")),
+                           lambda x, v: F.when((x["c"] > 0) & (x["t"] >= min_words), x).otherwise(
+                               F.struct((x["t"] + v).alias("t"), (x["c"] + 1).alias("c"))),
+                           lambda x: F.when((x["c"] > 0) & (x["t"] >= min_words), x["c"]))
+
+    def spans(q: Column, m: Column, last: Column, first: Column) -> Column:
+        index = F.sequence(F.lit(0), F.size(q) - 1)
+        forward = F.flatten(F.transform(F.filter(index, lambda k: F.get(last, k).isNotNull()), lambda k: F.transform(
+            F.sequence(F.coalesce(F.get(q, k - 1), F.lit(-1)) + 1, F.get(q, k)),
+            lambda i: F.struct(i.alias("s"), F.get(q, F.get(last, k)).alias("e")))))
+        back = F.flatten(F.transform(F.filter(index, lambda k: F.get(first, k).isNotNull()), lambda k: F.transform(
+            F.filter(F.sequence(F.get(q, k), F.coalesce(F.get(q, k + 1), size) - 1),
+                     lambda p: (p != F.get(q, k)) | (F.get(last, F.get(first, k)) != k)),
+            lambda p: F.struct(F.get(q, F.get(first, k)).alias("s"), p.alias("e")))))
+        return F.concat(forward, back)
+
+    def found(q: Column) -> Column:
+        index = F.sequence(F.lit(0), F.size(q) - 1)
+        return _let(F.transform(q, lambda i: F.get("n", i)), lambda m: _let(
+            F.transform(index, lambda k: k + lines_needed(F.slice(m, k + 1, most)) - 1), lambda last: _let(
+                F.transform(index, lambda k: k + 1 - lines_needed(F.reverse(F.slice(
+                    m, F.greatest(k + 2 - most, F.lit(1)), F.least(k + 1, F.lit(most)))))),
+                lambda first: spans(q, m, last, first))))
+
+    marks = F.flatten(F.transform(F.sequence(F.lit(0), F.size("hits") - 1), lambda k: F.concat(
+        F.array_repeat(F.lit(False), F.get("hits", k) - F.coalesce(F.get("hits", k - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    near = _let(marks, lambda mark: F.filter(
+        _let(worded, lambda q: F.when(F.size(q) > 0, found(q)).otherwise(F.array().cast("array<struct<s:int,e:int>>"))),
+        lambda x: F.exists(F.slice(mark, x["s"] + 1, x["e"] - x["s"] + 1), lambda y: y)))
+    return F.transform(near, lambda x: _let(F.slice("h", x["s"] + 1, x["e"] - x["s"] + 1), lambda own: F.struct(
+        F.xxhash64(own).alias("a"), F.xxhash64(F.lit(1), own).alias("b"), x["s"].alias("s"), x["e"].alias("e"))))
 
 
 def repeated_runs(docs: DataFrame, window: int = 2, min_words: int = 50) -> DataFrame:
@@ -80,14 +116,12 @@ def repeated_runs(docs: DataFrame, window: int = 2, min_words: int = 50) -> Data
     arrays = stage(arrays, "winnow-lines")
     places = arrays.select("d", "r", F.inline(_fingerprints(window, min_words))).distinct()
     places = stage(places, "winnow-places")
-    first = (places.groupBy("a", "b").agg(F.min(F.struct("d", "r", "pos")).alias("f"), F.count("*").alias("m"))
-             .where("m > 1").select("a", "b", F.col("f.d").alias("fd"), F.col("f.r").alias("fr"), F.col("f.pos").alias("fpos")))
-    diagonals = (places.join(first, ["a", "b"]).where("not (d = fd and r = fr and pos = fpos)")
-                 .select("d", "r", "fd", "fr", (F.col("pos") - F.col("fpos")).alias("delta")).distinct())
-    one = arrays.dropDuplicates(["d", "r"])
-    earlier = one.select(F.col("d").alias("fd"), F.col("r").alias("fr"), F.col("h").alias("fh"))
-    runs = (diagonals.join(earlier, ["fd", "fr"]).join(one, ["d", "r"])
-            .select("d", "r", F.explode(_runs(min_words)).alias("run")))
+    again = places.groupBy("a", "b").agg(F.count("*").alias("m")).where("m > 1").select("a", "b")
+    hits = places.join(again, ["a", "b"]).groupBy("d", "r").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
+    contexts = stage(arrays.join(hits, ["d", "r"]).select("d", "r", F.inline(_contexts(min_words))), "winnow-contexts")
+    first = (contexts.groupBy("a", "b").agg(F.min(F.struct("d", "r", "s")).alias("f"), F.count("*").alias("m"))
+             .where("m > 1").select("a", "b", "f"))
+    runs = contexts.join(first, ["a", "b"]).where(F.struct("d", "r", "s") != F.col("f")).select("d", "r", F.struct("s", "e").alias("run"))
     runs = runs.distinct().groupBy("d", "r").agg(F.collect_set("run").alias("runs"))
     return runs.select("d", "r", F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["s"], x["e"])))).alias("gone"))
 
@@ -95,9 +129,8 @@ def repeated_runs(docs: DataFrame, window: int = 2, min_words: int = 50) -> Data
 def dedup_lines(docs: DataFrame, window: int = 2, min_words: int = 50, drop_empty: bool = False) -> DataFrame:
     """``docs`` with later repeats of runs of whole lines deleted from ``text``, and ``n_lines``, ``n_removed``.
 
-    A run counts when it has ``min_words`` words and equals, line by line, the earliest
-    place of one of its fingerprints; the earliest place by (doc_id, line) keeps it, also
-    within one document.  Null texts stay null with 0 lines; an empty text is one empty
+    A run counts when it has ``min_words`` words and equals, line by line, any earlier
+    place; the earliest place by (doc_id, line) keeps it, also within one document.  Null texts stay null with 0 lines; an empty text is one empty
     line.  Rows with the same doc_id and text are one document: what goes goes from all of
     them.  Rows without a doc_id come before all others.  A document can end empty; with
     ``drop_empty`` those that lost all their words are left out.

@@ -136,6 +136,31 @@ def test_line_dedup_finds_runs_of_short_lines(spark):
     assert got[4] == ("\n".join([line("u", 60), line("v", 5)]), 1)
 
 
+def test_line_dedup_looks_past_the_first_place_of_short_lines(spark):
+    """Lines A, B come first in other company, too few words to go; A, B, C repeat later."""
+    line = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = []
+    for t in range(12):
+        a, b, c = (line(f"{x}{t}_", 18) for x in "abc")
+        rows += [(10 * t, "\n".join([a, b, line(f"u{t}_", 9)])), (10 * t + 1, "\n".join([line(f"v{t}_", 9), a, b, c])),
+                 (10 * t + 2, "\n".join([a, b, c, line(f"w{t}_", 9)]))]
+    rows += [(200, line("x", 60)), (201, "\n".join([line("x", 60), line("y", 9)])), (202, "\n".join(["", line("x", 60), line("y", 9), ""]))]
+    got = {r.doc_id: r.text for r in line_winnow.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == deduped(rows)
+    assert all(got[10 * t + 2] == line(f"w{t}_", 9) for t in range(12)) and got[202] == "\n"
+
+
+def test_line_dedup_of_random_lines_equals_brute_force(spark):
+    """Few distinct lines in any company, with lines without words among them."""
+    rng = np.random.default_rng(11)
+    lines = ["", " ", *(" ".join(f"l{i}_{j}" for j in range(n)) for i, n in enumerate([1, 3, 5, 8, 12, 20, 60]))]
+    rows = [(i, "\n".join(lines[j] for j in rng.integers(0, len(lines), rng.integers(1, 25)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (20, 50):
+        got = {r.doc_id: r.text for r in line_winnow.dedup_lines(docs, min_words=least).collect()}
+        assert got == deduped(rows, least)
+
+
 def test_line_dedup_on_odd_rows(odd, none):
     got = line_winnow.dedup_lines(odd)
     assert got.count() == odd.count() and set(odd.columns) == set(got.columns)
