@@ -41,8 +41,11 @@ PATTERNS = (
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("name", r"(?i:\b(?:" + "|".join(TITLES) + r"))\.? " + _NAME + r"(?: " + _NAME + r")?"),
 )
-#: Texts without this hold no entity (read by Arrow's engine).
-MAY_HOLD = r"[0-9@]|[A-F]{32}|[a-f]{32}|(?:AKIA|ASIA|sk|pk|ghp|gho|xox[bp])|(?i)\b(?:" + "|".join(TITLES) + r")\.? "
+#: Letters of titles with all characters that Python's matching takes for them; engines differ in that and in word boundaries.
+_FOLDS = {c: "".join(x for x in map(chr, range(0x2200)) if re.match(c, x, re.IGNORECASE)) for c in set("".join(TITLES)) - {"-"}}
+#: Texts without this hold no entity.  Read by Arrow's engine and by Spark's, so it has only what both read alike.
+MAY_HOLD = (r"[0-9@]|[A-F]{32}|[a-f]{32}|(AKIA|ASIA|sk|pk|ghp|gho|xox[bp])|("
+            + "|".join("".join(f"[{_FOLDS[c]}]" if c in _FOLDS else c for c in t) for t in TITLES) + r")\.? ")
 _SCRIPTS = (("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("а", "я", "абвгдежзийклмнопрстуфхцчшщыьэюя"), ("α", "ω", "αβγδεζηθικλμνξοπρστυφχψω"))
 _VOWELS = {"a": "aeiou", "а": "аеиоу", "α": "αειου"}
 
@@ -254,7 +257,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     import copy
     out = copy.deepcopy(schema).add("n_entities", "long")
     # Texts that cannot hold an entity are not shuffled to meet the entities past their first try.
-    may = F.col("text").rlike("[0-9@]|[A-F]{32}|[a-f]{32}|(AKIA|ASIA|sk|pk|ghp|gho|xox[bp])|(?iu)\\b(" + "|".join(TITLES) + ")\\.? ")
+    may = F.col("text").rlike(MAY_HOLD)
     plain = base.where(F.col("text").isNull() | ~may).withColumn("n_entities", F.lit(0).cast("long")).drop("__row")
     held = base.where(may).join(where, "__row", "left").drop("__row").mapInArrow(write, out)
     return plain.select(*names, "n_entities").unionByName(held)

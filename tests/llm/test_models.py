@@ -141,6 +141,13 @@ def test_surrogates(spark):
     assert got != {r.doc_id: r.text for r in surrogates.replace(docs, "other").collect()}
 
 
+@pytest.mark.parametrize("text,name", [("Вчера г-н Иванов пришёл", "Иванов"), ("г-жа Петрова", "Петрова"), ("Г-н Иванов", "Иванов"), ("Г-ЖА Петрова", "Петрова"),
+                                       ("ayer SEÑOR Gómez", "Gómez"), ("Hier Mme. Dubois", "Dubois")])
+def test_surrogates_of_names_without_digits_in_the_text(spark, text, name):
+    got = surrogates.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert got.n_entities == 1 and name not in got.text and got.text.startswith(text[:text.index(name)])
+
+
 def test_surrogates_stay_apart(spark):
     """More entities of one small format than chance keeps apart: none shares a surrogate, none is one that occurs."""
     rows = [(i, f"mail q{i}@x.org now") for i in range(60)] + [(100, "q1@x.org and Q1@x.org")]
