@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,47 @@ def parts(kind: str, mention: str) -> list[tuple[int, int, str, str]]:
         return [(0, len(mention), kind, canon)]
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+", mention)]
     gender = TITLES.get(mention[:words[0][1]].rstrip(".").lower(), "")
-    names = words[1:]
+    names = [(a, b - 2 if re.search(r"..['’]s$", mention[a:b]) else b) for a, b in words[1:]]
     return [(a, b, f"given-{gender}" if len(names) > 1 and i == 0 else "family", mention[a:b].lower()) for i, (a, b) in enumerate(names)]
 
 
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """All mentions in a text, left to right: start, end, type, canonical form.
+
+    Names found behind titles are also replaced where they stand without one: as whole words
+    of any capitalised form.  A word that is a given and a family name is the given name right
+    before a family name, else the family name; of several given names it is the one that
+    came with that family name, or the first.
+    """
+    spans = find(text)
+    out, given, family, forms = [], {}, set(), set()
+    for s, e, kind in spans:
+        inside = [(s + a, s + b, k, c) for a, b, k, c in parts(kind, text[s:e])]
+        out += inside
+        if kind == "name":
+            last = inside[-1][3]
+            family.add(last)
+            for a, b, k, c in inside:
+                forms.add(text[a:b])
+                if k != "family":
+                    given.setdefault(c, {}).setdefault(last, k)
+    if not forms:
+        return out
+    anyone = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x) for x in sorted(forms, key=lambda x: (-len(x), x))) + r")(?!\w)", re.IGNORECASE)
+    starts = [s for s, _, _ in spans]
+    bare = []
+    for m in anyone.finditer(text):
+        at = bisect_right(starts, m.start())
+        free = (at == 0 or spans[at - 1][1] <= m.start()) and (at == len(spans) or m.end() <= spans[at][0])
+        if free and not m[0][0].islower() and (m[0].lower() in family or m[0].lower() in given):
+            bare.append((m.start(), m.end(), m[0].lower()))
+    for i, (s, e, c) in enumerate(bare):
+        after = bare[i + 1] if i + 1 < len(bare) and text[e:bare[i + 1][0]] == " " and bare[i + 1][2] in family else None
+        first = c in given and (c not in family or after is not None)
+        out.append((s, e, given[c].get(after[2] if after else "", next(iter(given[c].values()))) if first else "family", c))
+    return sorted(out)
+
+
 class Maker:
     """Surrogates under a key."""
 
@@ -169,7 +207,7 @@ def _rows(batch: pa.RecordBatch):
     held = pc.fill_null(pc.match_substring_regex(batch.column("text"), MAY_HOLD), False).to_numpy(zero_copy_only=False)
     for i in np.flatnonzero(held).tolist():
         text = batch.column("text")[i].as_py()
-        found = [(s + a, s + b, k, c) for s, e, kind in find(text) for a, b, k, c in parts(kind, text[s:e])]
+        found = entities(text)
         if found:
             yield i, text, found
 
@@ -181,7 +219,7 @@ def _class(kind):
 
 def tries(docs: DataFrame, key: str, rounds: int = 60) -> DataFrame:
     """``kind``, ``canon``, ``turn`` of the entities that are past their first try."""
-    def entities(batches):
+    def known_in(batches):
         for batch in batches:
             seen = {(k, c) for _, _, found in _rows(batch) for _, _, k, c in found}
             if seen:
@@ -195,7 +233,7 @@ def tries(docs: DataFrame, key: str, rounds: int = 60) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=["kind", "canon", "turn", "made"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    known = stage(texts.mapInArrow(entities, "kind string, canon string").distinct(), "entities")
+    known = stage(texts.mapInArrow(known_in, "kind string, canon string").distinct(), "entities")
     real = known.select(_class(F.col("kind")).alias("class"), F.col("canon").alias("made")).distinct().withColumn("occurs", F.lit(True))
     now = stage(known.withColumn("turn", F.lit(0)).mapInArrow(make, "kind string, canon string, turn int, made string"), "surrogates")
     for _ in range(rounds):
@@ -219,7 +257,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with surrogates in ``text`` and ``n_entities``, the number of mentions replaced.
 
     Null texts stay null with 0 mentions.  Rows that repeat are treated alike.  A name needs
-    a title before it to be detected.
+    a title before it to be detected; its mentions without one in the same text are replaced too.
     """
     names = [c for c in docs.columns if c != "n_entities"]
     late = stage(tries(docs, key), "late-entities")

@@ -148,6 +148,19 @@ def test_surrogates_of_names_without_digits_in_the_text(spark, text, name):
     assert got.n_entities == 1 and name not in got.text and got.text.startswith(text[:text.index(name)])
 
 
+def test_surrogates_of_later_mentions_without_a_title(spark):
+    texts = ["Smith wrote. Mr. John Smith signed. Later Smith and John Smith left; SMITH's and Smith-led, not Smithson or smith.",
+             "Mrs. Kim Lee's car, Mr. Kim Park and Mr. Lee Kim. Then Kim Lee, Kim Park, Lee Kim, Lee and Kim.",
+             "Г-н Иван Иванов пришёл. Иванов ушёл, a@Иванов.", "No title here: Smith and John Smith left."]
+    got = [r for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"(\w+) wrote\. Mr\. (\w+) (\w+) signed\. Later (\w+) and (\w+) (\w+) left; (\w+)'s and (\w+)-led, not Smithson or smith\.", got[0].text)
+    assert m[1] == m[3] == m[4] == m[6] == m[7].capitalize() == m[8] != "Smith" and m[2] == m[5] != "John" and m[7].isupper() and got[0].n_entities == 8
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+)'s car, Mr\. (\w+) (\w+) and Mr\. (\w+) (\w+)\. Then (\w+) (\w+), (\w+) (\w+), (\w+) (\w+), (\w+) and (\w+)\.", got[1].text)
+    assert m.groups()[6:12] == m.groups()[:6] and m[13] == m[2] and m[14] == m[6] and m[1] != m[3]
+    assert "Иванов" not in got[2].text and got[2].n_entities == 4
+    assert got[3].text == texts[3] and got[3].n_entities == 0
+
+
 def test_surrogates_stay_apart(spark):
     """More entities of one small format than chance keeps apart: none shares a surrogate, none is one that occurs."""
     rows = [(i, f"mail q{i}@x.org now") for i in range(60)] + [(100, "q1@x.org and Q1@x.org")]
