@@ -41,16 +41,30 @@ class Words:
         return pd.util.hash_array(self.distinct.to_numpy(zero_copy_only=False), categorize=False)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE_BYTES`` of text each, one row at least."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(sizes) // SLICE_BYTES
+    part = np.cumsum(sizes, dtype=np.int64) // size
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)] if len(sizes) else []
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts in a row and where each starts (one more at the end); null counts as empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[starts[0]:starts[-1]], starts - starts[0]
+
+
+def as_texts(data: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Texts from their UTF-8 bytes and starts, the inverse of ``text_bytes``."""
+    parts = [None, pa.py_buffer(np.ascontiguousarray(starts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_string(), len(starts) - 1, parts).cast(pa.string())
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (the finaliser of splitmix64)."""
     x = np.asarray(x, np.uint64)
