@@ -11,8 +11,10 @@ minima; of each minimum only the low ``BITS`` bits are kept, packed into 64-bit
    deviations below the wanted one are dropped.  What is left is confirmed on full sets.
 2. Confirmed links join sets to components.  In buckets that hold several components, the
    sets outside the largest one meet all that are in another one, in blocks of bounded
-   size: first only the closest of them is confirmed, which joins most of what can be
-   joined, then all that are still apart.  No partner is capped.
+   size.  What the estimate leaves there is held against counts of shingles per hash cell,
+   which bound the difference of two sets from below, so pairs that are certainly apart
+   never leave their task.  First only the closest candidate of a set is confirmed, which
+   joins most of what can be joined, then all that are still apart.  No partner is capped.
 
 A pair at the wanted similarity is missed when no band agrees: (1 - 0.85 ** 5) ** 25, less
 than one in two million.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.graph import components
-from riskloom.llm.near_join import node_of, set_rows
+from riskloom.llm.near_join import CELLS, cell_counts, node_of, set_rows
 from riskloom.llm.words import mix, slices
 from riskloom.staging import stage
 
@@ -122,7 +124,7 @@ def _pairs_of(a: list[int], b: list[int]) -> pa.RecordBatch:
 def _compare(group: dict[str, np.ndarray], most: int, num: int, den: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
     """Close pairs across components of one block; ``side`` 0 meets 1, 2 meets all."""
     asks, meets = np.flatnonzero(group["side"] != 1), np.flatnonzero(group["side"] != 0)
-    bits, label, n, node = (group[c] for c in ("bits", "label", "n", "node"))
+    bits, label, n, node, cells = (group[c] for c in ("bits", "label", "n", "node", "cells"))
     found = [], []
     step = max(1, (1 << 18) // max(1, len(meets)))
     for at in range(0, len(asks), step):
@@ -130,12 +132,18 @@ def _compare(group: dict[str, np.ndarray], most: int, num: int, den: int, best:
         off = unequal(bits[i][:, None, :], bits[meets][None, :, :])
         small, large = np.minimum(n[i][:, None], n[meets]), np.maximum(n[i][:, None], n[meets])
         hit = (off <= most) & (label[i][:, None] != label[meets]) & (small * den >= large * num)
-        if best:
-            first = np.where(hit, off, MINIMA + 1).argmin(axis=1)
-            x = np.flatnonzero(hit[np.arange(len(i)), first])
-            y = first[x]
-        else:
-            x, y = np.nonzero(hit)
+        x, y = np.nonzero(hit)
+        near = np.empty(len(x), bool)
+        for p in range(0, len(x), 1 << 15):
+            u, v = i[x[p:p + (1 << 15)]], meets[y[p:p + (1 << 15)]]
+            apart = np.abs(cells[u] - cells[v]).sum(axis=1, dtype=np.int64)
+            near[p:p + (1 << 15)] = apart * (num + den) <= (n[u] + n[v]) * (den - num)
+        x, y = x[near], y[near]
+        if best and len(x):
+            order = np.lexsort((off[x, y], x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]])
+            x, y = x[first], y[first]
         found[0].append(node[i[x]])
         found[1].append(node[meets[y]])
     a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
@@ -144,7 +152,7 @@ def _compare(group: dict[str, np.ndarray], most: int, num: int, den: int, best:
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j), a block at a time; of a block only its own rows are held."""
-    cols = ("key", "i", "j", "side", "node", "label", "n", "bits")
+    cols = ("key", "i", "j", "side", "node", "label", "n", "bits", "cells")
     held: dict[str, np.ndarray] | None = None
 
     def closed(rows, cuts):
@@ -155,8 +163,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int, num: int, den: int, be
                 yield _pairs_of(pairs[:, 0], pairs[:, 1])
 
     for batch in batches:
-        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in cols[:-1]}
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in cols[:-2]}
         rows["bits"] = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        rows["cells"] = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, CELLS).astype(np.int16)
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in cols}
         new = np.flatnonzero((rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])) + 1
@@ -185,11 +194,13 @@ class _Sets:
                         keys[i], bits[i] = k, w
                     yield pa.RecordBatch.from_arrays(
                         [part.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                         pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "keys", "bits"])
+                         pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
+                         pa.array([cell_counts(s) for s in sets], pa.binary())], names=["doc_id", "node", "n", "keys", "bits", "cells"])
 
-        self.docs = stage(self.texts.mapInArrow(sign, "doc_id long, node long, n int, keys array<long>, bits array<long>"), "bbit-docs")
+        self.docs = stage(self.texts.mapInArrow(sign, "doc_id long, node long, n int, keys array<long>, bits array<long>, cells binary"), "bbit-docs")
         self.sets = stage(self.docs.where("doc_id is not null and n > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")), "bbit-sets")
+            F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"),
+            F.first("cells").alias("cells")), "bbit-sets")
         rows = self.sets.select("node", F.explode("keys").alias("key"))
         shared = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
         self.members = stage(rows.join(shared, "key"), "bbit-members")
@@ -248,7 +259,7 @@ class _Sets:
         spot = lambda salt, parts: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts).cast("long")).cast("int")
         meets = large.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"), spot(0, "wide").alias("j"))
         asks = large.where("outside").select(*kept, F.lit(0).alias("side"), spot(1, "tall").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
-        placed = small.unionByName(meets).unionByName(asks).join(self.sets.select("node", "n", "bits"), "node")
+        placed = small.unionByName(meets).unionByName(asks).join(self.sets.select("node", "n", "bits", "cells"), "node")
         most, num, den = self.most, self.num, self.den
         return (placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
                 .mapInArrow(lambda batches: _blocks(batches, most, num, den, best), "a long, b long").distinct())
