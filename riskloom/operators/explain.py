@@ -57,6 +57,17 @@ def scorecard_attribution(card: Scorecard, reference: DataFrame, rows: DataFrame
     return linear_attribution(card.spec.with_flags(rows), coefs, encoded, means, n, keep, raw)
 
 
+def scorecard_additivity(card: Scorecard, reference: DataFrame, rows: DataFrame, key: str = "app_id") -> DataFrame:
+    """Per row: contributions plus the base of the reference rows, the log-odds, and how far they are apart."""
+    names = card.prep.names
+    means = encoded_means(card.prep.matrix(card.spec.with_flags(reference)), names)
+    coefs = dict(zip(names, card.model.coefficients.toArray()))
+    base = float(card.model.intercept) + sum(float(b) * means[f] for f, b in coefs.items())
+    phi = scorecard_attribution(card, reference, rows, len(names), [key]).groupBy(key).agg((F.sum("phi") + F.lit(base)).alias("total"))
+    odds = card.score(rows, [key]).select(key, F.ln(F.col("p") / (1 - F.col("p"))).alias("margin"))
+    return phi.join(odds, key).select(key, F.abs(F.col("total") - F.col("margin")).alias("error"))
+
+
 def tree_attribution(forest: Forest, vectors: DataFrame, names: Sequence[str], n: int = ROW_TOP,
                      keep: Sequence[str] = ("app_id",), raw: Mapping[str, Column] | None = None) -> DataFrame:
     """Top ``n`` Shapley contributions of a boosted model per row."""

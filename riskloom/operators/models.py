@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassifier)
+                                       LogisticRegressionModel)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ from riskloom.functions.scalars import safe_ratio
 from riskloom.functions.verdicts import ABLATION_NOISE, challenger_band, keep_band, noise_band
 from riskloom.operators.cleaning import add_missing_flags
 from riskloom.operators.comparison import align_scores, caught_change, review_overlap, spearman
-from riskloom.operators.evaluation import auc_gini, metric_block
+from riskloom.operators.evaluation import metric_block
 from riskloom.operators.features import Preparation, fit_preparation
 from riskloom.operators.resampling import oversample
 from riskloom.operators.splitting import stratified_holdout, with_class_weight
-from riskloom.operators.trees import Forest, forest_of, staged_margins
+from riskloom.operators.trees import Forest, auc_by_round, forest_of
 from riskloom.sources.policy import REVIEW_CAPACITY
 from riskloom.staging import stage
 
@@ -64,8 +66,18 @@ def fit_logistic(vectors: DataFrame, label: str = "y", weight: str | None = None
     return (est.setWeightCol(weight) if weight else est).fit(vectors)
 
 
-def fit_forest(vectors: DataFrame, label: str = "y", seed: int = SEED, **settings):
-    return RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, **{**FOREST, **settings}).fit(vectors)
+def fit_forest(vectors: DataFrame, label: str = "y", seed: int = SEED, **settings) -> RandomForestRegressionModel:
+    """A forest of probability trees: variance of a 0/1 label splits as Gini does, and a leaf predicts its share of class 1.
+
+    Spark's forest classifier merges leaves that agree on the majority class, which for a rare
+    class leaves trees of one node.
+    """
+    return RandomForestRegressor(featuresCol="features", labelCol=label, seed=seed, **{**FOREST, **settings}).fit(vectors)
+
+
+def score_forest(model: RandomForestRegressionModel, vectors: DataFrame, keep: Sequence[str] = ("app_id", "y")) -> DataFrame:
+    """Mean share of class 1 over the trees next to the kept columns."""
+    return model.transform(vectors).select(*keep, F.col("prediction").alias("p"))
 
 
 def fit_boosting(vectors: DataFrame, label: str = "y", rounds: int = BOOSTING_ROUNDS, seed: int = SEED,
@@ -212,40 +224,43 @@ class BoostedPrefix:
         return cls(forest, forest.n_trees, tuple(r["auc"] for r in rounds))
 
 
-def best_prefix(model: GBTClassificationModel, stop: DataFrame, label: str = "y", key: str = "app_id",
-                patience: int = STALE_ROUNDS, block: int = 50) -> BoostedPrefix:
-    """Round with the best AUC before ``patience`` rounds brought nothing better.
+def best_prefix(forest: Forest, stop: DataFrame, label: str = "y", patience: int = STALE_ROUNDS,
+                history: Sequence[float] = (), block: int = 64) -> tuple[list[float], bool]:
+    """AUC by round on the stop set, up to the round at which ``patience`` rounds brought nothing better.
 
-    Rounds are scored in blocks and the walk ends at the stopping point, so the
-    staged margins held at any time are ``block`` per stop-set row.
+    ``history`` holds the rounds already known.  Returns the longer history and whether it
+    ended for lack of progress.  A stop set of one class has no AUC and is refused.
     """
-    forest = forest_of(model)
-    history: list[float] = []
-    best = 0
-
-    def stale() -> bool:
-        return len(history) - 1 - best >= patience
-
-    while len(history) < forest.n_trees and not stale():
-        first, last = len(history), min(len(history) + block, forest.n_trees)
-        margins = stage(staged_margins(forest, stop, first, last, [key, label]), "margins")
-        per_round = {r["round"]: r["auc"] or 0.0
-                     for r in auc_gini(margins, "p", label, key, ["round"]).select("round", "auc").collect()}
-        for r in range(first, last):
-            history.append(per_round[r])
-            if history[r] > history[best]:
-                best = r
-            if stale():
-                break
-    return BoostedPrefix(forest.prefix(best + 1), best + 1, tuple(history))
+    known = list(history)
+    while True:
+        best = int(np.argmax(known)) if known else 0
+        for r in range(best, len(known)):
+            if r - best >= patience:
+                return known[:r + 1], True
+        if len(known) >= forest.n_trees:
+            return known, False
+        known += auc_by_round(forest, stop, len(known), min(len(known) + block, forest.n_trees), label)
 
 
 def fit_boosted_prefix(vectors: DataFrame, label: str = "y", key: str = "app_id", rounds: int = BOOSTING_ROUNDS,
                        patience: int = STALE_ROUNDS, stop_share: float = STOP_SHARE, **settings) -> BoostedPrefix:
-    """Boost on a stratified 85%, pick the prefix on the other 15%; validation rows take no part."""
+    """Boost on a stratified 85%, pick the prefix on the other 15%; validation rows take no part.
+
+    A boosted model's first trees do not depend on how many follow, so rounds are fitted in
+    doubling steps until the stop set has seen ``patience`` rounds without progress or all
+    ``rounds`` are there.  The result is that of one fit of all rounds, at no more than twice
+    the rounds that are needed.
+    """
     marked = stage(stratified_holdout(vectors, stop_share, label, key), "boost-train")
-    model = fit_boosting(marked.where(~F.col("held_out")), label, rounds, **settings)
-    return best_prefix(model, marked.where("held_out"), label, key, patience)
+    train, stop = marked.where(~F.col("held_out")), marked.where("held_out")
+    made, history = min(rounds, 2 * (patience + 1)), []
+    while True:
+        forest = forest_of(fit_boosting(train, label, made, **settings))
+        history, done = best_prefix(forest, stop, label, patience, history)
+        if done or made >= rounds:
+            best = int(np.argmax(history)) + 1
+            return BoostedPrefix(forest.prefix(best), best, tuple(history))
+        made = min(rounds, 2 * made)
 
 
 def model_bench(train: DataFrame, val: DataFrame, spec: ColumnSpec, capacity: float = REVIEW_CAPACITY, label: str = "y",
@@ -258,7 +273,7 @@ def model_bench(train: DataFrame, val: DataFrame, spec: ColumnSpec, capacity: fl
     boosted = fit_boosted_prefix(tv, label, key, **(boosting_settings or {}))
     fits: dict[str, Callable[[], DataFrame]] = {
         "logistic": lambda: score_rows(fit_logistic(tv, label), vv, [key, label]),
-        "forest": lambda: score_rows(fit_forest(tv, label, **(forest_settings or {})), vv, [key, label]),
+        "forest": lambda: score_forest(fit_forest(tv, label, **(forest_settings or {})), vv, [key, label]),
         "boosting": lambda: boosted.forest.score(vv, [key, label]),
     }
     out = None

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,10 +23,9 @@ POINT = -1
 NEIGHBOURS = 5
 BOOT_ROWS_PER_RANGE = 100_000
 ROWS_PER_CELL = 4_000
-MAX_CELLS = 256
 CHUNK = 2_000
-HOT_COPIES = 100_000
-SALTS = 64
+ROWS_PER_SALT = 100_000
+TABLES, LEAF = 24, 64
 
 # Poisson(1) distribution function, 0 .. 17 events.
 _POISSON_CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
@@ -128,10 +129,10 @@ def bootstrap_ci(df: DataFrame, champion: str = "p", challenger: str = "p2", rep
 
 
 def _pivots(df: DataFrame, by: str, key: str, vec: str, cells: dict) -> dict[object, np.ndarray]:
-    """The first rows of every group in hash order; their number is bounded by ``MAX_CELLS``."""
+    """The first rows of every group in hash order, one per cell."""
     w = Window.partitionBy(by).orderBy("__h")
     rows = (df.select(by, vec, key_hash(key, "pivot").alias("__h"))
-            .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= MAX_CELLS)
+            .withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max(cells.values(), default=0))
             .orderBy(by, "__rn").collect())
     found: dict[object, list] = {}
     for r in rows:
@@ -177,6 +178,23 @@ def _reach(pivots: dict[object, np.ndarray], stats: dict[tuple, dict], k: int) -
     return out
 
 
+def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and distance of the ``k`` nearest rows for each row of ``a``; equal distances by id.
+
+    The matrix product only preselects; distances are taken again from the differences.
+    """
+    fast = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T
+    slack = 1e-9 * ((a ** 2).sum(1).max() + (b ** 2).sum(1).max() + 1.0)
+    kth = np.partition(fast, k - 1, axis=1)[:, k - 1:k] if len(b) >= k else np.inf
+    r, c = np.nonzero(fast <= kth + slack)
+    d = np.round(np.sqrt(((b[c] - a[r]) ** 2).sum(axis=1)), 9)
+    order = np.lexsort((ids[c], d, r))
+    r, c, d = r[order], c[order], d[order]
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+    return r[place < k], c[place < k], d[place < k]
+
+
 def _local_neighbours(k: int, by: str, vectors: bool):
     """Nearest candidates of every point of one chunk in one chunk of candidates."""
     cols = [by, "copy", "nn_id", "distance", *(["nn_vec"] if vectors else [])]
@@ -186,24 +204,43 @@ def _local_neighbours(k: int, by: str, vectors: bool):
             return pd.DataFrame({c: pd.Series(dtype=object) for c in cols})
         a, b = np.stack(left["vec"]).astype(float), np.stack(right["vec"]).astype(float)
         ids = right["id"].to_numpy()
-        fast = (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T
-        slack = 1e-9 * ((a ** 2).sum(1).max() + (b ** 2).sum(1).max() + 1.0)
-        out = []
-        for r, copy in enumerate(left["copy"]):
-            row = fast[r]
-            kth = np.partition(row, k - 1)[k - 1] if len(row) >= k else np.inf
-            # the matrix product only preselects; distances are taken again from the differences
-            near = np.flatnonzero(row <= kth + slack)
-            d = np.round(np.sqrt(((b[near] - a[r]) ** 2).sum(axis=1)), 9)
-            for i in np.lexsort((ids[near], d))[:k]:
-                out.append((group[0], copy, ids[near[i]], d[i], *([b[near[i]]] if vectors else [])))
-        return pd.DataFrame(out, columns=cols)
+        r, c, d = _closest(a, b, ids, k)
+        out = pd.DataFrame({by: group[0], "copy": left["copy"].to_numpy()[r], "nn_id": ids[c], "distance": d})
+        return out.assign(nn_vec=list(b[c])) if vectors else out
     return run
 
 
+def _points(df: DataFrame, k: int, key: str, vec: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the name of their vector, and of every set of copies the k+1 lowest ids, numbered."""
+    v = F.col(vec).cast("array<double>")
+    rows = stage(df.select(by, F.col(key).cast("bigint").alias("id"), v.alias("vec"),
+                           F.sha2(F.array_join(v, ","), 256).alias("copy")), "points")
+    w = Window.partitionBy(by, "copy").orderBy("id")
+    return rows, stage(rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1), "distinct-points")
+
+
+def _for_rows(rows: DataFrame, local: DataFrame, k: int, key: str, by: str, vectors: bool, rows_per_salt: int) -> DataFrame:
+    """The nearest of all candidates for each vector, given to every row that has it.
+
+    A vector with more than ``rows_per_salt`` copies gets its list once per so many of them.
+    """
+    near = F.struct("distance", "nn_id", *(["nn_vec"] if vectors else []))
+    lists = (local.groupBy(by, "copy", "nn_id").agg(F.min(near).alias("near"))
+             .groupBy(by, "copy").agg(F.slice(F.sort_array(F.collect_list("near")), 1, k + 1).alias("near")))
+    many = rows.groupBy(by, "copy").agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("salts")).where("salts > 1")
+    lists = lists.join(many, [by, "copy"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    own = rows.select(by, "id", "copy").join(many, [by, "copy"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("salts")
+    others = F.slice(F.filter("near", lambda t: t["nn_id"] != F.col("id")), 1, k)
+    return (own.join(lists, [by, "copy", "salt"]).withColumn("near", others)
+            .select(by, F.col("id").alias(key), F.posexplode("near").alias("i", "t"))
+            .select(by, key, (F.col("i") + 1).alias("nn_rank"), F.col("t.nn_id").alias("nn_id"),
+                    F.col("t.distance").alias("distance"), *([F.col("t.nn_vec").alias("nn_vec")] if vectors else [])))
+
+
 def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec: str = "embedding",
                        by: str = "label", rows_per_cell: int = ROWS_PER_CELL, chunk: int = CHUNK,
-                       hot_copies: int = HOT_COPIES, vectors: bool = False) -> DataFrame:
+                       rows_per_salt: int = ROWS_PER_SALT, vectors: bool = False) -> DataFrame:
     """Exact k nearest other rows within each ``by`` group (few groups): ``(by, key, nn_rank, nn_id, distance)``.
 
     Copies first: rows with the same vector have the same neighbours, and of one
@@ -215,16 +252,15 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     and a candidate is sent to another cell only if the triangle inequality cannot
     rule it out there.  Cells are cut into chunks on both sides, so a dense cell
     becomes many bounded tasks.  Equal distances are ordered by id.
+
+    With many dimensions the triangle inequality rules out little and all pairs of a group
+    are looked at; ``hashed_neighbours`` is the operator for large groups.
     """
     spark = df.sparkSession
-    v = F.col(vec).cast("array<double>")
     kind = df.schema[by].dataType.simpleString()
-    rows = stage(df.select(by, F.col(key).cast("bigint").alias("id"), v.alias("vec"),
-                           F.sha2(F.array_join(v, ","), 256).alias("copy")), "points")
-    w = Window.partitionBy(by, "copy").orderBy("id")
-    points = stage(rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1), "distinct-points")
-    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
-    cells = {g: min(max(1, math.ceil(n / rows_per_cell)), MAX_CELLS) for g, n in sizes.items()}
+    rows, points = _points(df, k, key, vec, by)
+    sizes = {r[by]: r["count"] for r in points.where("nth = 1").groupBy(by).count().collect()}
+    cells = {g: max(1, math.ceil(n / rows_per_cell)) for g, n in sizes.items()}
     pivots = _pivots(points.where("nth = 1"), by, "id", "vec", cells)
     shape = f"`{by}` {kind}, id bigint, vec array<double>, copy string, nth int, cell int, d double"
     placed = stage(points.mapInPandas(_nearest_pivot(spark.sparkContext.broadcast(pivots), by), shape), "cells")
@@ -258,31 +294,122 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     local = asking.groupBy(*groups).cogroup(answering.groupBy(*groups)).applyInPandas(
         _local_neighbours(k + 1, by, vectors),
         f"`{by}` {kind}, copy string, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
-    best = Window.partitionBy(by, "copy").orderBy("distance", "nn_id")
-    per_copy = (local.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
-                .groupBy(by, "copy").agg(F.sort_array(F.collect_list(F.struct(
-                    "distance", "nn_id", *(["nn_vec"] if vectors else [])))).alias("near")))
-
-    # back to the rows; vectors with very many copies are salted
-    hot = [r["copy"] for r in rows.groupBy(by, "copy").count().where(F.col("count") >= hot_copies).select("copy").distinct().collect()]
-    salt, salts = F.lit(0), F.lit(1)
-    if hot:
-        is_hot = F.col("copy").isin(hot)
-        salt = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
-        salts = F.when(is_hot, F.lit(SALTS)).otherwise(1)
-    lists = per_copy.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    own = rows.select(by, "id", "copy", salt.alias("salt"))
-    others = F.slice(F.filter("near", lambda t: t["nn_id"] != F.col("id")), 1, k)
-    return (own.join(lists, [by, "copy", "salt"]).withColumn("near", others)
-            .select(by, F.col("id").alias(key), F.posexplode("near").alias("i", "t"))
-            .select(by, key, (F.col("i") + 1).alias("nn_rank"), F.col("t.nn_id").alias("nn_id"),
-                    F.col("t.distance").alias("distance"), *([F.col("t.nn_vec").alias("nn_vec")] if vectors else [])))
+    return _for_rows(rows, local, k, key, by, vectors, rows_per_salt)
+
+
+# -- nearest neighbours from hash tables ------------------------------------
+
+
+def _projections(table: int, levels: range, dims: int, seed: int | str) -> np.ndarray:
+    """One random direction per level of a table, the same in every task."""
+    return np.stack([np.random.default_rng([zlib.crc32(str(seed).encode()), table, level]).normal(size=dims) for level in levels], axis=1)
+
+
+def hash_tables(points: DataFrame, by: str, tables: int, leaf: int, seed: int | str = SEED, levels: int = 8) -> DataFrame:
+    """``points`` (``by``, ``id``, ``vec``, ..) once per table with the ``bucket`` they are in there.
+
+    All points of a group start in one bucket.  Every level splits the buckets of more than
+    ``leaf`` points along a random direction of its own, at the mean of their projections,
+    an aggregate that is combined before it is shuffled.  Buckets go on splitting until they
+    are small or nothing splits them (equal vectors).
+    """
+    spark = points.sparkSession
+    first = points.select(by, "id", "vec").where("vec is not null")
+    kind = points.schema[by].dataType.simpleString()
+    narrow = stage(first.select(by, "id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), F.lit(0).cast("bigint").alias("bucket"),
+                                F.lit(True).alias("open")), "hash-codes")
+    start, before = 0, None
+    while True:
+        steps = range(start, start + levels)
+
+        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            made = {}
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["vec"])
+                if x.shape[1] not in made:
+                    made[x.shape[1]] = [_projections(t, steps, x.shape[1], seed) for t in range(tables)]
+                for t, directions in enumerate(made[x.shape[1]]):
+                    yield pdf[[by, "id"]].assign(table=t, p=list(np.round(x @ directions, 9)))
+        codes = narrow.join(first.mapInPandas(project, f"`{by}` {kind}, id bigint, table int, p array<double>"), [by, "id", "table"])
+        for i in range(levels):
+            here = F.get("p", F.lit(i))
+            large = (codes.where("open").groupBy(by, "table", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(here).alias("at"))
+                     .where(F.col("n") > leaf).drop("n"))
+            side = F.when(F.col("at").isNotNull(), F.xxhash64("bucket", F.lit(start + i), here > F.col("at"))).otherwise(F.col("bucket"))
+            codes = stage(codes.join(large, [by, "table", "bucket"], "left").select(
+                by, "id", "table", side.alias("bucket"), F.col("at").isNotNull().alias("open"), "p"), "hash-codes")
+        narrow = codes.drop("p")
+        sizes = narrow.where("open").groupBy(by, "table", "bucket").count().where(F.col("count") > leaf)
+        left = sizes.agg(F.count(F.lit(1)).alias("buckets"), F.sum("count").alias("points")).first()
+        if not left["buckets"] or (left["buckets"], left["points"]) == before:
+            return narrow.select(by, "id", "table", "bucket").join(points, [by, "id"])
+        start, before = start + levels, (left["buckets"], left["points"])
+
+
+def hashed_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec: str = "embedding", by: str = "label",
+                      tables: int = TABLES, leaf: int = LEAF, seed: int | str = SEED, rows_per_salt: int = ROWS_PER_SALT,
+                      vectors: bool = False) -> DataFrame:
+    """The k nearest other rows of those that share a bucket of a hash table; output as ``nearest_neighbours``.
+
+    Work and shuffle grow with rows x tables, not with the square of a group.  How many of the
+    true neighbours are found depends on the data: more tables and larger leaves find more,
+    ``neighbour_recall`` measures it.
+    """
+    rows, points = _points(df, k, key, vec, by)
+    placed = hash_tables(points, by, tables, leaf, seed)
+    kind = df.schema[by].dataType.simpleString()
+    cols = [by, "copy", "nn_id", "distance", *(["nn_vec"] if vectors else [])]
+
+    def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by bucket, one bucket at a time; buckets that did not split go in chunks."""
+        held = None
+        for pdf in itertools.chain(batches, [None]):
+            rows_ = held if pdf is None else pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if rows_ is None or not len(rows_):
+                continue
+            code = pd.factorize(pd.MultiIndex.from_frame(rows_[[by, "table", "bucket"]]))[0]
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist()]
+            if pdf is None:
+                cuts.append(len(rows_))
+            x, ids, copies, asks = np.stack(rows_["vec"]), rows_["id"].to_numpy(), rows_["copy"].to_numpy(), rows_["nth"].to_numpy() == 1
+            groups = rows_[by].to_numpy()
+            out = [[], [], [], [], []]
+            for a, b in zip(cuts, cuts[1:]):
+                mine = a + np.flatnonzero(asks[a:b])
+                for at in range(0, len(mine), CHUNK):
+                    for to in range(a, b, CHUNK):
+                        part = mine[at:at + CHUNK]
+                        r, c, d = _closest(x[part], x[to:min(b, to + CHUNK)], ids[to:min(b, to + CHUNK)], k + 1)
+                        for o, v in zip(out, (groups[part[r]], copies[part[r]], ids[to + c], d, to + c)):
+                            o.append(v)
+            if out[0]:
+                g, copy, nn, d, spot = (np.concatenate(o) for o in out)
+                found = pd.DataFrame({by: g, "copy": copy, "nn_id": nn, "distance": d})
+                yield (found.assign(nn_vec=list(x[spot])) if vectors else found)[cols]
+            held = None if pdf is None else rows_.iloc[cuts[-1]:]
+
+    keyed = placed.select(by, "table", "bucket", "id", "vec", "copy", "nth").repartition(by, "table", "bucket")
+    local = keyed.sortWithinPartitions(by, "table", "bucket").mapInPandas(
+        buckets, f"`{by}` {kind}, copy string, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
+    return _for_rows(rows, local, k, key, by, vectors, rows_per_salt)
+
+
+def neighbour_recall(found: DataFrame, exact: DataFrame, key: str = "vec_id", by: str = "label") -> DataFrame:
+    """``n_exact`` true neighbours, ``n_found`` of them found, ``recall``; one row."""
+    have = found.select(by, key, "nn_id", F.lit(1).alias("hit"))
+    return (exact.select(by, key, "nn_id").join(have, [by, key, "nn_id"], "left")
+            .agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found"))
+            .withColumn("recall", F.try_divide(F.col("n_found"), F.col("n_exact"))))
 
 
 def synthetic_minority(minority: DataFrame, n_new: int, k: int = NEIGHBOURS, seed: int | str = SEED,
-                       key: str = "app_id", vec: str = "x") -> DataFrame:
+                       key: str = "app_id", vec: str = "x", neighbours=nearest_neighbours) -> DataFrame:
     """``n_new`` rows on the segments between minority rows and their neighbours.
 
+    ``neighbours`` finds them: exactly, or ``hashed_neighbours`` for a large minority.
+
     Output: ``(synthetic_id, base_id, nn_id, gap, x)``.  Base row, neighbour and
     position on the segment are hashes of (seed, number of the new row), so the
     draw spreads evenly over the base rows.
@@ -293,7 +420,7 @@ def synthetic_minority(minority: DataFrame, n_new: int, k: int = NEIGHBOURS, see
     if n < 2:
         raise ValueError("interpolation needs at least two minority rows")
     k = min(k, n - 1)
-    nn = nearest_neighbours(rows.withColumn("g", F.lit(0)), k, "id", "x", "g", vectors=True).select(
+    nn = neighbours(rows.withColumn("g", F.lit(0)), k, "id", "x", "g", vectors=True).select(
         F.col("id").alias("base_id"), "nn_rank", "nn_id", F.col("nn_vec").alias("nx"))
     index = (global_rank(rows.select("id", F.col("id").cast("double").alias("s")), "s", "id")
              .select(F.col("id").alias("base_id"), (F.col("rank") - 1).alias("idx")))
@@ -313,7 +440,7 @@ def synthetic_minority(minority: DataFrame, n_new: int, k: int = NEIGHBOURS, see
 
 
 def oversample(vectors: DataFrame, k: int = NEIGHBOURS, seed: int | str = SEED, label: str = "y", key: str = "app_id",
-               vec: str = "x") -> DataFrame:
+               vec: str = "x", neighbours=nearest_neighbours) -> DataFrame:
     """Prepared training rows plus synthetic minority rows until both classes are equal.
 
     Input and output: ``(y, x)`` with ``x`` an array; to be used inside a fit only.
@@ -321,6 +448,6 @@ def oversample(vectors: DataFrame, k: int = NEIGHBOURS, seed: int | str = SEED,
     counts = {r[label]: r["count"] for r in vectors.groupBy(label).count().collect()}
     minor = min(counts, key=lambda c: counts[c])
     missing = max(counts.values()) - counts[minor]
-    new = synthetic_minority(vectors.where(F.col(label) == minor), missing, k, seed, key, vec)
+    new = synthetic_minority(vectors.where(F.col(label) == minor), missing, k, seed, key, vec, neighbours)
     kind = vectors.schema[label].dataType
     return vectors.select(label, vec).unionByName(new.select(F.lit(minor).cast(kind).alias(label), F.col("x").alias(vec)))

@@ -8,12 +8,14 @@ broadcast.
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import sigmoid
 from riskloom.staging import shared_dir
 
+#: Rows of one range of margins when the AUC of rounds is tallied.
+ROWS_PER_RANGE = 200_000
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -61,6 +66,12 @@ class Tree:
                 stack.append((int(child), {**path, f: (*bounds, kept)}))
 
 
+def sent(spark: SparkSession, value: object) -> Callable[[], object]:
+    """``value`` as a broadcast that carries the code of its classes, to be called for in a task."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 @dataclass(frozen=True)
 class Forest:
     """Trees whose weighted values add up to the log-odds of class 1."""
@@ -97,12 +108,13 @@ class Forest:
 
     def score(self, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Probability of class 1 next to the kept columns."""
-        shared = vectors.sparkSession.sparkContext.broadcast(self)
+        shared = sent(vectors.sparkSession, self)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = shared()
             for pdf in batches:
                 if len(pdf):
-                    margin = shared.value.margins(np.stack(pdf["x"]))
+                    margin = own.margins(np.stack(pdf["x"]))
                     yield pdf[list(keep)].assign(margin=margin)
         out = _arrays(vectors, keep).mapInPandas(run, _schema(vectors, keep, "margin double"))
         return out.select(*keep, sigmoid("margin").alias("p"))
@@ -137,60 +149,151 @@ def forest_of(model: GBTClassificationModel) -> Forest:
     return Forest(tuple(trees))
 
 
-def staged_margins(forest: Forest, vectors: DataFrame, first: int, last: int, keep: Sequence[str]) -> DataFrame:
-    """Log-odds after each of the rounds ``first`` .. ``last - 1``, long: ``(keep.., round, p)``."""
-    shared = vectors.sparkSession.sparkContext.broadcast(forest.prefix(last))
+def auc_by_round(forest: Forest, vectors: DataFrame, first: int, last: int, label: str = "y",
+                 rows_per_range: int = ROWS_PER_RANGE, sample: int = 20_000) -> list[float]:
+    """AUC after each of the rounds ``first`` .. ``last - 1``, in one pass over the rows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A task adds up the trees once and has the margins of all rounds side by side.  Of each
+    round it sends what it holds per range of margins: distinct values with their positive
+    and negative rows.  Ranges are tallied apart and put together as in ``bootstrap_gini``;
+    their edges come from a bounded sample and move balance only.
+    """
+    spark = vectors.sparkSession
+    shared = sent(spark, forest.prefix(last))
+    rows = vectors.select(F.col(label).cast("int").alias("y"), vector_to_array("features").alias("x"))
+    total = rows.count()
+
+    def margins(own: Forest, x: np.ndarray) -> np.ndarray:
+        out, now = np.empty((last - first, len(x))), np.zeros(len(x))
+        for r, tree in enumerate(own.trees):
+            now = now + tree.predict(x)
+            if r >= first:
+                out[r - first] = now
+        return out
+
+    def pack(y: np.ndarray, m: np.ndarray) -> list[bytes]:
+        value, at = np.unique(m, return_inverse=True)
+        return [value.tobytes(), *(np.bincount(at, weights=w, minlength=len(value)).tobytes() for w in (y, 1 - y))]
+
+    edges = np.zeros((last - first, 0))
+    parts = math.ceil(total / rows_per_range)
+    if parts > 1:
+        some = rows.sample(min(1.0, sample / total), 7).limit(2 * sample).toPandas()
+        if len(some):
+            edges = np.quantile(margins(forest.prefix(last), np.stack(some["x"])), np.arange(1, parts) / parts, axis=1).T
+    cuts = spark.sparkContext.broadcast(edges)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared()
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.stack(pdf["x"])
-            margin = np.zeros(len(x))
-            for r, tree in enumerate(shared.value.trees):
-                margin = margin + tree.predict(x)
-                if r >= first:
-                    yield pdf[list(keep)].assign(round=r, p=margin)
-    return _arrays(vectors, keep).mapInPandas(run, _schema(vectors, keep, "`round` int, p double"))
+            y, out = pdf["y"].to_numpy(float), []
+            for r, m in enumerate(margins(own, np.stack(pdf["x"]))):
+                place = np.searchsorted(cuts.value[r], m, side="right")
+                out += [(first + r, int(i), *pack(y[place == i], m[place == i])) for i in np.unique(place)]
+            yield pd.DataFrame(out, columns=["round", "range", "value", "pos", "neg"])
+
+    def merge(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        value, pos, neg = (np.concatenate([np.frombuffer(v) for v in pdf[c]]) for c in ("value", "pos", "neg"))
+        _, at = np.unique(value, return_inverse=True)
+        pos, neg = np.bincount(at, weights=pos), np.bincount(at, weights=neg)
+        below = np.cumsum(neg) - neg
+        return pd.DataFrame([(*group, pos.sum(), neg.sum(), float((pos * (below + neg / 2)).sum()))], columns=["round", "range", "pos", "neg", "conc"])
+
+    found = (rows.mapInPandas(tally, "`round` int, `range` int, value binary, pos binary, neg binary").groupBy("round", "range")
+             .applyInPandas(merge, "`round` int, `range` int, pos double, neg double, conc double").toPandas().sort_values(["round", "range"]))
+    out = []
+    for _, t in found.groupby("round"):
+        pos, neg = t["pos"].to_numpy(), t["neg"].to_numpy()
+        if not pos.sum() or not neg.sum():
+            raise ValueError("AUC needs rows of both classes")
+        out.append(float((t["conc"].to_numpy() + pos * (np.cumsum(neg) - neg)).sum() / (pos.sum() * neg.sum())))
+    return out
 
 
-def shapley(forest: Forest, x: np.ndarray) -> np.ndarray:
-    """Path-dependent Shapley values (log-odds) of a batch, one column per feature.
+#: Paths with up to so many features have the shares of all their patterns laid down once.
+TABLE_DEPTH = 10
+
 
-    A leaf contributes value x product over its path features of "known and
-    inside" (0/1) or "unknown" (share of cover).  The Shapley weights of such a
-    product game follow from the polynomial prod(share_i + inside_i t) over the
-    other features: its s-th coefficient collects all coalitions of size s.
+def pattern_shares(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley shares of a leaf of value 1 for each pattern (row) of features whose test the row passes.
+
+    The leaf is reached with the product over its path features of "known and passed" (0 or
+    1) or "unknown" (``share`` of cover).  The polynomial prod(share_i + inside_i t) is
+    extended by one factor at a time; for each feature its own factor is unwound again, and
+    the coefficients of what is left collect the coalitions by size.
     """
-    out = np.zeros_like(x, dtype=float)
-    for tree in forest.trees:
-        for value, path in tree.leaves():
-            d = len(path)
-            if d == 0:
-                continue
-            feats = list(path)
-            share = np.array([path[f][2] for f in feats])
-            inside = np.stack([(x[:, f] > path[f][0]) & (x[:, f] <= path[f][1]) for f in feats], axis=1).astype(float)
-            weight = np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
-            for j, f in enumerate(feats):
-                coef = np.zeros((len(x), d))
-                coef[:, 0] = 1.0
-                for i in range(d):
-                    if i != j:
-                        shifted = np.zeros_like(coef)
-                        shifted[:, 1:] = coef[:, :-1] * inside[:, [i]]
-                        coef = coef * share[i] + shifted
-                out[:, f] += value * (inside[:, j] - share[j]) * (coef @ weight)
+    n, d = inside.shape
+    poly = np.zeros((n, d + 1))
+    poly[:, 0] = 1.0
+    for i in range(d):
+        poly[:, 1:i + 2] = poly[:, 1:i + 2] * share[i] + poly[:, :i + 1] * inside[:, [i]]
+        poly[:, 0] *= share[i]
+    weight = np.array([math.factorial(s) * math.factorial(d - 1 - s) / math.factorial(d) for s in range(d)])
+    out = np.empty((n, d))
+    for j in range(d):
+        passed = np.zeros((n, d))
+        passed[:, d - 1] = poly[:, d]
+        for s in range(d - 1, 0, -1):
+            passed[:, s - 1] = poly[:, s] - share[j] * passed[:, s]
+        rest = np.where(inside[:, [j]] > 0, passed, poly[:, :d] / share[j])
+        out[:, j] = (inside[:, j] - share[j]) * (rest @ weight)
     return out
 
 
+@dataclass(frozen=True)
+class Explainer:
+    """Leaves of a forest with the Shapley shares of their patterns; made once, applied to many batches."""
+
+    leaves: tuple
+
+    @classmethod
+    def of(cls, forest: Forest) -> Explainer:
+        out = []
+        for tree in forest.trees:
+            for value, path in tree.leaves():
+                if not path or not value:
+                    continue
+                feats = np.array(list(path))
+                low, high, share = (np.array([path[f][i] for f in path]) for i in range(3))
+                d, table = len(feats), None
+                if d <= TABLE_DEPTH:
+                    every = (np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(float)
+                    table = value * pattern_shares(every, share)
+                out.append((value, feats, low, high, share, table))
+        return cls(tuple(out))
+
+    def shapley(self, x: np.ndarray) -> np.ndarray:
+        """Path-dependent Shapley values (log-odds) of a batch, one column per feature."""
+        out = np.zeros_like(x, dtype=float)
+        for value, feats, low, high, share, table in self.leaves:
+            passed = [(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi in zip(feats, low, high)]
+            if table is not None:
+                code = np.zeros(len(x), np.int64)
+                for i, hit in enumerate(passed):
+                    code |= hit.astype(np.int64) << i
+                got = table[code]
+            else:
+                kinds, which = np.unique(np.stack(passed, axis=1), axis=0, return_inverse=True)
+                got = value * pattern_shares(kinds.astype(float), share)[which.ravel()]
+            out[:, feats] += got
+        return out
+
+
+def shapley(forest: Forest, x: np.ndarray) -> np.ndarray:
+    """Path-dependent Shapley values (log-odds) of a batch, one column per feature."""
+    return Explainer.of(forest).shapley(x)
+
+
 def attributions(forest: Forest, vectors: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Shapley values per row as an array next to the kept columns."""
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+    shared = sent(vectors.sparkSession, (forest, Explainer.of(forest)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, explainer = shared()
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["x"])
-                yield pdf[list(keep)].assign(phi=list(shapley(shared.value, x)), margin=shared.value.margins(x))
+                yield pdf[list(keep)].assign(phi=list(explainer.shapley(x)), margin=own.margins(x))
     return _arrays(vectors, keep).mapInPandas(run, _schema(vectors, keep, "phi array<double>, margin double"))

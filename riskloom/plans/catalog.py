@@ -28,9 +28,6 @@ LADDER = ["Current", "Late (31-120 days)", "In Grace Period"]
 PROFILED = ["loan_amnt", "annual_inc", "dti", "disc_r", "fico_range_low", "emp_length", "last_pymnt_d"]
 SPEC = models.ColumnSpec(tuple(si.NUMERIC), tuple(si.FLAGGED), tuple(si.CATEGORICAL))
 MIN_DEFAULTS = 20
-# Small settings so that the model queries answer in seconds.
-FOREST = {"numTrees": 20, "maxDepth": 8, "minInstancesPerNode": 10}
-BOOSTING = {"rounds": 10, "patience": 5, "maxDepth": 3}
 REPLICATES = 1000
 COEFFICIENTS = {"loan_amnt": 0.000002, "dti": -0.01, "disc_r": 3.5, "fico_range_low": -0.004,
                 "purpose_2-HIGH": 0.4, "purpose_5-LOW": -0.3}
@@ -663,6 +660,20 @@ def knn_pairs(spark, d):
     return resampling.nearest_neighbours(si.read_table(spark, d, "embeddings"))
 
 
+@register
+def knn_hashed(spark, d):
+    """Neighbours from hash tables."""
+    return resampling.hashed_neighbours(si.read_table(spark, d, "embeddings"))
+
+
+@register
+def knn_recall(spark, d):
+    """True neighbours, and whether the hash tables find nine tenths of them."""
+    rows = si.read_table(spark, d, "embeddings")
+    found = resampling.neighbour_recall(resampling.hashed_neighbours(rows), resampling.nearest_neighbours(rows))
+    return found.select("n_exact", (F.col("recall") >= 0.9).alias("nine_tenths"))
+
+
 def _piles(spark, d):
     df = stage(with_piles(spark, d), "piles", ["pile"])
     return df.where("pile = 'train'"), df.where("pile = 'val'")
@@ -744,15 +755,22 @@ def ablation(spark, d):
 
 @register
 def model_bench(spark, d):
-    return models.model_bench(*_piles(spark, d), SPEC, forest_settings=FOREST, boosting_settings=BOOSTING)
+    return models.model_bench(*_piles(spark, d), SPEC)
+
+
+_CHALLENGERS: dict[tuple[str, str], tuple] = {}
 
 
 def _boosted(spark, d):
-    train, val = _piles(spark, d)
-    prep = SPEC.fit(train)
-    tv = stage(prep.vectors(SPEC.with_flags(train), ["app_id", "y"]), "train-vectors")
-    vv = stage(prep.vectors(SPEC.with_flags(val), ["app_id", "y"]), "val-vectors")
-    return prep, models.fit_boosted_prefix(tv, **BOOSTING), vv
+    """Preparation, boosted challenger and validation vectors; fitted once per session and folder, as the queries on it share it."""
+    place = (spark.sparkContext.applicationId, d)
+    if place not in _CHALLENGERS:
+        train, val = _piles(spark, d)
+        prep = SPEC.fit(train)
+        tv = stage(prep.vectors(SPEC.with_flags(train), ["app_id", "y"]), "train-vectors")
+        vv = stage(prep.vectors(SPEC.with_flags(val), ["app_id", "y"]), "val-vectors")
+        _CHALLENGERS[place] = prep, models.fit_boosted_prefix(tv), vv
+    return _CHALLENGERS[place]
 
 
 @register
@@ -761,6 +779,21 @@ def tree_attribution(spark, d):
     return explain.tree_attribution(boosted.forest, val, prep.names)
 
 
+@register
+def attribution_additivity(spark, d):
+    """Contributions plus base against the margin of every validation row."""
+    _, boosted, val = _boosted(spark, d)
+    return r6(explain.additivity(boosted.forest, val).select("app_id", "error"), "error")
+
+
+@register
+def scorecard_attribution(spark, d):
+    """Contributions of a fitted scorecard plus its base against the log-odds of every validation row."""
+    train, val = _piles(spark, d)
+    card = models.fit_scorecard(train, SPEC)
+    return r6(explain.scorecard_additivity(card, train, val), "error")
+
+
 @register
 def global_attribution(spark, d):
     prep, boosted, val = _boosted(spark, d)

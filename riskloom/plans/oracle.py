@@ -365,6 +365,8 @@ def build() -> dict[str, str]:
         row_number() over (order by case when app_id % 7 <> 0 and app_id % 11 <> 0 then p end desc nulls last, app_id) rk from scored)""")
     for name in ("challenger_roundtrip", "scorecard_roundtrip"):
         q[name] = _on("select app_id, 0.0::double difference from piled where pile = 'val'", _split())
+    for name in ("attribution_additivity", "scorecard_attribution"):
+        q[name] = _on("select app_id, 0.0::double error from piled where pile = 'val'", _split())
     q["topk_flag"] = _sc("select app_id, rank <= round_even(n * 0.1::double, 0) reviewed from rk", _RANKED)
     q["cum_shares"] = _sc("""select app_id, rank, round(sum(y) over (order by rank)::double / n_pos, 6) share_pos,
         round(sum(1 - y) over (order by rank)::double / (n - n_pos), 6) share_neg from rk""", _RANKED)
@@ -460,6 +462,8 @@ def build() -> dict[str, str]:
         select a.label, a.vec_id, b.vec_id nn_id, list_distance(a.embedding::double[], b.embedding::double[]) dist,
                cast(row_number() over (partition by a.vec_id order by round(list_distance(a.embedding::double[], b.embedding::double[]), 9), b.vec_id) as integer) nn_rank
         from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) where nn_rank <= 5"""
+    q["knn_recall"] = """select cast(sum(n * least(5, n - 1)) as bigint) n_exact, true nine_tenths from (
+        select count(*) n from embeddings where embedding is not null group by label)"""
     vsegs = ["home_ownership", "term", "purpose"]
     vlong = """vl as (select app_id, y, home_ownership, term, purpose, 'current' variant, p from scored
         union all select app_id, y, home_ownership, term, purpose, 'blended', p2 from scored)"""

@@ -114,6 +114,47 @@ def test_prefix_is_the_best_round(boosted):
     assert prefix.best_round == int(np.argmax(prefix.auc_by_round)) + 1 == prefix.forest.n_trees
 
 
+def test_prefix_does_not_depend_on_how_rounds_are_fitted(boosted):
+    """Doubling steps end with the trees and the AUC of one fit of all rounds, and stop when patience is used up."""
+    prefix, vectors = boosted
+    whole = trees.forest_of(models.fit_boosting(stage(models.stratified_holdout(vectors, 0.15, "y", "app_id"), "t").where("not held_out"),
+                                                rounds=12, maxDepth=3))
+    again = models.fit_boosted_prefix(vectors, rounds=12, patience=2, maxDepth=3)
+    assert len(again.auc_by_round) - again.best_round == 2 or len(again.auc_by_round) == 12
+    for a, b in zip(whole.trees, again.forest.trees):
+        assert np.array_equal(a.feature, b.feature) and np.allclose(a.value, b.value)
+    n = min(len(prefix.auc_by_round), len(again.auc_by_round))
+    assert prefix.auc_by_round[:n] == again.auc_by_round[:n]
+
+
+def test_round_auc_against_the_metric(boosted):
+    """Several ranges and the block of rounds give the AUC of each round's own scores."""
+    from riskloom.operators.evaluation import auc_gini
+    prefix, vectors = boosted
+    n = prefix.forest.n_trees
+    got = trees.auc_by_round(prefix.forest, vectors, 0, n, rows_per_range=300)
+    for r in (0, n - 1):
+        want = auc_gini(prefix.forest.prefix(r + 1).score(vectors, ["app_id", "y"])).first()["auc"]
+        assert got[r] == pytest.approx(want, abs=1e-12)
+    with pytest.raises(ValueError):
+        trees.auc_by_round(prefix.forest, vectors.where("y = 0"), 0, 1)
+
+
+def test_forest_of_a_rare_class_has_probabilities(card, train):
+    vectors = stage(card.vectors(train, ["app_id", "y"]), "test-vectors")
+    model = models.fit_forest(vectors, numTrees=5)
+    rows = models.score_forest(model, vectors).agg(F.countDistinct("p").alias("n"), F.avg("p").alias("p"), F.avg("y").alias("y")).first()
+    assert max(t.depth for t in model.trees) > 1 and rows["n"] > 10 and abs(rows["p"] - rows["y"]) < 0.02
+
+
+def test_deep_paths_without_a_table():
+    """Patterns looked up and patterns worked out give the same shares."""
+    rng = np.random.default_rng(5)
+    inside, share = (rng.random((40, 12)) < 0.5).astype(float), rng.uniform(0.05, 0.95, 12)
+    got = trees.pattern_shares(inside, share)
+    assert np.allclose(got.sum(axis=1), np.prod(inside, axis=1) - np.prod(share), atol=1e-9)
+
+
 def test_attributions_add_up(boosted):
     prefix, vectors = boosted
     assert explain.additivity(prefix.forest, vectors).agg(F.max("error")).first()[0] < 1e-9

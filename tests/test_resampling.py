@@ -60,7 +60,7 @@ def brute(points, labels, k):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"rows_per_cell": 20, "chunk": 9, "hot_copies": 50}])
+@pytest.mark.parametrize("settings", [{}, {"rows_per_cell": 20, "chunk": 9, "rows_per_salt": 50}])
 def test_neighbours_against_brute_force(spark, settings):
     """Half of one group are copies of one vector."""
     rng = np.random.default_rng(2)
@@ -75,6 +75,40 @@ def test_neighbours_against_brute_force(spark, settings):
     assert {i: list(g["nn_id"]) for i, g in got.groupby("vec_id")} == want
 
 
+def clustered(spark, n, copies=0):
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(60, 24))[rng.integers(0, 60, n)] * 4 + rng.normal(size=(n, 24)) * 0.4
+    points[:copies] = points[0]
+    return spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "label": (np.arange(n) % 2).astype("int32"), "embedding": [list(map(float, p)) for p in points]}))
+
+
+def test_hashed_neighbours_find_most_with_few_comparisons(spark):
+    df = clustered(spark, 3000, copies=400)
+    found = stage(resampling.hashed_neighbours(df, tables=8, leaf=64, rows_per_salt=100), "found")
+    recall = resampling.neighbour_recall(found, resampling.nearest_neighbours(df)).first()
+    assert recall["n_exact"] == 15_000 and recall["recall"] >= 0.9
+    _, points = resampling._points(df, 5, "vec_id", "embedding", "label")
+    sizes = resampling.hash_tables(points, "label", 8, 64).groupBy("label", "table", "bucket").count()
+    most, pairs = sizes.agg(F.max("count"), F.sum(F.col("count") ** 2)).first()
+    assert most <= 64 and pairs < 0.3 * 2 * 1300 ** 2
+    distances = found.join(resampling.nearest_neighbours(df).withColumnRenamed("distance", "d"), ["label", "vec_id", "nn_id"])
+    assert distances.where("distance <> d").count() == 0
+
+
+def test_hashed_neighbours_of_equal_and_few_vectors(spark):
+    df = spark.createDataFrame([(i, 0, [1.0, 2.0]) for i in range(40)] + [(90, 1, [0.0, 0.0]), (91, 1, [0.0, 1.0])],
+                               "vec_id bigint, label int, embedding array<double>")
+    got = {(r["vec_id"], r["nn_rank"]): r["nn_id"] for r in resampling.hashed_neighbours(df, tables=2, leaf=3).collect()}
+    assert len(got) == 202 and got[(7, 1)] == 0 and got[(0, 5)] == 5 and got[(90, 1)] == 91
+    assert resampling.hashed_neighbours(df.where("label = 7")).count() == 0
+
+
+def test_synthetic_rows_from_hashed_neighbours(spark):
+    df = clustered(spark, 300).withColumnsRenamed({"vec_id": "app_id", "embedding": "x"})
+    rows = resampling.synthetic_minority(df, 50, neighbours=resampling.hashed_neighbours).collect()
+    assert len(rows) == 50 and all(r["base_id"] != r["nn_id"] for r in rows)
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(1, 0, [0.0]), (2, 0, [1.0]), (3, 1, [5.0])], "vec_id bigint, label int, embedding array<double>")
     got = {(r["vec_id"], r["nn_id"]) for r in resampling.nearest_neighbours(df).collect()}
