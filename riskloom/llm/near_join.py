@@ -140,15 +140,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-ROW = "kind byte, key long, sig long, node long, n int, pivot long, pn int, doc_id long, cells binary"
+ROW = "kind byte, key long, sig long, node long, n int, pivot long, pn int, doc_id long, r long, cells binary"
 FIELDS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("sig", pa.int64()), ("node", pa.int64()), ("n", pa.int32()),
-                    ("pivot", pa.int64()), ("pn", pa.int32()), ("doc_id", pa.int64()), ("cells", pa.binary())])
+                    ("pivot", pa.int64()), ("pn", pa.int32()), ("doc_id", pa.int64()), ("r", pa.int64()), ("cells", pa.binary())])
 
 
-def _batch(kind, key, sig, node, n, pivot=None, pn=None, doc_id=None, cells=None) -> pa.RecordBatch:
+def _batch(kind, key, sig, node, n, pivot=None, pn=None, doc_id=None, r=None, cells=None) -> pa.RecordBatch:
     size = len(key)
-    cols = [np.full(size, kind, np.int8), key, sig, node, n, pivot, pn, doc_id, cells]
-    return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if c is None else pa.array(c, f.type) for c, f in zip(cols, FIELDS)],
+    cols = [np.full(size, kind, np.int8), key, sig, node, n, pivot, pn, doc_id, r, cells]
+    return pa.RecordBatch.from_arrays([pa.nulls(size, f.type) if c is None else c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, FIELDS)],
                                       schema=FIELDS)
 
 
@@ -176,8 +176,14 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     document's own (comparisons that connectivity makes needless are not made).
     Rows without a doc_id come back with their set size, take no part in links and have no
     component.  Rows that repeat a doc_id each count by their own text.  Other columns of
-    ``docs`` are ignored.  Sets are told apart by 64-bit hashes.
+    ``docs`` are ignored.  An empty table gives an empty one; texts go whole, whatever their
+    length.  Sets are told apart by 64-bit hashes.
     """
+    return _found(docs, shingle, num, den).drop("r")
+
+
+def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """``join_components`` with ``r``, the hash of a row's text."""
     scheme_args = (num, den)
 
     def sign(batches):
@@ -222,7 +228,7 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
             if out:
                 node, n = (np.array([x[i] for x in out]) for i in (0, 1))
                 key = _signed(mix(node.view(np.uint64) + np.arange(len(node), dtype=np.uint64)))
-                yield _batch(0, key, None, node, n.astype(np.int32), doc_id=ids, cells=[x[2] for x in out])
+                yield _batch(0, key, None, node, n.astype(np.int32), doc_id=ids, r=batch.column("r"), cells=[x[2] for x in out])
         if held:
             yield from flush()
 
@@ -247,9 +253,9 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
                 yield _batch(2, _signed(sig[rest]), sig[rest], node[rest], n[rest], old[rest], oldn[rest])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stage(rows.mapInArrow(sign, ROW).repartition("key").sortWithinPartitions("kind", "sig", "node")
+    table = stage(rows.withColumn("r", F.xxhash64("text")).mapInArrow(sign, ROW).repartition("key").sortWithinPartitions("kind", "sig", "node")
                   .mapInArrow(bucket, ROW).drop("key"), "near-rows", partition_by=["kind"])
-    doc_nodes = table.where("kind = 0").select("doc_id", "node", "n")
+    doc_nodes = table.where("kind = 0").select("doc_id", "r", "node", "n")
     members = table.where("kind = 2").select("sig", "node", "n", "pivot", "pn")
     alike = F.least("n", "pn") * F.lit(den) >= F.greatest("n", "pn") * F.lit(num)
     pairs = members.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("pn")).alias("both")).distinct()
@@ -305,37 +311,48 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     links = stage(verified(pairs), "near-links")
 
     def compare(group, best):
-        """Close pairs across components in a block; rows are (side, node, label, n, cells), side 0 against 1, 2 against all."""
-        right = [r for r in group if r[0] > 0]
-        if not right:
-            return
-        held = np.frombuffer(b"".join(r[4] for r in right), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        nodes, labels_r, n_r = (np.array([r[i] for r in right]) for i in (1, 2, 3))
-        for at, (side, node, label, n, own) in enumerate(group):
-            if side == 1:
+        """Close pairs across components in a block; side 0 meets side 1, side 2 meets all."""
+        asks, meets = np.flatnonzero(group["side"] != 1), np.flatnonzero(group["side"] > 0)
+        node, label, n, held = (group[c] for c in ("node", "label", "n", "cells"))
+        out = []
+        for at in asks.tolist() if len(meets) else ():
+            both = n[meets] + n[at]
+            apart = np.abs(n[meets] - n[at])
+            may = np.flatnonzero((apart * (num + den) <= both * (den - num)) & (label[meets] != label[at]))
+            if not len(may):
                 continue
-            least = np.maximum(np.abs(n_r - n), np.abs(held - np.frombuffer(own, np.uint8)).sum(axis=1, dtype=np.int64))
-            hit = (least * (num + den) <= (n_r + n) * (den - num)) & (labels_r != label)
-            if best and hit.any():
-                hit = [np.where(hit, least / (n_r + n), np.inf).argmin()]
-            yield from ((min(node, x), max(node, x)) for x in nodes[hit].tolist())
+            least = np.abs(held[meets[may]] - held[at]).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(least * (num + den) <= both[may] * (den - num))
+            if best and len(hit):
+                hit = hit[[(least[hit] / both[may][hit]).argmin()]]
+            other = node[meets[may[hit]]]
+            out.append(np.stack([np.minimum(other, node[at]), np.maximum(other, node[at])], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
     def blocks(batches, best):
-        """Rows sorted by sig, i, j: a block at a time."""
-        key, group = None, []
+        """Rows sorted by sig, i, j: a block at a time, cut from the columns where the key changes."""
+        names, held = ("sig", "i", "j", "side", "node", "label", "n", "cells"), None
 
-        def done():
-            found = list(dict.fromkeys(compare(group, best)))
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])] if found else []
+        def done(rows, cuts):
+            for a, b in zip(cuts, cuts[1:]):
+                found = compare({c: rows[c][a:b] for c in names[3:]}, best)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("sig", "i", "j", "side", "node", "label", "n", "cells")]
-            for sig, i, j, *row in zip(*cols):
-                if (sig, i, j) != key:
-                    yield from done()
-                    key, group = (sig, i, j), []
-                group.append(row)
-        yield from done()
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names[:-1]}
+            rows["n"] = rows["n"].astype(np.int64)
+            rows["cells"] = counts(batch, "cells")
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in names}
+            new = np.logical_or.reduce([rows[c][1:] != rows[c][:-1] for c in names[:3]])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            yield from done(rows, cuts)
+            held = {c: rows[c][cuts[-1]:] for c in names}
+        if held is not None:
+            yield from done(held, [0, len(held["sig"])])
 
     def across(labels: DataFrame, best: bool) -> DataFrame:
         """Links between components: of the closest candidates, in buckets in which something is linked, or of all.
@@ -383,16 +400,28 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     root = joined.groupBy("label").agg(F.min("least").alias("root"))
     roots = joined.join(root, "label").select("node", "root", "n_links")
     return doc_nodes.join(roots, "node", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
+        "doc_id", "r", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of ``docs`` without near duplicates: of each component the document with the smallest doc_id stays.
+    """Rows of ``docs`` without near duplicates: one row of each component stays, with all its columns.
 
-    Rows that repeat the kept doc_id with the same text stay, as do rows without a doc_id and empty texts.
+    It is a row with the smallest doc_id; of several texts under that id the one with the
+    smallest hash, of equal rows any one.  Rows are told apart by doc_id and text, so a text
+    that is like no other stays whatever else stands under its id.  Rows without a doc_id
+    and texts without words link with nothing and all stay, repeated or not.  An empty table
+    gives an empty one.
     """
-    found = join_components(docs, shingle, num, den)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = stage(_found(docs, shingle, num, den).where("component_id is not null and n_shingles > 0"), "near-found")
+    one = (found.groupBy("component_id").agg(F.min(F.struct("doc_id", "r")).alias("one"), F.count("*").alias("m"))
+           .where("m > 1").select("component_id", "one"))
+    joined = found.join(one, "component_id").select(F.col("doc_id").alias("__d"), F.col("r").alias("__r"), (F.struct("doc_id", "r") == F.col("one")).alias("__first"))
+    ends = stage(joined.groupBy("__d", "__r").agg(F.first("__first").alias("__first"), F.count("*").alias("__m")).where("not __first or __m > 1"), "near-ends")
+    named = docs.withColumns({"__d": F.col("doc_id").cast("long"), "__r": F.xxhash64(F.col("text").cast("string"))})
+    kept = named.join(ends.where("not __first"), ["__d", "__r"], "left_anti")
+    again = ends.where("__first").select("__d", "__r")
+    if not again.isEmpty():
+        kept = kept.join(again, ["__d", "__r"], "left_anti").unionByName(kept.join(again, ["__d", "__r"], "left_semi").dropDuplicates(["__d", "__r"]))
+    return kept.select(*docs.columns)

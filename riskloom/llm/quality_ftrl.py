@@ -27,6 +27,8 @@ from riskloom.llm.words import Words, gram_hashes, mix, slices
 SCALE = 30.0
 MAX_TRAIN = 12_000
 SHARDS = 6
+#: Bytes of text whose features are held at a time when documents are scored.
+SLICE = 2 << 20
 
 _RUNS = [(re.compile(p), s) for p, s in (
     ("[^\\W\\d_]+", lambda m: "X" if m[0].isupper() else "x" if m[0].islower() else "Xx"), ("[0-9]+", "9"))]
@@ -123,6 +125,14 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bits: int =
     return w
 
 
+def probabilities(texts: pa.Array, w: np.ndarray, bits: int) -> np.ndarray:
+    """Scores of some texts: a sparse dot product each."""
+    idx, starts = features(texts, bits)
+    sums = np.concatenate([[0.0], np.cumsum(w[idx])])
+    m = w[-1] + SCALE * (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(np.diff(starts), 1)
+    return 1 / (1 + np.exp(-np.clip(m, -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` of every row; a text without words gets the intercept's score."""
     bits = (len(weights) - 1).bit_length() - 1
@@ -130,14 +140,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def apply(batches):
         for batch in batches:
-            w = sent.value
-            for part in slices(batch):
-                idx, starts = features(part.column("text"), bits)
-                sums = np.concatenate([[0.0], np.cumsum(w[idx])])
-                size = np.diff(starts)
-                m = w[-1] + SCALE * (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(size, 1)
-                p = 1 / (1 + np.exp(-np.clip(m, -35, 35)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p)],
+            for part in slices(batch, size=SLICE):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(probabilities(part.column("text"), sent.value, bits))],
                                                  names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -154,20 +158,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """Rows of ``docs`` that the classifier accepts, unchanged."""
+    """Rows of ``docs`` that the classifier accepts, unchanged, with all their columns.
+
+    Null and empty texts get the intercept's score; repeated rows are judged each; an empty
+    table gives an empty one.  A text goes to the worker once, whatever its length, and about
+    ``SLICE`` bytes of them are scored at a time.
+    """
     weights = fit(docs, labels, **options)
     bits = (len(weights) - 1).bit_length() - 1
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    names = docs.columns
 
     def choose(batches):
         for batch in batches:
-            w = sent.value
-            for part in slices(batch, "__text"):
-                idx, starts = features(part.column("__text"), bits)
-                sums = np.concatenate([[0.0], np.cumsum(w[idx])])
-                m = w[-1] + SCALE * (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(np.diff(starts), 1)
-                p = 1 / (1 + np.exp(-np.clip(m, -35, 35)))
-                yield part.select(names).filter(pa.array(p >= threshold))
-
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(choose, docs.schema)
+            for part in slices(batch, size=SLICE):
+                yield part.filter(pa.array(probabilities(part.column("text"), sent.value, bits) >= threshold))
+
+    if dict(docs.dtypes)["text"] != "string":
+        docs = docs.withColumn("text", F.col("text").cast("string"))
+    return docs.mapInArrow(choose, docs.schema)

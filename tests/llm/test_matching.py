@@ -73,7 +73,16 @@ def test_join_on_odd_rows(spark, odd, none):
     assert [tuple(r)[1:3] for r in got if r.doc_id is None] == [(11, None)]
     assert near_join.join_components(none).count() == 0
     kept = near_join.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 8, 10, 11]
+    assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 10, 11]
+    assert {r.text for r in kept.where("doc_id = 2").collect()} == {"another text under an id that is taken"}
+    assert near_join.keep_one(none).columns == none.columns and near_join.keep_one(none).count() == 0
+
+
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a, "x"), (5, a + " more", "y"), (5, "like nothing else in this table at all", "z"), (1, a, "x"), (1, a, "w"), (7, None, "n"), (7, None, "n"), (None, a, "q")]
+    got = near_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __t string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (5, rows[2][1]), (7, None), (7, None), (None, a)])
 
 
 @pytest.mark.parametrize("size", [1, 5, 17, 60, 300, 2000])
