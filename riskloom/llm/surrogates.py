@@ -16,6 +16,7 @@ past the first try are few; they are joined to the documents that hold them.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
 from bisect import bisect_right
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.words import slices
 from riskloom.staging import stage
 
 #: Titles before names with their gender.
@@ -47,6 +49,10 @@ _FOLDS = {c: "".join(x for x in map(chr, range(0x2200)) if re.match(c, x, re.IGN
 #: Texts without this hold no entity.  Read by Arrow's engine and by Spark's, so it has only what both read alike.
 MAY_HOLD = (r"[0-9@]|[A-F]{32}|[a-f]{32}|(AKIA|ASIA|sk|pk|ghp|gho|xox[bp])|("
             + "|".join("".join(f"[{_FOLDS[c]}]" if c in _FOLDS else c for c in t) for t in TITLES) + r")\.? ")
+#: Bits of the bitmap that tells rows with entities past their first try.
+SLOTS = 1 << 21
+#: Bytes of text rewritten at a time.
+SLICE = 2 << 20
 _SCRIPTS = (("a", "z", "abcdefghijklmnopqrstuvwxyz"), ("а", "я", "абвгдежзийклмнопрстуфхцчшщыьэюя"), ("α", "ω", "αβγδεζηθικλμνξοπρστυφχψω"))
 _VOWELS = {"a": "aeiou", "а": "аеиоу", "α": "αειου"}
 
@@ -55,10 +61,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """Entities of a text, left to right: start, end, type.  Earlier patterns win over later ones they overlap."""
     taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
+        new, at = [], 0
+        # Matches and the spans taken are both in order and free of overlaps, so one walk over both is enough.
         for m in re.finditer(pattern, text):
-            if not any(m.start() < e and s < m.end() for s, e, _ in taken):
-                taken.append((m.start(), m.end(), kind))
-    return sorted(taken)
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or m.end() <= taken[at][0]:
+                new.append((m.start(), m.end(), kind))
+        taken = sorted(taken + new)
+    return taken
 
 
 def parts(kind: str, mention: str) -> list[tuple[int, int, str, str]]:
@@ -280,22 +291,30 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     def write(batches):
         maker = Maker(key)
         for batch in batches:
-            text, count = batch.column("text").to_pylist(), np.zeros(batch.num_rows, np.int64)
-            later = batch.column("__late") if "__late" in batch.schema.names else None
-            for i, own, found in _rows(batch):
-                turns = {(x["kind"], x["canon"]): x["turn"] for x in (later[i].as_py() or [])} if later is not None else {}
-                out, last = [], 0
-                for s, e, kind, canon in found:
-                    out += [own[last:s], dress(kind, own[s:e], maker.make(kind, canon, turns.get((kind, canon), 0)))]
-                    last = e
-                text[i], count[i] = "".join(out) + own[last:], len(found)
-            cols = [pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(count)], names=[*names, "n_entities"])
-
-    import copy
+            for part in slices(batch, size=SLICE):
+                text, count = part.column("text"), np.zeros(part.num_rows, np.int64)
+                later = part.column("__late") if "__late" in part.schema.names else None
+                new = {}
+                for i, own, found in _rows(part):
+                    turns = {(x["kind"], x["canon"]): x["turn"] for x in (later[i].as_py() or [])} if later is not None else {}
+                    out, last = [], 0
+                    for s, e, kind, canon in found:
+                        out += [own[last:s], dress(kind, own[s:e], maker.make(kind, canon, turns.get((kind, canon), 0)))]
+                        last = e
+                    new[i], count[i] = "".join(out) + own[last:], len(found)
+                if new:
+                    text = pa.array([new.get(i, t) for i, t in enumerate(text.to_pylist())], pa.string())
+                cols = [text if n == "text" else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(count)], names=[*names, "n_entities"])
+
+    # A bitmap of fixed size tells the few rows that have to meet entities past their first try; the others are not moved.
+    slot = F.pmod(F.col("__row"), F.lit(SLOTS))
+    bit = F.expr("shiftleft(1L, cast(__slot & 31 as int))")
+    marks = (where.select(slot.alias("__slot")).select(F.shiftright("__slot", 5).alias("__word"), bit.alias("bit"))
+             .groupBy("__word").agg(F.bit_or("bit").alias("__marks")))
+    marked = (base.withColumn("__slot", slot).withColumn("__word", F.shiftright("__slot", 5)).join(F.broadcast(marks), "__word", "left")
+              .withColumn("__again", F.coalesce(F.col("__marks").bitwiseAND(bit) != 0, F.lit(False))).select(*names, "__row", "__again"))
     out = copy.deepcopy(schema).add("n_entities", "long")
-    # Texts that cannot hold an entity are not shuffled to meet the entities past their first try.
-    may = F.col("text").rlike(MAY_HOLD)
-    plain = base.where(F.col("text").isNull() | ~may).withColumn("n_entities", F.lit(0).cast("long")).drop("__row")
-    held = base.where(may).join(where, "__row", "left").drop("__row").mapInArrow(write, out)
-    return plain.select(*names, "n_entities").unionByName(held)
+    plain = marked.where("not __again").select(*names).mapInArrow(write, out)
+    held = marked.where("__again").join(where, "__row", "left").select(*names, "__late").mapInArrow(write, out)
+    return plain.unionByName(held)
