@@ -15,6 +15,8 @@ RESAMPLE_BAR = 50
 MODEL_REJECT_BELOW = 50
 MODEL_RECONSIDER_FROM = 250
 ABLATION_NOISE = 41
+# Cost above which a feature stays, for a direct and for a sensitive feature.
+REMOVAL_KEEP, REMOVAL_KEEP_SENSITIVE = 100, 150
 
 
 def psi_band(value: Column | str) -> Column:
@@ -30,6 +32,13 @@ def noise_band(diff: Column | str, noise: Column | str | float = ABLATION_NOISE)
     return F.when(F.abs(as_col(diff)) < n, "within noise").otherwise("outside noise")
 
 
+def removal_band(cost: Column | str, keep_above: float, noise: Column | str | float = ABLATION_NOISE) -> Column:
+    """What to do with a feature whose removal costs so many caught cases: three steps, the upper one fixed per feature."""
+    c = as_col(cost)
+    n = F.lit(noise) if isinstance(noise, (int, float)) else as_col(noise)
+    return F.when(c < n, "drop").when(c <= keep_above, "weigh up").when(c.isNotNull(), "keep")
+
+
 def challenger_band(gain: Column | str, reject_below: int = MODEL_REJECT_BELOW,
                     reconsider_from: int = MODEL_RECONSIDER_FROM) -> Column:
     g = as_col(gain)

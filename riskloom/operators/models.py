@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        LogisticRegressionModel)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -97,6 +98,30 @@ def coefficient_table(spark: SparkSession, model: LogisticRegressionModel, names
     return spark.createDataFrame(rows, "feature string, coefficient double").orderBy(F.desc(F.abs("coefficient")), "feature")
 
 
+def optimality(model: LogisticRegressionModel, vectors: DataFrame, names: Sequence[str], label: str = "y", weight: str | None = None,
+               C: float = 1.0) -> DataFrame:
+    """Gradient of the fitted objective per coefficient: ``(feature, gradient)``; all are near 0 at the optimum.
+
+    The sums over the rows are taken from the data again, a row per task and coefficient.
+    """
+    beta, size = model.coefficients.toArray(), len(names)
+
+    def slopes(batches):
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["x"])
+                total += x.T @ ((1 / (1 + np.exp(-(x @ beta + model_intercept))) - pdf["y"].to_numpy(float)) * pdf["w"].to_numpy(float))
+        yield pd.DataFrame({"i": np.arange(size), "slope": total})
+
+    model_intercept = float(model.intercept)
+    rows = vectors.select(vector_to_array("features").alias("x"), F.col(label).cast("double").alias("y"),
+                          (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    sums = rows.mapInPandas(slopes, "i int, slope double").groupBy("i").agg(F.sum("slope").alias("slope"))
+    table = vectors.sparkSession.createDataFrame([(i, n, float(b) / C) for i, (n, b) in enumerate(zip(names, beta))], "i int, feature string, pull double")
+    return table.join(sums, "i", "left").select("feature", (F.col("pull") + F.coalesce("slope", F.lit(0.0))).alias("gradient"))
+
+
 @dataclass(frozen=True)
 class Scorecard:
     """Preparation plus logistic model: fitted, saved and applied together."""

@@ -19,7 +19,8 @@ from riskloom.functions.scalars import safe_ratio
 from riskloom.operators.ranking import sized_broadcast
 
 SEED = 42
-ROWS_PER_PREFIX = 500_000
+#: Rows of a hash cell that are ordered in one task; hex digits of a hash.
+ROWS_PER_CELL, HASH_DIGITS = 500_000, 32
 HASH, PREFIX = "__hash", "__prefix"
 
 
@@ -28,41 +29,59 @@ def key_hash(key: str | Column, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), k.cast("string")))
 
 
-def hash_cuts(df: DataFrame, strata: str, key: str, seed: int | str,
-              quotas: Mapping[object, Sequence[int]], total: int) -> dict[object, list[str | None]]:
+def hash_cuts(df: DataFrame, strata: str, key: str, seed: int | str, quotas: Mapping[object, Sequence[int]],
+              rows_per_cell: int = ROWS_PER_CELL) -> dict[object, list[str | None]]:
     """Per stratum, the hash of the q-th row in hash order for each cumulative quota ``q``.
 
-    Quota 0 gives None.
+    Radix selection: the cells in which the wanted rows fall are counted by their next
+    digits, and the search goes on in those that hold them, until a cell has few rows and is
+    ordered.  A level is one scan that sends at most 256 counts per wanted row.  Quota 0 gives None.
     """
-    width = 1
-    while 16 ** width * ROWS_PER_PREFIX < total and width < 4:
-        width += 1
+    kind = df.schema[strata].dataType.simpleString()
     hashed = df.select(F.col(strata).alias("__s"), key_hash(key, seed).alias(HASH))
-    hashed = hashed.withColumn(PREFIX, F.substring(HASH, 1, width))
-    counts: dict[object, dict[str, int]] = defaultdict(dict)
-    for r in hashed.groupBy("__s", PREFIX).count().collect():
-        counts[r["__s"]][r[PREFIX]] = r["count"]
-    wanted: dict[tuple, set[int]] = defaultdict(set)
-    place: dict[tuple, tuple] = {}
+    found: dict[tuple, str] = {}
+    # (stratum, prefix) -> {rows left to go inside that cell: quotas that ask for it}
+    cells: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for s, qs in quotas.items():
         for q in qs:
-            left = q
-            for prefix in sorted(counts[s]):
-                if 0 < left <= counts[s][prefix]:
-                    wanted[(s, prefix)].add(left)
-                    place[(s, q)] = (s, prefix, left)
-                    break
-                left -= counts[s][prefix]
-    found: dict[tuple, str] = {}
-    if wanted:
-        kind = df.schema[strata].dataType.simpleString()
-        targets = df.sparkSession.createDataFrame([(s, p, sorted(v)) for (s, p), v in wanted.items()],
-                                                  f"__s {kind}, {PREFIX} string, __at array<int>")
+            if q > 0:
+                cells[(s, "")][q].append(q)
+    small: dict[tuple, dict[int, list[int]]] = {}
+    width = 0
+
+    def inside(wanted) -> DataFrame:
+        table = df.sparkSession.createDataFrame([(*c, sorted(v)) for c, v in wanted.items()], f"__s {kind}, {PREFIX} string, __at array<bigint>")
+        at = hashed.withColumn(PREFIX, F.substring(HASH, 1, len(next(iter(wanted))[1])))
+        same = at["__s"].eqNullSafe(table["__s"]) & (at[PREFIX] == table[PREFIX])
+        return at.join(sized_broadcast(table, len(wanted)), same).select(at["__s"], HASH, at[PREFIX], "__at")
+
+    while cells:
+        width += 2
+        rows = hashed if width == 2 else inside(cells)
+        counts: dict[tuple, dict[str, int]] = defaultdict(dict)
+        for r in rows.groupBy("__s", F.substring(HASH, 1, width).alias("p")).count().collect():
+            counts[(r["__s"], r["p"][:width - 2])][r["p"]] = r["count"]
+        deeper: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for cell, wanted in cells.items():
+            for left, qs in wanted.items():
+                for prefix in sorted(counts[cell]):
+                    n = counts[cell][prefix]
+                    if left <= n:
+                        if width == HASH_DIGITS:
+                            found.update({(cell[0], q): prefix for q in qs})
+                        elif n <= rows_per_cell:
+                            small.setdefault((cell[0], prefix), defaultdict(list))[left] += qs
+                        else:
+                            deeper[(cell[0], prefix)][left] += qs
+                        break
+                    left -= n
+        cells = deeper
+    for digits in sorted({len(p) for _, p in small}):
+        level = {c: v for c, v in small.items() if len(c[1]) == digits}
         w = Window.partitionBy("__s", PREFIX).orderBy(HASH)
-        rows = (hashed.join(sized_broadcast(targets, len(wanted)), ["__s", PREFIX]).withColumn("__rn", F.row_number().over(w))
-                .where(F.array_contains("__at", F.col("__rn"))).collect())
-        found = {(r["__s"], r[PREFIX], r["__rn"]): r[HASH] for r in rows}
-    return {s: [found[place[(s, q)]] if (s, q) in place else None for q in qs] for s, qs in quotas.items()}
+        for r in inside(level).withColumn("__rn", F.row_number().over(w)).where(F.array_contains("__at", F.col("__rn").cast("bigint"))).collect():
+            found.update({(r["__s"], q): r[HASH] for q in level[(r["__s"], r[PREFIX])][r["__rn"]]})
+    return {s: [found.get((s, q)) for q in qs] for s, qs in quotas.items()}
 
 
 def proportional_quotas(sizes: Mapping[object, int], take: int) -> dict[object, int]:
@@ -105,7 +124,7 @@ def stratified_split(df: DataFrame, strata: str = "y", key: str = "app_id", test
     """Add ``pile`` = train / val / test with exact sizes and exact class shares."""
     sizes = _strata_sizes(df, strata)
     quotas = split_quotas(sizes, test, val) if sizes else {}
-    cuts = hash_cuts(df, strata, key, seed, {s: [t, t + v] for s, (t, v) in quotas.items()}, sum(sizes.values()))
+    cuts = hash_cuts(df, strata, key, seed, {s: [t, t + v] for s, (t, v) in quotas.items()})
     h = key_hash(key, seed)
     branches = {}
     for s, (a, b) in cuts.items():
@@ -124,7 +143,7 @@ def stratified_holdout(df: DataFrame, share: float = 0.15, strata: str = "y", ke
     sizes = _strata_sizes(df, strata)
     n = sum(sizes.values())
     kept = proportional_quotas(sizes, n - math.ceil(share * n)) if n else {}
-    cuts = hash_cuts(df, strata, key, seed, {s: [sizes[s] - kept[s]] for s in sizes}, n)
+    cuts = hash_cuts(df, strata, key, seed, {s: [sizes[s] - kept[s]] for s in sizes})
     h = key_hash(key, seed)
     return df.withColumn(flag, _by_stratum(strata, {s: h <= c[0] for s, c in cuts.items() if c[0] is not None}, F.lit(False)))
 
@@ -174,7 +193,7 @@ def fixed_sample(df: DataFrame, n: int, key: str, seed: int | str = SEED) -> Dat
     total = df.count()
     if total <= n:
         return df
-    cut = hash_cuts(df.withColumn("__all", F.lit(0)), "__all", key, seed, {0: [n]}, total)[0][0]
+    cut = hash_cuts(df.withColumn("__all", F.lit(0)), "__all", key, seed, {0: [n]})[0][0]
     return df.where(F.lit(False) if cut is None else key_hash(key, seed) <= cut)
 
 

@@ -505,7 +505,8 @@ def band_verdict(spark, d):
     """Bands fixed ahead, applied to one measured gain."""
     change = comparison.caught_change(scored(spark, d, "p2"))
     return change.select("diff", fv.challenger_band("diff").alias("model_band"), fv.keep_band("diff").alias("resample_band"),
-                         fv.noise_band("diff").alias("ablation_band"))
+                         fv.noise_band("diff").alias("ablation_band"), fv.removal_band("diff", fv.REMOVAL_KEEP).alias("removal_band"),
+                         fv.removal_band("diff", fv.REMOVAL_KEEP_SENSITIVE).alias("sensitive_band"))
 
 
 # -- audit and money ------------------------------------------------------------------
@@ -684,6 +685,19 @@ def lr_coefficients(spark, d):
     return models.fit_scorecard(_train(spark, d), SPEC).coefficients(spark)
 
 
+@register
+def lr_certificate(spark, d):
+    """Whether the plain and the balanced fit are at the optimum of their objectives, by coefficient."""
+    train = _train(spark, d)
+    parts = []
+    for name, balanced in (("plain", False), ("balanced", True)):
+        card = models.fit_scorecard(train, SPEC, balanced=balanced)
+        rows = splitting.with_class_weight(train) if balanced else train
+        vectors = card.vectors(rows, ["y", *(["weight"] if balanced else [])])
+        parts.append(models.optimality(card.model, vectors, card.prep.names, weight="weight" if balanced else None).withColumn("model", F.lit(name)))
+    return files.append(parts).select("model", "feature", (F.abs("gradient") < 0.01).alias("optimal"))
+
+
 @register
 def lr_scores(spark, d):
     train, val = _piles(spark, d)
@@ -816,7 +830,7 @@ def smote_rows(spark, d):
 
 @register
 def bootstrap_ci(spark, d):
-    return resampling.bootstrap_ci(scored(spark, d, "p2"), replicates=REPLICATES)
+    return r6(resampling.bootstrap_ci(scored(spark, d, "p2"), replicates=REPLICATES), "gini", "low", "high", "half_width")
 
 
 @register
@@ -870,9 +884,13 @@ def parquet_roundtrip(spark, d):
 
 @register
 def append_scan(spark, d):
-    """Two written parts read as one table."""
-    base = si.applications(spark, d).select("app_id", "loan_status")
-    return files.append([base.where(F.col("loan_status") == "Current"), base.where(F.col("loan_status") != "Current")])
+    """Two written parts, of current and of all other or unknown statuses, read as one table."""
+    base = stage(si.applications(spark, d).select("app_id", "loan_status"), "statuses")
+    current = F.col("loan_status").eqNullSafe("Current")
+    paths = [_fresh(spark, "part"), _fresh(spark, "part")]
+    for path, rows in zip(paths, (base.where(current), base.where(~current))):
+        files.write_parquet(rows, path)
+    return files.append([files.read_parquet(spark, path) for path in paths])
 
 
 @register

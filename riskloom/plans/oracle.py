@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from riskloom.operators import resampling
 from riskloom.plans import catalog
 from riskloom.sources import stand_ins as si
 
@@ -418,7 +419,9 @@ def build() -> dict[str, str]:
     q["noise_verdict"] = _sc("""select caught_first, caught_second, diff, round(diff * 100 / nullif(caught_first, 0)::double, 6) relative_pct, round(sqrt(caught_first), 6) noise,
         case when abs(diff) < sqrt(caught_first) then 'within noise' else 'outside noise' end verdict from ch""", two, change)
     q["band_verdict"] = _sc("""select diff, case when diff < 50 then 'reject' when diff < 250 then 'challenger' else 'reconsider' end model_band,
-        case when diff >= 50 then 'keep' else 'reject' end resample_band, case when abs(diff) < 41 then 'within noise' else 'outside noise' end ablation_band from ch""", two, change)
+        case when diff >= 50 then 'keep' else 'reject' end resample_band, case when abs(diff) < 41 then 'within noise' else 'outside noise' end ablation_band,
+        case when diff < 41 then 'drop' when diff <= 100 then 'weigh up' else 'keep' end removal_band,
+        case when diff < 41 then 'drop' when diff <= 150 then 'weigh up' else 'keep' end sensitive_band from ch""", two, change)
 
     aud = _audit(si.SEGMENTS)
     q["segment_audit"] = _sc(f"select segment, grp, people, defaults, {r('base_rate')}, {r('recall')}, {r('flag_rate')}, {r('fpr')} from aud", aud)
@@ -478,6 +481,29 @@ def build() -> dict[str, str]:
     q["csv_roundtrip"] = _on("select app_id, issue_d, last_pymnt_d, loan_status, loan_amnt, disc_r from app")
     q["csv_report_roundtrip"] = q["label_status_counts"]
     q["parquet_roundtrip"] = _on("select app_id, y, loan_amnt, pile from piled", _split())
+    terms = ", ".join(f"(u >= {c!r}::double)::integer" for c in resampling._POISSON_CDF.tolist())
+    mul = lambda x, y: f"cast((cast({x} as uhugeint) * cast({y} as uhugeint)) % cast(18446744073709551616 as uhugeint) as ubigint)"
+    add = lambda x, y: f"cast((cast({x} as uhugeint) + cast({y} as uhugeint)) % cast(18446744073709551616 as uhugeint) as ubigint)"
+    turn = lambda x, n: f"xor({x}, {x} >> {n})"
+    q["bootstrap_ci"] = _sc("""select model, round(gini, 6) gini, n_replicates, round(low, 6) low, round(high, 6) high, round((high - low) / 2, 6) half_width,
+        case when model = 'p2 - p' then case when low > 0 then 'excludes zero' else 'includes zero' end end verdict
+        from (select model, count(*) n_replicates, quantile_cont(gini, 0.025) low, quantile_cont(gini, 0.975) high from both_ where rep >= 0 group by model)
+        join (select model, gini from both_ where rep = -1) using (model)""",
+                            f"""h0 as materialized (select app_id, y, p, p2, rep, {add(mul("app_id", "11400714819323198485::ubigint"),
+                                mul("rep + 1 + 42 * 1048576", "15111065706836454659::ubigint"))} h from scored, (select unnest(range({catalog.REPLICATES})) rep))""",
+                            f"h1 as (select * exclude (h), {mul(turn('h', 30), '13787848793156543929::ubigint')} h from h0)",
+                            f"h2 as (select * exclude (h), {mul(turn('h', 27), '10723151780598845931::ubigint')} h from h1)",
+                            f"h3 as (select * exclude (h), ({turn('h', 31)} >> 11)::double / 9007199254740992.0::double u from h2)",
+                            f"bw as (select app_id, y, p, p2, rep, list_sum([{terms}])::double w from h3 union all select app_id, y, p, p2, -1, 1.0::double from scored)",
+                            """bt as (select 'p' model, rep, p s, sum(w * y) wp, sum(w * (1 - y)) wn from bw group by rep, p
+                               union all select 'p2', rep, p2, sum(w * y), sum(w * (1 - y)) from bw group by rep, p2)""",
+                            """bc as (select *, sum(wn) over (partition by model, rep order by s rows unbounded preceding) - wn below from bt)""",
+                            """bg as (select model, rep, 2 * sum(wp * (below + wn / 2)) / (sum(wp) * sum(wn)) - 1 gini from bc group by model, rep having sum(wp) > 0 and sum(wn) > 0)""",
+                            """both_ as (select * from bg union all select 'p2 - p', a.rep, b.gini - a.gini from bg a join bg b on a.rep = b.rep and a.model = 'p' and b.model = 'p2')""")
+    q["lr_certificate"] = _on("""select model, feature, true optimal from (select "column" feature from nums
+        union all select unnest([FLAGS]) union all select c."column" || '_' || value from (
+            select *, row_number() over (partition by "column" order by value) i from cats) c where i > 1), (select unnest(['plain', 'balanced']) model)"""
+                              .replace("FLAGS", ", ".join(f"'{c}_missing'" for c in si.FLAGGED)), _split(), _constants())
     q["append_scan"] = _on("select app_id, loan_status from app")
     q["demo_extract"] = _on("select issue_d, loan_status, last_pymnt_d, last_credit_pull_d, disc_r, dti, annual_inc from cohort")
     q["bronze_years"] = _on("select app_id, issue_dt, loan_amnt from dated where year(issue_dt) in (1996, 1997)")

@@ -66,3 +66,20 @@ def test_class_weights_sum_to_n(scored):
     assert sum(r["n_class"] * r["weight"] for r in rows) == pytest.approx(4514)
     weighted = splitting.with_class_weight(scored.select("y")).agg(F.sum("weight")).first()[0]
     assert weighted == pytest.approx(4514)
+
+
+@pytest.mark.parametrize("rows_per_cell", [1, 20, 500_000])
+def test_hash_cuts_descend_to_small_cells(spark, rows_per_cell):
+    df = spark.range(4000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, (F.col("id") % 2).cast("int")).alias("s"))
+    hashes = {}
+    for r in df.select("s", splitting.key_hash("k", 1).alias("h")).collect():
+        hashes.setdefault(r["s"], []).append(r["h"])
+    wanted = {s: [0, 1, 7, len(h) // 2, len(h)] for s, h in hashes.items()}
+    got = splitting.hash_cuts(df, "s", "k", 1, wanted, rows_per_cell)
+    assert got == {s: [None, *[sorted(hashes[s])[q - 1] for q in qs[1:]]] for s, qs in wanted.items()}
+
+
+def test_hash_cuts_of_one_repeated_key(spark):
+    df = spark.range(300).select(F.lit(5).alias("k"), F.lit("x").alias("s"))
+    h = df.select(splitting.key_hash("k", 1)).first()[0]
+    assert splitting.hash_cuts(df, "s", "k", 1, {"x": [10, 300]}, 50) == {"x": [h, h]}
