@@ -45,7 +45,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixture", mixture), ("packed", packed)]
 
-#: Trained and tokenised stages are beyond SQL; tests hold every stage against a brute-force version.
+#: Trained and tokenised stages are beyond SQL; tests look at every stage's result, most of them by properties only.
 ORACLE_SQL = None
 
 
