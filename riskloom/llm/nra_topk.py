@@ -4,11 +4,12 @@ Rows are dealt into blocks, queries into chunks; every pair of a chunk and a blo
 row of work, so nothing is held whole by one task.  A block has a list of its rows for
 every dimension, sorted by value.  For a query the list gives contributions in falling
 order when read from the top (positive query value) or from the bottom (negative).
-Lists are read from their heads to growing depths.  What has been read of a row is its
-known part; unread dimensions add at most what stands at the depth reached and at
+Lists are read from their heads in growing batches; every entry read adds to the known
+part of its row.  Unread dimensions add at most what stands at the depth reached and at
 least what the list ends with.  Rows whose upper bound is below the k-th largest lower
-bound cannot qualify and are given up, seen or not; reading stops when that leaves k rows
-(or few enough), and the scores of those left are completed.  The best of all blocks are
+bound cannot qualify and are given up, seen or not.  Reading goes on until every row that
+is left has been met in all lists, so its score is the sum of what was read; no row is
+ever looked up out of its lists' order.  The best of all blocks are
 merged per query.
 """
 
@@ -22,66 +23,62 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, queries of a chunk.
 BLOCK, CHUNK = 8192, 256
-#: Shares of the lists that are read before bounds are looked at.
-DEPTHS = (0.3, 0.6)
+#: The first batches grow by this factor; past the middle of the lists each reads half of what is left.
+GROWTH = 4
 
 
 class Lists:
     """A block's rows (``x``: rows by dimensions, whole numbers) as sorted lists, one per dimension."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x.astype(np.float64)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.x, order, axis=0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(len(x))[:, None], axis=0)
-
-    def bounds(self, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (queries by rows) after ``depth`` entries of each list."""
-        n = len(self.x)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        top, bottom = self.rank >= n - depth, self.rank < depth
-        known = up @ np.where(top, self.x, 0).T + down @ np.where(bottom, self.x, 0).T
-        ends_top, ends_bottom = self.values[0], self.values[-1]
-        at_top, at_bottom = self.values[n - depth], self.values[depth - 1]
-        lower = known + up @ np.where(top, 0, ends_top).T + down @ np.where(bottom, 0, ends_bottom).T
-        upper = known + up @ np.where(top, 0, at_top).T + down @ np.where(bottom, 0, at_bottom).T
-        return lower, upper
-
-    def top(self, q: np.ndarray, k: int, barred: np.ndarray) -> list[np.ndarray]:
-        """Rows that may be among a query's k best (all of those that are), ``barred`` rows left out."""
-        n = len(self.x)
-        open_ = ~barred
-        left = np.arange(len(q))
-        if n > 4 * k:
-            for share in DEPTHS:
-                if not len(left):
-                    break
-                depth = max(1, int(n * share))
-                lower, upper = self.bounds(q[left], depth)
-                lower[~open_[left]] = -np.inf
-                kth = np.partition(lower, n - k, axis=1)[:, n - k][:, None]
-                open_[left] &= upper >= kth
-                left = left[open_[left].sum(axis=1) > 2 * k]
-        return [np.flatnonzero(o) for o in open_]
+        self.order = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(np.ascontiguousarray(x.T), self.order, axis=1)
+
+    def read(self, lists: np.ndarray, falling: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Entries ``start`` to ``stop`` of every list, from its end where ``falling``."""
+        n = lists.shape[1]
+        return np.where(falling, lists[:, n - stop:n - start][:, ::-1], lists[:, start:stop])
+
+    def top(self, q: np.ndarray, k: int, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Rows that may be among a query's k best (all of those that are), their scores, and the depth read.
+
+        ``barred`` rows are left out.  Rows that tie with the k-th stay.
+        """
+        (dims, n), falling, weight = self.order.shape, (q > 0)[:, None], q[:, None]
+        known = np.zeros(n, q.dtype)
+        unread = np.ones((n, dims), q.dtype)
+        unread[:, q == 0] = 0
+        left = np.flatnonzero(~barred)
+        least = self.read(self.values, falling, n - 1, n)[:, 0] * q if n else None
+        depth, step = 0, k
+        while unread[left].any():
+            stop = min(n, depth + step)
+            rows, part = self.read(self.order, falling, depth, stop), self.read(self.values, falling, depth, stop) * weight
+            if part.dtype == object:
+                np.add.at(known, rows.ravel(), part.ravel())
+            else:
+                known += np.bincount(rows.ravel(), part.ravel(), n)
+            unread[rows, np.arange(dims)[:, None]] = 0
+            depth, step = stop, min(stop * (GROWTH - 1), max(k, (n - stop) // 2))
+            if len(left) > k:
+                rest = unread[left]
+                lower, upper = known[left] + rest @ least, known[left] + rest @ part[:, -1]
+                left = left[upper >= np.sort(lower)[-k]]
+        return left, known[left], depth
 
 
 def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
     """(query, row ids, scores) of each query's k best rows of a block, ties to smaller ids."""
     dims = max(x.shape[1], q.shape[1])
     x, q = (np.pad(a, ((0, 0), (0, dims - a.shape[1]))) for a in (x, q))
-    if dims and float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims < 2.0 ** 53:
-        rows = Lists(x).top(q.astype(np.float64), k, query_ids[:, None] == ids[None, :])
-        product = lambda a, b: a @ b
-    else:  # too large for exact bounds in doubles: scores of all rows in Python's whole numbers
-        rows = [np.flatnonzero(ids != i) for i in query_ids]
-        product = lambda a, b: np.array([sum(int(u) * int(v) for u, v in zip(r, b)) for r in a], object)
-    for i, own, vector in zip(query_ids, rows, q):
-        score = product(x[own], vector)
-        best = np.array(sorted(range(len(own)), key=lambda j: (-score[j], ids[own[j]]))[:k], int) if len(own) <= 4 * k else \
-            np.lexsort((ids[own], -score))[:k] if score.dtype != object else \
-            np.array(sorted(range(len(own)), key=lambda j: (-score[j], ids[own[j]]))[:k], int)
-        yield i, ids[own][best], score[best]
+    largest = [max((abs(int(v)) for v in (a.min(initial=0), a.max(initial=0)))) for a in (x, q)]
+    # Sums that doubles hold exactly are kept in doubles, larger ones in Python's whole numbers.
+    held = np.float64 if largest[0] * largest[1] * dims < 1 << 53 else object
+    lists, q = Lists(x.astype(held)), q.astype(held)
+    for i, vector in zip(query_ids, q):
+        rows, score, _ = lists.top(vector, k, ids == i)
+        best = sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k]
+        yield i, ids[rows][best], score[best]
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -131,7 +128,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
     work = left.join(right, "chunk").repartition(max(1, blocks * chunks), "chunk", "block")
 
     def read(ids, dims, width, values):
-        return np.frombuffer(ids, "<i8"), np.frombuffer(values, f"<i{width}").reshape(-1, dims)
+        ids = np.frombuffer(ids, "<i8")
+        return ids, np.frombuffer(values, f"<i{width}").reshape(len(ids), dims)
 
     def search(batches):
         for batch in batches:

@@ -192,10 +192,27 @@ def test_top_k_with_ties_and_broken_vectors(spark):
     assert nra_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_bounds_give_up_only_outsiders():
+def test_lists_are_read_until_outsiders_cannot_qualify():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 6)) ** 3 * 40 // 1
     q = rng.normal(size=(20, 6)) * 30 // 1
-    for own, vector in zip(nra_topk.Lists(x).top(q, 5, np.zeros((20, 500), bool)), q):
-        assert set(np.argsort(-(x @ vector), kind="stable")[:5]) <= set(own)
-        assert len(own) < 500
+    q[3], q[4, 1:] = 0, 0
+    lists, barred = nra_topk.Lists(x), np.arange(500) == 17
+    for vector in q:
+        own, score, depth = lists.top(vector, 5, barred)
+        assert 17 not in own and (score == x[own] @ vector).all()
+        assert len(own) < 10 or not vector.any()
+        assert depth < 500 if (vector != 0).sum() < 2 else depth > 5
+        order = [i for i in np.argsort(-(x @ vector), kind="stable") if i != 17]
+        assert set(order[:5]) <= set(own)
+
+
+def test_top_k_of_few_rows_and_of_huge_and_empty_vectors():
+    ids = np.arange(30)
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(-(1 << 61), 1 << 61, (30, 3)), rng.integers(-1, 2, (30, 3)), np.zeros((30, 0), np.int64)):
+        for query, rows, scores in nra_topk.block_top(ids, x, ids[::10], x[::10], 7):
+            want = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], x[query])), i) for i in range(30) if i != query)[:7]
+            assert [(-s, i) for i, s in zip(rows.tolist(), scores.tolist())] == want
+    (_, rows, scores), = nra_topk.block_top(ids[:3], np.ones((3, 2), np.int64), ids[:1], np.ones((1, 2), np.int64), 7)
+    assert rows.tolist() == [1, 2] and scores.tolist() == [2, 2]
