@@ -5,10 +5,11 @@ A document is its ids and an end id; only longer ones than a sequence are cut.
 are hashed into groups of about ``BINS`` sequences and every group is packed best fit,
 longest first.  While a group has more bins than its total length needs, its least
 filled bin is drained: documents move to other underfull bins, one is exchanged for a
-smaller one, or two for a smaller one.  Every step goes from the least filled bin to a
-fuller one and so increases the sum of squared fills.  What lies in bins that stay
-underfull is packed again together with that of other groups, in fewer groups, until
-one group is left.
+smaller one, or two for a smaller one.  Every step goes to a bin filled no less and so
+increases the sum of squared fills; a bin from which no step is left is passed over, and
+the search ends when that is all of them in a sweep that emptied none.  What lies in
+underfull bins is packed again together with that of other groups, in as few groups as
+hold it, while that saves groups or sequences.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ CAPACITY, END = 4096, 1
 BINS = 600
 #: A bin filled to this share is not packed again.
 FULL = 0.995
-#: Steps of the local search per group.
-STEPS = 2000
 
 
 class WordIds:
@@ -140,39 +139,36 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = STEPS) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Drain least filled bins by moves and exchanges while there are more bins than the total length needs."""
-    need = ceil(sum(lengths) / capacity)
     bins = [list(b) for b in bins]
-    while len(bins) > need and steps > 0:
-        fill = np.array([sum(lengths[i] for i in b) for b in bins])
-        src = int(fill.argmin())
-        stuck = False
-        while bins[src] and not stuck and steps > 0:
-            steps -= 1
-            step = _step(bins, fill, lengths, capacity, src)
-            if step is None:
-                stuck = True
-            else:
-                out, back, dst = step
-                for i in out:
-                    bins[src].remove(i)
-                for i in back:
-                    bins[dst].remove(i)
-                bins[src] += back
-                bins[dst] += out
-                gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
-                fill[src] -= gain
-                fill[dst] += gain
-        if bins[src]:
-            break
-        del bins[src]
-    return bins
+    fill = np.array([sum(lengths[i] for i in b) for b in bins])
+    spare, emptied, stuck = len(bins) - ceil(sum(lengths) / capacity), False, fill >= capacity
+    while spare > 0:
+        if stuck.all():
+            if not emptied:
+                break
+            emptied, stuck = False, fill >= capacity
+            continue
+        src = int(np.where(stuck, capacity + 1, fill).argmin())
+        step = _step(bins, fill, lengths, capacity, src)
+        if step is None:
+            stuck[src] = True
+            continue
+        out, back, dst = step
+        bins[src] = [i for i in bins[src] if i not in out] + back
+        bins[dst] = [i for i in bins[dst] if i not in back] + out
+        gain = sum(lengths[i] for i in out) - sum(lengths[i] for i in back)
+        fill[src] -= gain
+        fill[dst] += gain
+        if not bins[src]:
+            fill[src], stuck[src], emptied, spare = capacity, True, True, spare - 1
+    return [b for b in bins if b]
 
 
 def _step(bins, fill, lengths, capacity, src):
     """Items that leave ``src``, items that come back, and the other bin: a move, an exchange of one for one, or of two for one."""
-    room = capacity - fill
+    room = np.where(fill < fill[src], 0, capacity - fill)
     room[src] = 0
     own = sorted(bins[src], key=lambda i: -lengths[i])
     for i in own:
@@ -223,25 +219,26 @@ def place(items: DataFrame, capacity: int = CAPACITY, bins: int = BINS) -> DataF
         got["grp"] = int(pdf["grp"].iloc[0])
         return got
 
-    done, level = None, 0
-    left = items.select("uid", "length")
+    done, level, bound, result = None, 0, int(capacity * FULL), ("uid", "sequence_id", "offset")
+    left, before, least, groups_before = items.select("uid", "length"), None, 0, 0
     total = items.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, ceil(total / (capacity * bins)))
     while True:
         grouped = left.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)).cast("long"))
         packed = stage(grouped.groupBy("grp").applyInPandas(
             fill, "uid long, length long, bin long, offset long, fill long, grp long"), "packed")
-        name = F.lit(level << 48) + F.col("grp") * (1 << 24) + F.col("bin")
-        under = F.col("fill") < int(capacity * FULL)
-        again = packed.where(under).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-        fewer = max(1, ceil(again / (capacity * bins)))
-        last = groups == 1 or fewer >= groups
-        kept = packed if last else packed.where(~under)
-        kept = kept.select("uid", name.alias("sequence_id"), "offset")
+        packed = packed.withColumn("sequence_id", F.lit(level << 48) + F.col("grp") * (1 << 24) + F.col("bin"))
+        under, head = F.col("fill") < bound, F.col("offset") == 0
+        again, used, short = packed.agg(F.coalesce(F.sum(F.when(under, F.col("length"))), F.lit(0)), F.count_if(head), F.count_if(head & under)).first()
+        if before is not None and (used > least or used == least and groups == groups_before):
+            return done.unionByName(before.select(*result))  # nothing saved: as it was before
+        last = groups == 1
+        kept = (packed if last else packed.where(~under)).select(*result)
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done
-        left, groups, level = packed.where(under).select("uid", "length"), fewer, level + 1
+        before, least, groups_before = packed.where(under), short, groups
+        left, groups, level = before.select("uid", "length"), max(1, ceil(again / (capacity * bins))), level + 1
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:

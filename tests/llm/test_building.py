@@ -170,6 +170,24 @@ def test_local_search_beats_the_start():
     assert better == 30
 
 
+def test_local_search_goes_on_past_bins_without_a_step():
+    lengths = np.random.default_rng(7).integers(1100, 2000, 400).tolist()
+    start = packing.best_fit(lengths, 4096)
+    end = packing.local_search(start, lengths, 4096)
+    assert sorted(i for b in end for i in b) == list(range(400)) and all(sum(lengths[i] for i in b) <= 4096 for b in end)
+    assert len(end) <= 0.98 * len(start)
+    assert packing.local_search([[0], [1]], [4096, 4096], 4096) == [[0], [1]] and packing.local_search([], [], 4096) == []
+
+
+def test_few_sequences_where_bins_stay_underfull(spark):
+    lengths = np.random.default_rng(8).integers(1100, 2000, 600).tolist()
+    items = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    whole = len(packing.local_search(packing.best_fit(lengths, 4096), lengths, 4096))
+    rows = packing.place(items, bins=50).collect()
+    assert sorted(r.uid for r in rows) == list(range(600))
+    assert len({r.sequence_id for r in rows}) <= 1.03 * whole
+
+
 def check_shards(docs, shards):
     rows = sharding.shard_documents(docs, shards).collect()
     want = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.select("doc_id", "text").collect())
