@@ -20,8 +20,8 @@ From the signatures to components:
 3. Buckets whose sets ended in different components are compared in blocks: the sets
    outside the bucket's main component against all that are in another one.  First only
    the closest candidate of a set in a block is looked at, which connects most of what
-   can be connected; then all candidates that are still apart are.  No link between
-   components is lost.
+   can be connected; then, in buckets where a set had more candidates, all that are still
+   apart are.  No link between components is lost.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ CELLS = 256
 SLOTS = 1 << 21
 #: Sets in a block of the exact comparison inside a bucket.
 BLOCK = 256
+#: Bytes of text whose sets are signed at a time, cells of the first look of that comparison, and pairs it looks at together.
+SLICE, COARSE, PAIRS = 2 << 20, 32, 1 << 15
 
 
 class Scheme:
@@ -91,19 +93,24 @@ class Scheme:
         return need + spare, n2, k2, spare + 1
 
 
-def signatures(grams: np.ndarray, band: int, parts: tuple[int, int, int, int]) -> np.ndarray:
-    """Signatures of a set (distinct shingle hashes) in a band."""
+def signatures_of(grams: np.ndarray, row: np.ndarray, rows: int, band: int, parts: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures in a band of some sets (distinct shingle hashes and the number of the set each is of), and whose each is."""
     n1, n2, k2, sure = parts
-    at = (mix(grams + np.uint64(0x51ED270B)) % np.uint64(n1 * n2)).astype(np.int64)
-    sums = np.zeros(n1 * n2, np.uint64)
+    at = (mix(grams + np.uint64(0x51ED270B)) % np.uint64(n1 * n2)).astype(np.int64) + row * (n1 * n2)
+    sums = np.zeros(rows * n1 * n2, np.uint64)
     np.add.at(sums, at, mix(grams + np.uint64(0x2545F491)))
-    part = mix(sums + np.arange(n1 * n2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(n1, n2)
-    has = np.bincount(at, minlength=n1 * n2).reshape(n1, n2) > 0
+    part = mix(sums.reshape(rows, -1) + np.arange(n1 * n2, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(rows, n1, n2)
+    has = np.bincount(at, minlength=len(sums)).reshape(rows, n1, n2) > 0
     choices = [list(c) for c in combinations(range(n2), n2 - k2)]
-    sigs = np.stack([mix(part[:, c].sum(axis=1, dtype=np.uint64) + np.uint64(1 + i)) for i, c in enumerate(choices)])
-    full = np.stack([has[:, c].any(axis=1) for c in choices])
-    sigs = mix(sigs + mix(np.array([band])))
-    return sigs[full] if (~full).any(axis=0).sum() < sure else sigs.ravel()
+    sigs = np.stack([mix(part[:, :, c].sum(axis=2, dtype=np.uint64) + np.uint64(1 + i)) for i, c in enumerate(choices)], axis=1)
+    full = np.stack([has[:, :, c].any(axis=2) for c in choices], axis=1)
+    take = full | ((~full).any(axis=1).sum(axis=1) >= sure)[:, None, None]
+    return mix(sigs[take] + mix(np.array([band]))), np.broadcast_to(np.arange(rows)[:, None, None], take.shape)[take]
+
+
+def signatures(grams: np.ndarray, band: int, parts: tuple[int, int, int, int]) -> np.ndarray:
+    """Signatures of one set in a band."""
+    return signatures_of(grams, np.zeros(len(grams), np.int64), 1, band, parts)[0]
 
 
 def shingles(words: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
@@ -204,31 +211,33 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                              node[head[rest]], n[head[rest]])
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            out = []
-            for i, grams in set_rows(batch, shingle):
-                node = node_of(grams)
-                out.append((node, len(grams), cell_counts(grams)))
-                if not len(grams) or ids[i] is None or node in seen:
+            for part in slices(batch, size=SLICE):
+                sets = [grams for _, grams in set_rows(part, shingle)]
+                if not sets:
                     continue
-                if len(seen) > BUFFER:
-                    seen.clear()
-                seen.add(node)
-                for band in scheme.bands(len(grams)):
+                node, n = np.array([node_of(x) for x in sets], np.int64), np.array([len(x) for x in sets], np.int32)
+                bands = {}
+                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                    if not n[i] or doc_id is None or node[i] in seen:
+                        continue
+                    if len(seen) > BUFFER:
+                        seen.clear()
+                    seen.add(node[i])
+                    for band in scheme.bands(int(n[i])):
+                        bands.setdefault(band, []).append(i)
+                for band, own in bands.items():
                     if band not in cache:
                         cache[band] = scheme.parts(band)
-                    s = signatures(grams, band, cache[band])
+                    s, of = signatures_of(np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), n[own]), len(own), band, cache[band])
                     sigs.append(s)
-                    nodes.append(np.full(len(s), node))
-                    ns.append(np.full(len(s), len(grams), np.int32))
+                    nodes.append(node[own][of])
+                    ns.append(n[own][of])
                     held += len(s)
-                if held >= BUFFER:
-                    yield from flush()
-                    sigs, nodes, ns, held = [], [], [], 0
-            if out:
-                node, n = (np.array([x[i] for x in out]) for i in (0, 1))
+                    if held >= BUFFER:
+                        yield from flush()
+                        sigs, nodes, ns, held = [], [], [], 0
                 key = _signed(mix(node.view(np.uint64) + np.arange(len(node), dtype=np.uint64)))
-                yield _batch(0, key, None, node, n.astype(np.int32), doc_id=ids, r=batch.column("r"), cells=[x[2] for x in out])
+                yield _batch(0, key, None, node, n, doc_id=part.column("doc_id"), r=part.column("r"), cells=[cell_counts(x) for x in sets])
         if held:
             yield from flush()
 
@@ -311,33 +320,42 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     links = stage(verified(pairs), "near-links")
 
     def compare(group, best):
-        """Close pairs across components in a block; side 0 meets side 1, side 2 meets all."""
+        """Close pairs across components in a block, and whether some were left out; side 0 meets side 1, side 2 meets all."""
         asks, meets = np.flatnonzero(group["side"] != 1), np.flatnonzero(group["side"] > 0)
         node, label, n, held = (group[c] for c in ("node", "label", "n", "cells"))
-        out = []
-        for at in asks.tolist() if len(meets) else ():
-            both = n[meets] + n[at]
-            apart = np.abs(n[meets] - n[at])
-            may = np.flatnonzero((apart * (num + den) <= both * (den - num)) & (label[meets] != label[at]))
-            if not len(may):
-                continue
-            least = np.abs(held[meets[may]] - held[at]).sum(axis=1, dtype=np.int64)
-            hit = np.flatnonzero(least * (num + den) <= both[may] * (den - num))
-            if best and len(hit):
-                hit = hit[[(least[hit] / both[may][hit]).argmin()]]
-            other = node[meets[may[hit]]]
-            out.append(np.stack([np.minimum(other, node[at]), np.maximum(other, node[at])], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        coarse, out, more = held.reshape(len(held), COARSE, -1).sum(axis=2, dtype=np.int16), [], False
+        step = max(1, PAIRS // max(1, len(meets)))
+        for at in range(0, len(asks), step):
+            i = asks[at:at + step, None]
+            x, y = np.nonzero((np.abs(n[i] - n[meets]) * (num + den) <= (n[i] + n[meets]) * (den - num)) & (label[i] != label[meets]))
+            x, y = i[x, 0], meets[y]
+            least = np.zeros(0, np.int64)
+            for counts_ in (coarse, held):
+                least = np.abs(counts_[x] - counts_[y]).sum(axis=1, dtype=np.int64)
+                near = least * (num + den) <= (n[x] + n[y]) * (den - num)
+                x, y, least = x[near], y[near], least[near]
+            if best and len(x):
+                order = np.lexsort((least / (n[x] + n[y]), x))
+                x, y = x[order], y[order]
+                first = np.concatenate([[True], x[1:] != x[:-1]])
+                more |= not first.all()
+                x, y = x[first], y[first]
+            out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), more
 
     def blocks(batches, best):
-        """Rows sorted by sig, i, j: a block at a time, cut from the columns where the key changes."""
+        """Rows sorted by sig, i, j: a block at a time, cut from the columns where the key changes.
+
+        Rows with ``sig`` name buckets of which only the closest candidates were given.
+        """
         names, held = ("sig", "i", "j", "side", "node", "label", "n", "cells"), None
 
         def done(rows, cuts):
             for a, b in zip(cuts, cuts[1:]):
-                found = compare({c: rows[c][a:b] for c in names[3:]}, best)
+                found, more = compare({c: rows[c][a:b] for c in names[3:]}, best)
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                    first = [int(rows["sig"][a]) if more else None] + [None] * (len(found) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(first, pa.int64())], names=["a", "b", "sig"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -354,19 +372,18 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         if held is not None:
             yield from done(held, [0, len(held["sig"])])
 
-    def across(labels: DataFrame, best: bool) -> DataFrame:
-        """Links between components: of the closest candidates, in buckets in which something is linked, or of all.
+    def across(inside: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+        """Candidates between components (``a``, ``b``): the closest of each set in a block, or all.
 
         Of buckets of more than two sets (a pair has been compared) that are still apart,
         one of those with the same sets.  Small ones are one block, larger ones go as blocks
         of the sets outside the main component against blocks of all.
         """
-        inside = members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct()
         inside = inside.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
         main = (inside.groupBy("sig", "label").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("same"))
                 .groupBy("sig").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("m"), F.sum("m").alias("size"),
                                     F.bit_xor("same").alias("same")))
-        main = main.where("m < size and size > 2 and m > 1" if best else "m < size and size > 2")
+        main = main.where("m < size and size > 2")
         main = main.groupBy("size", "same").agg(F.min_by(F.struct("sig", "main", "m"), "sig").alias("one")).select("size", "one.*")
         inside = inside.join(main, "sig").withColumns({
             "wide": F.ceil(F.col("size") / BLOCK).cast("int"), "tall": F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int")})
@@ -380,15 +397,18 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
             *kept, F.lit(0).alias("side"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int").alias("i"),
             F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
         placed = small.unionByName(against, allowMissingColumns=False).unionByName(outsiders)
-        found = (placed.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-                 .mapInArrow(lambda batches: blocks(batches, best), "a long, b long"))
-        return verified(found.distinct())
+        return (placed.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+                .mapInArrow(lambda batches: blocks(batches, best), "a long, b long, sig long"))
 
     labels = stage(components(links, "near-labels"), "near-labels")
+    inside = stage(members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct(), "near-inside")
     for best in (True, False):
-        more = stage(across(labels, best), "near-links")
+        met = stage(across(inside, labels, best), "near-met")
+        more = stage(verified(met.select("a", "b").distinct()), "near-links")
         links = links.union(more)
         labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-labels"), "near-labels")
+        # Buckets all of whose candidates have been given are done; the others come again for all that are still apart.
+        inside = inside.join(met.where("sig is not null").select("sig").distinct(), "sig", "left_semi")
     links = links.distinct()
 
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
