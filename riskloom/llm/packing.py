@@ -16,11 +16,14 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
+from collections.abc import Callable
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,11 @@ BINS = 600
 FULL = 0.995
 
 
+#: What may follow the letters of a word, and letters below U+0100.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PLAIN = r"^(?P<core>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-/:-@\[-`{-~]*)$"
+
+
 class WordIds:
     """Ids of words, without white space in them, as little-endian bytes."""
 
@@ -41,8 +49,10 @@ class WordIds:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.whole, self.keep = Tokenizer.from_file(path), keep
-        self.model, self.bytes = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chars, self.known, self.tails = {}, {}, {"": b""}
+        model, level = self.whole.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tokenize = model.tokenize
+        self.chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
+        self.known, self.cores, self.tails = {}, {}, {"": b""}
         # Plain letters can go to the model directly where the file says what the short way assumes.
         self.short = self._is_lower_bpe()
 
@@ -51,45 +61,59 @@ class WordIds:
         return all(self._fast(p) == self._slow(p) for p in probes)
 
     def _slow(self, word: str) -> bytes:
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _fast(self, word: str) -> bytes:
-        core = word.rstrip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+        core = word.rstrip(MARKS)
         if not core.isalpha() or max(core) >= "Ā":
             return self._slow(word)
-        core, tail = core.lower(), word[len(core):]
-        if not core.isascii():
-            core = "".join(self.chars.get(c) or self._char(c) for c in core)
-        if tail not in self.tails:
-            self.tails[tail] = self._slow(tail)
-        return np.array([t.id for t in self.model.tokenize(core)], "<u4").tobytes() + self.tails[tail]
-
-    def _char(self, c: str) -> str:
-        self.chars[c] = c if c.isascii() else self.bytes.pre_tokenize_str(c)[0][0]
-        return self.chars[c]
-
-    def of(self, words: list[str], often: np.ndarray) -> list[bytes]:
+        return self._core(core.lower()) + self._slow(word[len(core):])
+
+    def _core(self, core: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(core if core.isascii() else core.translate(self.chars))]).tobytes()
+
+    def _kept(self, words: pa.Array, often: np.ndarray, held: dict, make: Callable[[str], bytes]) -> list[bytes]:
         """Ids of distinct words; those marked ``often`` are kept for later calls while there is room."""
-        make = self._fast if self.short else self._slow
-        out = []
-        for word, again in zip(words, often.tolist()):
-            got = self.known.get(word)
+        words = words.to_pylist()
+        out = list(map(held.get, words))
+        again = often.tolist()
+        for i, got in enumerate(out):
             if got is None:
-                got = make(word)
-                if again and len(self.known) < self.keep:
-                    self.known[word] = got
-            out.append(got)
-        if len(self.tails) > self.keep:
-            self.tails = {"": b""}
+                out[i] = got = make(words[i])
+                if again[i] and len(held) < self.keep:
+                    held[words[i]] = got
         return out
 
+    def of(self, words: pa.Array, count: np.ndarray) -> list[bytes]:
+        """Ids of distinct words that stand ``count`` times each.
+
+        Words of plain letters and marks behind them are taken apart first, so letters are
+        tokenised once whatever their case and marks.
+        """
+        if not self.short or not len(words):
+            return self._kept(words, count > 1, self.known, self._slow)
+        parts = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(parts).to_numpy(zero_copy_only=False)
+        core = pc.utf8_lower(pc.struct_field(parts, "core").filter(pa.array(plain))).dictionary_encode()
+        tail = pc.struct_field(parts, "tail").filter(pa.array(plain)).dictionary_encode()
+        code, often = core.indices.to_numpy(zero_copy_only=False), np.zeros(len(core.dictionary), np.int64)
+        np.add.at(often, code, count[plain])
+        cores = self._kept(core.dictionary, often > 1, self.cores, self._core)
+        tails = self._kept(tail.dictionary, np.ones(len(tail.dictionary), bool), self.tails, self._slow)
+        if len(self.tails) > self.keep // 2:
+            self.tails = {"": b""}
+        made = [cores[c] + tails[t] for c, t in zip(code.tolist(), tail.indices.to_pylist())]
+        if plain.all():
+            return made
+        made, rest = iter(made), iter(self._kept(words.filter(pa.array(~plain)), count[~plain] > 1, self.known, self._slow))
+        return [next(made if p else rest) for p in plain.tolist()]
+
 
 def token_arrays(texts: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and where each starts (one more at the end)."""
     w = Words(texts)
-    count = np.bincount(w.codes, minlength=len(w.distinct))
-    made = ids.of(w.distinct.to_pylist(), count > 1)
-    length = np.array([len(x) for x in made], np.int64) // 4
+    made = ids.of(w.distinct, np.bincount(w.codes, minlength=len(w.distinct)))
+    length = np.fromiter(map(len, made), np.int64, len(made)) // 4
     flat = np.frombuffer(b"".join(made), "<u4")
     begin = np.concatenate([[0], np.cumsum(length)])
     size = length[w.codes] if len(w.codes) else np.zeros(0, np.int64)

@@ -156,6 +156,16 @@ def test_ids_of_words_are_ids_of_the_text(text):
     assert ids.tolist() == own + own
 
 
+def test_letters_are_tokenised_once_whatever_their_case_and_marks():
+    import pyarrow as pa
+    text = "Wordy wordy, WORDY. Éclair éclair; x2 don't ÿÞ!? ſtrange \u212aelvin a\x1cb ×"
+    ids, asked = packing.WordIds(TOKENIZER), []
+    ids.tokenize = lambda core: asked.append(core) or ids.whole.model.tokenize(core)
+    got, _ = packing.token_arrays(pa.array([text]), ids)
+    assert len(asked) == 3 and len(set(asked)) == 3
+    assert got.tolist() == [i for w in text.split(" ") for i in ids.whole.encode(w, add_special_tokens=False).ids]
+
+
 def test_local_search_beats_the_start():
     rng = np.random.default_rng(0)
     better = 0
