@@ -11,10 +11,15 @@ bound cannot qualify and are given up, seen or not.  Reading goes on until every
 is left has been met in all lists, so its score is the sum of what was read; no row is
 ever looked up out of its lists' order.  The best of all blocks are
 merged per query.
+
+The queries of a chunk read a block's lists together, to the same depths: what a batch adds
+to the known parts, and what the unread rest can add, are then products of matrices.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 BLOCK, CHUNK = 8192, 256
 #: The first batches grow by this factor; past the middle of the lists each reads half of what is left.
 GROWTH = 4
+#: With so few rows left a query reads its lists to the end, passing over all other rows.
+LAST = 256
 
 
 class Lists:
@@ -67,17 +74,63 @@ class Lists:
         return left, known[left], depth
 
 
+    def top_many(self, q: np.ndarray, k: int, barred: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``top`` for all rows of ``q``, which read to the same depths: rows and scores of each, in order.
+
+        ``barred`` has the queries as rows and the block's rows as columns.
+        """
+        dims, n = self.order.shape
+        place = np.empty((n, dims), np.int32)
+        np.put_along_axis(place, self.order.T, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        x = np.empty((n, dims), q.dtype)
+        np.put_along_axis(x, self.order.T, self.values.T, axis=0)
+        # Every dimension has two lists: one read from its end by positive values, one from its head by negative ones.
+        sides = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+        least = sides * np.concatenate([self.values[:, :1], self.values[:, -1:]])[:, 0] if n else sides
+        met = np.concatenate([n - 1 - place, place], axis=1)  # the depth at which a list comes to a row
+        both, barred = np.concatenate([x, x], axis=1), barred.copy()
+        known, out = np.zeros((len(q), n), q.dtype), [None] * len(q)
+        live, depth = np.arange(len(q)), 0
+
+        def close(i, left):
+            rest = np.where(met[left] >= depth, both[left], 0) @ sides[i]
+            out[i] = left, known[np.searchsorted(live, i)][left] + rest
+
+        while len(live) and depth < n:
+            stop = min(n, max(k, n // 64) if not depth else min(depth * GROWTH, depth + max(k, (n - depth) // 2)))
+            known += sides[live] @ np.where((met >= depth) & (met < stop), both, 0).T
+            depth = stop
+            rest = (met >= depth).astype(q.dtype)
+            head = sides[live] * np.concatenate([self.values[:, n - depth], self.values[:, depth - 1]])
+            lower, upper = known + least[live] @ rest.T, known + head @ rest.T
+            if n > k:
+                lower[barred] = upper[barred] = -np.inf
+                barred |= upper < np.partition(lower, n - k, axis=1)[:, n - k, None]
+            few = (~barred).sum(axis=1) <= LAST
+            for at in np.flatnonzero(few):
+                close(live[at], np.flatnonzero(~barred[at]))
+            live, known, barred = live[~few], known[~few], barred[~few]
+        for at, i in enumerate(live):
+            close(i, np.flatnonzero(~barred[at]))
+        yield from out
+
+
 def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int):
     """(query, row ids, scores) of each query's k best rows of a block, ties to smaller ids."""
     dims = max(x.shape[1], q.shape[1])
     x, q = (np.pad(a, ((0, 0), (0, dims - a.shape[1]))) for a in (x, q))
     largest = [max((abs(int(v)) for v in (a.min(initial=0), a.max(initial=0)))) for a in (x, q)]
-    # Sums that doubles hold exactly are kept in doubles, larger ones in Python's whole numbers.
-    held = np.float64 if largest[0] * largest[1] * dims < 1 << 53 else object
+    # Sums that floats or doubles hold exactly are kept in them, larger ones in Python's whole numbers.
+    bound = largest[0] * largest[1] * dims
+    held = np.float32 if bound < 1 << 23 else np.float64 if bound < 1 << 52 else object
     lists, q = Lists(x.astype(held)), q.astype(held)
-    for i, vector in zip(query_ids, q):
-        rows, score, _ = lists.top(vector, k, ids == i)
-        best = sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k]
+    barred = ids == query_ids[:, None]
+    if held is object:
+        found = (lists.top(vector, k, no)[:2] for vector, no in zip(q, barred))
+    else:
+        found = lists.top_many(q, k, barred)
+    for i, (rows, score) in zip(query_ids, found):
+        best = sorted(range(len(rows)), key=lambda j: (-score[j], ids[rows[j]]))[:k] if held is object else np.lexsort((ids[rows], -score))[:k]
         yield i, ids[rows][best], score[best]
 
 
