@@ -48,10 +48,12 @@ BUFFER = 1_000_000
 LEAST_FEATURES, MOST_SIGNATURES = 6, 64
 #: Cells of the count sketch that comparisons look at first.
 CELLS = 256
+#: Cells of the sketch that is compared before two whole sets meet, for sets of so many shingles.
+FINE, LARGE = 4096, 2048
 #: Bits of the bitmap that names documents whose texts are read again.
 SLOTS = 1 << 21
 #: Sets in a block of the exact comparison inside a bucket.
-BLOCK = 256
+BLOCK = 2048
 #: Bytes of text whose sets are signed at a time, cells of the first look of that comparison, and pairs it looks at together.
 SLICE, COARSE, PAIRS = 2 << 20, 32, 1 << 15
 
@@ -137,9 +139,9 @@ def node_of(grams: np.ndarray) -> int:
     return int(mix(mix(grams + np.uint64(0x632BE5AB)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))).view(np.int64)[0])
 
 
-def cell_counts(grams: np.ndarray) -> bytes:
+def cell_counts(grams: np.ndarray, cells: int = CELLS) -> bytes:
     """Shingles per hash cell, up to 255: sets differ by at least the sum of the differences."""
-    count = np.bincount((grams >> np.uint64(40)).astype(np.int64) % CELLS, minlength=CELLS)
+    count = np.bincount((grams >> np.uint64(40)).astype(np.int64) % cells, minlength=cells)
     return np.minimum(count, 255).astype(np.uint8).tobytes()
 
 
@@ -276,16 +278,20 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
 
     def sets_of(batches):
         for batch in batches:
-            node, got = [], []
+            node, got, fine = [], [], []
             for _, grams in set_rows(batch, shingle):
                 node.append(node_of(grams))
                 got.append(_signed(grams))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["node", "grams"])
+                fine.append(cell_counts(grams, FINE) if len(grams) >= LARGE else None)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(got, pa.list_(pa.int64())), pa.array(fine, pa.binary())],
+                                             names=["node", "grams", "fine"])
 
     def verified(candidates: DataFrame) -> DataFrame:
         """Candidates whose whole sets are similar; the sets are made again from the texts of one document each.
 
         A bitmap of ``SLOTS`` bits names the documents to read, so texts of others are not moved.
+        Of pairs of large sets only those that finer cell counts leave are brought together
+        whole: ``CELLS`` cells tell large sets apart no better than chance.
         """
         candidates = stage(candidates, "near-candidates")
         ends = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
@@ -295,23 +301,32 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                 .groupBy("word").agg(F.bit_or("bit").alias("bits")))
         texts = (rows.withColumn("word", F.floor(slot / 32)).join(F.broadcast(bits), "word")
                  .where(f"(shiftright(bits, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int)) & 1L) = 1").select("text"))
-        made = texts.mapInArrow(sets_of, "node long, grams array<long>").join(readers, "node", "left_semi").dropDuplicates(["node"])
-        made = stage(made.select("node", "grams"), "near-sets")
+        made = texts.mapInArrow(sets_of, "node long, grams array<long>, fine binary").join(readers, "node", "left_semi").dropDuplicates(["node"])
+        made = stage(made.select("node", "grams", "fine"), "near-sets")
+        large = made.where("fine is not null").select("node", F.size("grams").alias("n"), "fine")
+        large_a, large_b = (large.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}")) for x in "ab")
+        near = (candidates.join(large_b, "b").join(large_a, "a").select("a", "b", (F.col("na") + F.col("nb")).alias("both"), "ca", "cb")
+                .mapInArrow(lambda batches: close(batches, FINE), "a long, b long"))
+        nodes = large.select("node", F.lit(True).alias("large"))
+        small = (candidates.join(nodes.withColumnsRenamed({"node": "a", "large": "la"}), "a", "left").join(nodes.withColumnsRenamed({"node": "b", "large": "lb"}), "b", "left")
+                 .where("la is null or lb is null").select("a", "b"))
+        candidates = stage(small.unionByName(near), "near-candidates")
         a, b = (made.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
         common = F.size(F.array_intersect("ga", "gb"))
         union = F.size("ga") + F.size("gb") - common
         return candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b")
 
-    def counts(batch, column):
-        return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+    def counts(batch, column, size=CELLS):
+        return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, size).astype(np.int16)
 
-    def close(batches):
+    def close(batches, size=CELLS):
         """Pairs whose cell counts differ no more than similar sets of these sizes may."""
+        step = (1 << 22) // size
         for batch in batches:
-            if batch.num_rows:
-                apart = np.abs(counts(batch, "ca") - counts(batch, "cb")).sum(axis=1, dtype=np.int64)
-                may = apart * (num + den) <= batch.column("both").to_numpy() * (den - num)
-                yield batch.select(["a", "b"]).filter(pa.array(may))
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                apart = np.abs(counts(part, "ca", size) - counts(part, "cb", size)).sum(axis=1, dtype=np.int64)
+                may = apart * (num + den) <= part.column("both").to_numpy() * (den - num)
+                yield part.select(["a", "b"]).filter(pa.array(may))
 
     cells = sketches.select("node", "cells")
     pairs = (pairs.join(cells.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")

@@ -229,3 +229,20 @@ def test_queries_of_a_chunk_read_lists_together():
             kth = np.sort(want)[-min(10, n - 1)]
             assert set(np.flatnonzero(want >= kth)) <= set(rows) and np.array_equal(score, want[rows])
             assert dims > 3 or len(rows) <= nra_topk.LAST
+
+
+def test_finer_counts_tell_large_sets_apart(spark, monkeypatch):
+    """Unrelated sets of thousands of shingles pass 256 cells and fail at 4096; links of large sets stay as they are."""
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(0, 1 << 64, 8000, dtype=np.uint64, endpoint=False) for _ in "ab")
+    apart = [int(np.abs(np.frombuffer(near_join.cell_counts(a, c), np.uint8).astype(int) - np.frombuffer(near_join.cell_counts(b, c), np.uint8)).sum())
+             for c in (near_join.CELLS, near_join.FINE)]
+    assert apart[0] * 9 <= 16000 < apart[1] * 9
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[s:s + n]) for s, n in ((0, 200), (3, 200), (0, 190), (100, 200), (250, 60), (252, 60), (0, 12), (0, 12), (390, 2))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = []
+    for large in (1 << 30, 50, 1):
+        monkeypatch.setattr(near_join, "LARGE", large)
+        found.append(sorted(near_join.join_components(docs, 5, 80, 100).collect()))
+    assert found[0] == found[1] == found[2] and [r.component_id for r in found[0]] == [0, 0, 0, 3, 4, 4, 6, 6, 8]
