@@ -6,11 +6,13 @@ import itertools
 import math
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions.verdicts import zero_band
 from riskloom.operators.evaluation import POS, with_classes
@@ -214,7 +216,7 @@ def _points(df: DataFrame, k: int, key: str, vec: str, by: str) -> tuple[DataFra
     """Rows with the name of their vector, and of every set of copies the k+1 lowest ids, numbered."""
     v = F.col(vec).cast("array<double>")
     rows = stage(df.select(by, F.col(key).cast("bigint").alias("id"), v.alias("vec"),
-                           F.sha2(F.array_join(v, ","), 256).alias("copy")), "points")
+                           F.unhex(F.substring(F.sha2(F.array_join(v, ","), 256), 1, 32)).alias("copy")), "points")
     w = Window.partitionBy(by, "copy").orderBy("id")
     return rows, stage(rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k + 1), "distinct-points")
 
@@ -262,7 +264,7 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     sizes = {r[by]: r["count"] for r in points.where("nth = 1").groupBy(by).count().collect()}
     cells = {g: max(1, math.ceil(n / rows_per_cell)) for g, n in sizes.items()}
     pivots = _pivots(points.where("nth = 1"), by, "id", "vec", cells)
-    shape = f"`{by}` {kind}, id bigint, vec array<double>, copy string, nth int, cell int, d double"
+    shape = f"`{by}` {kind}, id bigint, vec array<double>, copy binary, nth int, cell int, d double"
     placed = stage(points.mapInPandas(_nearest_pivot(spark.sparkContext.broadcast(pivots), by), shape), "cells")
 
     w = Window.partitionBy(by, "cell").orderBy("d")
@@ -293,7 +295,7 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     groups = [by, "target", "lc", "rc"]
     local = asking.groupBy(*groups).cogroup(answering.groupBy(*groups)).applyInPandas(
         _local_neighbours(k + 1, by, vectors),
-        f"`{by}` {kind}, copy string, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
+        f"`{by}` {kind}, copy binary, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
     return _for_rows(rows, local, k, key, by, vectors, rows_per_salt)
 
 
@@ -311,16 +313,18 @@ def hash_tables(points: DataFrame, by: str, tables: int, leaf: int, seed: int |
     All points of a group start in one bucket.  Every level splits the buckets of more than
     ``leaf`` points along a random direction of its own, at the mean of their projections,
     an aggregate that is combined before it is shuffled.  Buckets go on splitting until they
-    are small or nothing splits them (equal vectors).
+    are small or nothing splits them (equal vectors).  Points of small buckets are done: only
+    the others are written again, with the projections of the levels to come.
     """
-    spark = points.sparkSession
-    first = points.select(by, "id", "vec").where("vec is not null")
-    kind = points.schema[by].dataType.simpleString()
-    narrow = stage(first.select(by, "id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"), F.lit(0).cast("bigint").alias("bucket"),
-                                F.lit(True).alias("open")), "hash-codes")
-    start, before = 0, None
+    first = points.select(by, "id", "vec").where(F.col("vec").isNotNull() & F.col("id").isNotNull() & F.col(by).isNotNull())
+    kind, keys = points.schema[by].dataType.simpleString(), [by, "id", "table"]
+    start = {"bucket": F.lit(0).cast("bigint"), "open": F.lit(True)}
+    # Points that share an id stand for each other, as often as they do; others need no join for that.
+    alone = first.groupBy(by, "id").count().where(F.col("count") > 1).isEmpty()
+    left = None if alone else first.select(by, "id", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table")).withColumns(start)
+    level, before, done = 0, None, []
     while True:
-        steps = range(start, start + levels)
+        steps = range(level, level + levels)
 
         def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             made = {}
@@ -332,20 +336,25 @@ def hash_tables(points: DataFrame, by: str, tables: int, leaf: int, seed: int |
                     made[x.shape[1]] = [_projections(t, steps, x.shape[1], seed) for t in range(tables)]
                 for t, directions in enumerate(made[x.shape[1]]):
                     yield pdf[[by, "id"]].assign(table=t, p=list(np.round(x @ directions, 9)))
-        codes = narrow.join(first.mapInPandas(project, f"`{by}` {kind}, id bigint, table int, p array<double>"), [by, "id", "table"])
+        projected = first.mapInPandas(project, f"`{by}` {kind}, id bigint, table int, p array<double>")
+        codes = projected.withColumns(start) if left is None else left.join(projected, keys)
         for i in range(levels):
-            here = F.get("p", F.lit(i))
-            large = (codes.where("open").groupBy(by, "table", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(here).alias("at"))
+            here = F.get("p", F.lit(0))
+            large = (codes.groupBy(by, "table", "bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(here).alias("at"))
                      .where(F.col("n") > leaf).drop("n"))
-            side = F.when(F.col("at").isNotNull(), F.xxhash64("bucket", F.lit(start + i), here > F.col("at"))).otherwise(F.col("bucket"))
+            side = F.when(F.col("at").isNotNull(), F.xxhash64("bucket", F.lit(level + i), here > F.col("at"))).otherwise(F.col("bucket"))
             codes = stage(codes.join(large, [by, "table", "bucket"], "left").select(
-                by, "id", "table", side.alias("bucket"), F.col("at").isNotNull().alias("open"), "p"), "hash-codes")
-        narrow = codes.drop("p")
-        sizes = narrow.where("open").groupBy(by, "table", "bucket").count().where(F.col("count") > leaf)
-        left = sizes.agg(F.count(F.lit(1)).alias("buckets"), F.sum("count").alias("points")).first()
-        if not left["buckets"] or (left["buckets"], left["points"]) == before:
-            return narrow.select(by, "id", "table", "bucket").join(points, [by, "id"])
-        start, before = start + levels, (left["buckets"], left["points"])
+                *keys, side.alias("bucket"), F.col("at").isNotNull().alias("open"), F.slice("p", 2, levels).alias("p")), "hash-codes")
+            done.append(codes.where("not open").select(*keys, "bucket"))
+            codes = codes.where("open")
+            if codes.isEmpty():
+                break
+        left = codes.drop("p")
+        sizes = left.groupBy(by, "table", "bucket").count().where(F.col("count") > leaf)
+        found = sizes.agg(F.count(F.lit(1)).alias("buckets"), F.sum("count").alias("points")).first()
+        if not found["buckets"] or (found["buckets"], found["points"]) == before:
+            return reduce(DataFrame.union, done, left.select(*keys, "bucket")).join(points, [by, "id"])
+        level, before = level + levels, (found["buckets"], found["points"])
 
 
 def hashed_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", vec: str = "embedding", by: str = "label",
@@ -373,7 +382,7 @@ def hashed_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", v
             cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist()]
             if pdf is None:
                 cuts.append(len(rows_))
-            x, ids, copies, asks = np.stack(rows_["vec"]), rows_["id"].to_numpy(), rows_["copy"].to_numpy(), rows_["nth"].to_numpy() == 1
+            x, ids, copies, asks = np.stack(rows_["vec"]).astype(float), rows_["id"].to_numpy(), rows_["copy"].to_numpy(), rows_["nth"].to_numpy() == 1
             groups = rows_[by].to_numpy()
             out = [[], [], [], [], []]
             for a, b in zip(cuts, cuts[1:]):
@@ -390,9 +399,12 @@ def hashed_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id", v
                 yield (found.assign(nn_vec=list(x[spot])) if vectors else found)[cols]
             held = None if pdf is None else rows_.iloc[cuts[-1]:]
 
-    keyed = placed.select(by, "table", "bucket", "id", "vec", "copy", "nth").repartition(by, "table", "bucket")
+    # Vectors of floats go as they came.
+    single = isinstance(df.schema[vec].dataType.elementType, T.FloatType)
+    sent = F.col("vec").cast("array<float>" if single else "array<double>").alias("vec")
+    keyed = placed.select(by, "table", "bucket", "id", sent, "copy", "nth").repartition(by, "table", "bucket")
     local = keyed.sortWithinPartitions(by, "table", "bucket").mapInPandas(
-        buckets, f"`{by}` {kind}, copy string, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
+        buckets, f"`{by}` {kind}, copy binary, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
     return _for_rows(rows, local, k, key, by, vectors, rows_per_salt)
 
 

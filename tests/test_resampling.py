@@ -143,3 +143,21 @@ def test_one_minority_row_is_refused(spark):
     df = spark.createDataFrame([(1, [0.0])], "app_id bigint, x array<double>")
     with pytest.raises(ValueError):
         resampling.synthetic_minority(df, 3)
+
+
+def test_points_of_small_buckets_are_written_once(spark, monkeypatch):
+    """Hash tables write a point again only while its bucket splits, and stop when none does."""
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i < 60), [float(v) for v in rng.normal(size=4)]) for i in range(360)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    _, points = resampling._points(df, 5, "vec_id", "embedding", "label")
+    written, stage = [], resampling.stage
+
+    def counted(out, name, *rest):
+        got = stage(out, name, *rest)
+        written.append(got.count())
+        return got
+    monkeypatch.setattr(resampling, "stage", counted)
+    sizes = resampling.hash_tables(points, "label", 3, 64).groupBy("label", "table", "bucket").count().collect()
+    assert written[0] == 3 * 360 and written[1] == 3 * 300 and len(written) < 8 and written == sorted(written, reverse=True)
+    assert sum(r["count"] for r in sizes) == 3 * 360 and max(r["count"] for r in sizes) <= 64
