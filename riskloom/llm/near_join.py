@@ -29,6 +29,7 @@ from __future__ import annotations
 import gc
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb, exp, sqrt
 
@@ -54,6 +55,8 @@ FINE, LARGE = 4096, 2048
 SLOTS = 1 << 21
 #: Sets in a block of the exact comparison inside a bucket.
 BLOCK = 2048
+#: Rows of blocks that get their cells in one pass, and passes at most: a row with its cells takes several times the room of one without.
+PASS_ROWS, MOST_PASSES = 1_000_000, 8
 #: Bytes of text whose sets are signed at a time, cells of the first look of that comparison, and pairs it looks at together.
 SLICE, COARSE, PAIRS = 2 << 20, 32, 1 << 15
 
@@ -392,7 +395,8 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
 
         Of buckets of more than two sets (a pair has been compared) that are still apart,
         one of those with the same sets.  Small ones are one block, larger ones go as blocks
-        of the sets outside the main component against blocks of all.
+        of the sets outside the main component against blocks of all.  Buckets are dealt to
+        passes, so that only a part of the rows is on disk with its cells at a time.
         """
         inside = inside.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
         main = (inside.groupBy("sig", "label").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("same"))
@@ -411,14 +415,19 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         outsiders = large.where("label <> main").select(
             *kept, F.lit(0).alias("side"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int").alias("i"),
             F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
-        placed = small.unionByName(against, allowMissingColumns=False).unionByName(outsiders)
-        return (placed.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-                .mapInArrow(lambda batches: blocks(batches, best), "a long, b long, sig long"))
+        placed = stage(small.unionByName(against, allowMissingColumns=False).unionByName(outsiders), "near-placed")
+        passes = min(MOST_PASSES, max(1, ceil(placed.count() / PASS_ROWS)))
+        met = []
+        for p in range(passes):
+            part = placed.where(F.pmod(F.xxhash64("sig"), F.lit(passes)) == p)
+            met.append(stage(part.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+                             .mapInArrow(lambda batches: blocks(batches, best), "a long, b long, sig long"), "near-met"))
+        return reduce(DataFrame.union, met)
 
     labels = stage(components(links, "near-labels"), "near-labels")
     inside = stage(members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct(), "near-inside")
     for best in (True, False):
-        met = stage(across(inside, labels, best), "near-met")
+        met = across(inside, labels, best)
         more = stage(verified(met.select("a", "b").distinct()), "near-links")
         links = links.union(more)
         labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-labels"), "near-labels")

@@ -66,6 +66,24 @@ def test_join_of_a_chain_of_near_copies(spark):
     assert got == components_of(rows, 3, 90, 100)
 
 
+def test_blocks_get_their_cells_in_passes(spark, monkeypatch):
+    """Rows with cells are made a part at a time, and the join is that of one pass."""
+    rows, staged = [], []
+    rng = np.random.default_rng(8)
+    for i in range(60):
+        own = [f"g{i // 20}w{j}" for j in range(120)]
+        for at in rng.choice(120, size=12, replace=False):
+            own[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    write = near_join.write_stage
+    monkeypatch.setattr(near_join, "PASS_ROWS", 20, raising=False)
+    monkeypatch.setattr(near_join, "write_stage", lambda df, name, by=(): staged.append(name) or write(df, name, by))
+    got = Counter(tuple(r)[:3] for r in near_join.join_components(docs, 2, 70, 100).collect())
+    assert got == components_of(rows, 2, 70, 100)
+    assert staged.count("near-met") > 2
+
+
 def test_join_on_odd_rows(spark, odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     got = near_join.join_components(odd, 3, 90, 100).collect()
