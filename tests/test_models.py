@@ -127,6 +127,16 @@ def test_prefix_does_not_depend_on_how_rounds_are_fitted(boosted):
     assert prefix.auc_by_round[:n] == again.auc_by_round[:n]
 
 
+def test_refits_add_little_when_all_rounds_are_needed(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(models, "fit_boosting", lambda train, label, rounds: made.append(rounds))
+    monkeypatch.setattr(models, "forest_of", lambda model: trees.Forest((None,) * made[-1]))
+    monkeypatch.setattr(models, "best_prefix", lambda forest, *rest: (list(range(forest.n_trees)), False))
+    rows = spark.range(40).selectExpr("id as app_id", "id % 2 as y")
+    assert models.fit_boosted_prefix(rows).best_round == made[-1] == models.BOOSTING_ROUNDS
+    assert sum(made) <= 1.3 * models.BOOSTING_ROUNDS
+
+
 def test_round_auc_against_the_metric(boosted):
     """Several ranges and the block of rounds give the AUC of each round's own scores."""
     from riskloom.operators.evaluation import auc_gini
