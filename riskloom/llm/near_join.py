@@ -42,8 +42,8 @@ from riskloom.llm.graph import components
 from riskloom.llm.words import Words, gram_hashes, mix, slices
 from riskloom.staging import stage as write_stage
 
-#: Signature rows that a map task sorts at a time.
-BUFFER = 1_000_000
+#: Signature rows that a map task sorts at a time, and hands on at a time.
+BUFFER, PIECE = 1_000_000, 1 << 16
 #: A band takes the fewest signatures that cover so many shingles each, among plans with at most so many signatures;
 #: bands of larger sets take one part per choice.
 LEAST_FEATURES, MOST_SIGNATURES = 6, 64
@@ -57,8 +57,8 @@ SLOTS = 1 << 21
 BLOCK = 2048
 #: Rows of blocks that get their cells in one pass, and passes at most: a row with its cells takes several times the room of one without.
 PASS_ROWS, MOST_PASSES = 1_000_000, 8
-#: Bytes of text whose sets are signed at a time, cells of the first look of that comparison, and pairs it looks at together.
-SLICE, COARSE, PAIRS = 2 << 20, 32, 1 << 15
+#: Bytes of text whose sets are signed at a time, pairs that are looked at together in a block, and pairs so few that no bits are made.
+SLICE, PAIRS, FEW = 2 << 20, 1 << 15, 1 << 11
 
 
 class Scheme:
@@ -148,6 +148,69 @@ def cell_counts(grams: np.ndarray, cells: int = CELLS) -> bytes:
     return np.minimum(count, 255).astype(np.uint8).tobytes()
 
 
+def cell_bits(held: np.ndarray, mean: float) -> np.ndarray:
+    """A bit per cell and count, of the counts around ``mean``: whether the cell has as many, in words of 64 bits.
+
+    Sets differ by at least the number of bits in which they differ.
+    """
+    first = max(1, round(mean) - 1)
+    return np.concatenate([np.packbits(held >= first + i, axis=1) for i in range(2 if mean < 2 else 4)], axis=1).view(np.uint64)
+
+
+def possible_pairs(group: dict[str, np.ndarray], asks: np.ndarray, meets: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of a block that their sizes allow, without most of those that their cells rule out.
+
+    In a large block both sides go in order of size, so that sets meet only those of sizes that
+    similar sets may have, and all of these are told apart by bits first.
+    """
+    n, held = group["n"], group["cells"]
+    if len(asks) * len(meets) <= FEW:
+        x, y = np.nonzero(np.abs(n[asks, None] - n[meets]) * (num + den) <= (n[asks, None] + n[meets]) * (den - num))
+        yield asks[x], meets[y]
+        return
+    asks, meets = asks[np.argsort(n[asks], kind="stable")], meets[np.argsort(n[meets], kind="stable")]
+    bits = cell_bits(held, float(n.mean()) / held.shape[1])
+    words, sizes = np.ascontiguousarray(bits[meets].T), n[meets]
+    step = max(1, PAIRS // len(meets))
+    for at in range(0, len(asks), step):
+        i = asks[at:at + step]
+        lo, hi = np.searchsorted(sizes, -(-n[i[0]] * num // den), "left"), np.searchsorted(sizes, n[i[-1]] * den // num, "right")
+        if lo >= hi:
+            continue
+        apart = np.zeros((len(i), hi - lo), np.uint16)
+        for w in range(len(words)):
+            apart += np.bitwise_count(bits[i, w, None] ^ words[w, lo:hi])
+        x, y = np.nonzero(apart <= ((n[i] + sizes[hi - 1]) * (den - num) // (num + den))[:, None])
+        x, y = i[x], meets[lo + y]
+        may = np.abs(n[x] - n[y]) * (num + den) <= (n[x] + n[y]) * (den - num)
+        yield x[may], y[may]
+
+
+def close_in_block(group: dict[str, np.ndarray], best: bool, num: int, den: int) -> tuple[np.ndarray, bool]:
+    """Close pairs across components in a block, and whether some were left out; side 0 meets side 1, side 2 meets all."""
+    node, label, n, held = (group[c] for c in ("node", "label", "n", "cells"))
+    out, more = [], False
+    for x, y in possible_pairs(group, np.flatnonzero(group["side"] != 1), np.flatnonzero(group["side"] > 0), num, den):
+        apart, found = label[x] != label[y], []
+        x, y = x[apart], y[apart]
+        for at in range(0, len(x), PAIRS):
+            u, v = x[at:at + PAIRS], y[at:at + PAIRS]
+            least = np.abs(held[u].astype(np.int16) - held[v]).sum(axis=1, dtype=np.int64)
+            near = least * (num + den) <= (n[u] + n[v]) * (den - num)
+            found.append((u[near], v[near], least[near]))
+        if not found:
+            continue
+        x, y, least = (np.concatenate(c) for c in zip(*found))
+        if best and len(x):
+            order = np.lexsort((y, least / (n[x] + n[y]), x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]])
+            more |= not first.all()
+            x, y = x[first], y[first]
+        out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), more
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
@@ -202,6 +265,9 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         scheme, cache, seen = Scheme(*scheme_args), {}, set()
         sigs, nodes, ns, held = [], [], [], 0
 
+        def pieces(batch):
+            return (batch.slice(at, PIECE) for at in range(0, batch.num_rows, PIECE))
+
         def flush():
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             n = np.concatenate(ns)
@@ -209,11 +275,11 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
             sig, node, n = sig[order], node[order], n[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
             head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-            yield _batch(1, _signed(sig[first]), _signed(sig[first]), node[first], n[first])
+            yield from pieces(_batch(1, _signed(sig[first]), _signed(sig[first]), node[first], n[first]))
             rest = ~first
             if rest.any():
-                yield _batch(2, _signed(mix(sig[rest] + node[rest].view(np.uint64))), _signed(sig[rest]), node[rest], n[rest],
-                             node[head[rest]], n[head[rest]])
+                yield from pieces(_batch(2, _signed(mix(sig[rest] + node[rest].view(np.uint64))), _signed(sig[rest]), node[rest], n[rest],
+                                         node[head[rest]], n[head[rest]]))
 
         for batch in batches:
             for part in slices(batch, size=SLICE):
@@ -280,9 +346,9 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                      .groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "near-sketches")
 
     def sets_of(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, size=SLICE)):
             node, got, fine = [], [], []
-            for _, grams in set_rows(batch, shingle):
+            for _, grams in set_rows(part, shingle):
                 node.append(node_of(grams))
                 got.append(_signed(grams))
                 fine.append(cell_counts(grams, FINE) if len(grams) >= LARGE else None)
@@ -320,14 +386,14 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         return candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b")
 
     def counts(batch, column, size=CELLS):
-        return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, size).astype(np.int16)
+        return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, size)
 
     def close(batches, size=CELLS):
         """Pairs whose cell counts differ no more than similar sets of these sizes may."""
         step = (1 << 22) // size
         for batch in batches:
             for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
-                apart = np.abs(counts(part, "ca", size) - counts(part, "cb", size)).sum(axis=1, dtype=np.int64)
+                apart = np.abs(counts(part, "ca", size).astype(np.int16) - counts(part, "cb", size)).sum(axis=1, dtype=np.int64)
                 may = apart * (num + den) <= part.column("both").to_numpy() * (den - num)
                 yield part.select(["a", "b"]).filter(pa.array(may))
 
@@ -337,30 +403,6 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
              .select("a", "b", "both", "ca", "cb").mapInArrow(close, "a long, b long"))
     links = stage(verified(pairs), "near-links")
 
-    def compare(group, best):
-        """Close pairs across components in a block, and whether some were left out; side 0 meets side 1, side 2 meets all."""
-        asks, meets = np.flatnonzero(group["side"] != 1), np.flatnonzero(group["side"] > 0)
-        node, label, n, held = (group[c] for c in ("node", "label", "n", "cells"))
-        coarse, out, more = held.reshape(len(held), COARSE, -1).sum(axis=2, dtype=np.int16), [], False
-        step = max(1, PAIRS // max(1, len(meets)))
-        for at in range(0, len(asks), step):
-            i = asks[at:at + step, None]
-            x, y = np.nonzero((np.abs(n[i] - n[meets]) * (num + den) <= (n[i] + n[meets]) * (den - num)) & (label[i] != label[meets]))
-            x, y = i[x, 0], meets[y]
-            least = np.zeros(0, np.int64)
-            for counts_ in (coarse, held):
-                least = np.abs(counts_[x] - counts_[y]).sum(axis=1, dtype=np.int64)
-                near = least * (num + den) <= (n[x] + n[y]) * (den - num)
-                x, y, least = x[near], y[near], least[near]
-            if best and len(x):
-                order = np.lexsort((least / (n[x] + n[y]), x))
-                x, y = x[order], y[order]
-                first = np.concatenate([[True], x[1:] != x[:-1]])
-                more |= not first.all()
-                x, y = x[first], y[first]
-            out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), more
-
     def blocks(batches, best):
         """Rows sorted by sig, i, j: a block at a time, cut from the columns where the key changes.
 
@@ -370,7 +412,7 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
 
         def done(rows, cuts):
             for a, b in zip(cuts, cuts[1:]):
-                found, more = compare({c: rows[c][a:b] for c in names[3:]}, best)
+                found, more = close_in_block({c: rows[c][a:b] for c in names[3:]}, best, num, den)
                 if len(found):
                     first = [int(rows["sig"][a]) if more else None] + [None] * (len(found) - 1)
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(first, pa.int64())], names=["a", "b", "sig"])

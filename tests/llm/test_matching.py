@@ -264,3 +264,30 @@ def test_finer_counts_tell_large_sets_apart(spark, monkeypatch):
         monkeypatch.setattr(near_join, "LARGE", large)
         found.append(sorted(near_join.join_components(docs, 5, 80, 100).collect()))
     assert found[0] == found[1] == found[2] and [r.component_id for r in found[0]] == [0, 0, 0, 3, 4, 4, 6, 6, 8]
+
+
+def test_blocks_meet_by_size_and_bits():
+    """Blocks give the pairs that all cells of all pairs give, and bits leave few pairs of unrelated sets for that."""
+    rng = np.random.default_rng(4)
+    for m, low, high in ((700, 60, 115), (700, 400, 780), (700, 900, 1700), (30, 60, 115)):
+        n = rng.integers(low, high, m)
+        cells = np.stack([np.bincount(rng.integers(0, 256, k), minlength=256) for k in n])
+        for a, b in rng.integers(0, m, (m // 5, 2)):
+            cells[b] = cells[a]
+            np.add.at(cells[b], rng.integers(0, 256, n[a] // 12), 1)
+            n[b] = cells[b].sum()
+        side, label = rng.integers(0, 3, m), rng.integers(0, m // 2, m)
+        group = {"side": side, "node": rng.permutation(m) - m // 2, "label": label, "n": n, "cells": np.minimum(cells, 255).astype(np.uint8)}
+        apart = np.stack([np.abs(cells - c).sum(axis=1) for c in cells])
+        close = (apart * 180 <= (n[:, None] + n) * 20) & (side[:, None] != 1) & (side > 0) & (label[:, None] != label)
+        node = group["node"]
+        want = {(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(*np.nonzero(close))}
+        found, more = near_join.close_in_block(group, False, 80, 100)
+        assert len(want) > 1 and not more and {tuple(p) for p in found.tolist()} == want
+        order = [sorted((apart[x, y] / (n[x] + n[y]), y) for y in np.flatnonzero(close[x])) for x in range(m)]
+        found, more = near_join.close_in_block(group, True, 80, 100)
+        assert {tuple(p) for p in found.tolist()} == {(min(node[x], node[o[0][1]]), max(node[x], node[o[0][1]])) for x, o in enumerate(order) if o}
+        assert more == any(len(o) > 1 for o in order)
+        asks, meets = np.flatnonzero(side != 1), np.flatnonzero(side > 0)
+        looked = sum(len(x) for x, _ in near_join.possible_pairs(group, asks, meets, 80, 100))
+        assert m < 100 or looked < len(asks) * len(meets) / 10
