@@ -150,6 +150,30 @@ def test_round_auc_against_the_metric(boosted):
         trees.auc_by_round(prefix.forest, vectors.where("y = 0"), 0, 1)
 
 
+def test_later_rounds_do_not_add_up_early_trees_again(boosted):
+    """Margins of the rows go along with the rounds, in refits too, and the AUC of every round stays as it is."""
+    prefix, vectors = boosted
+    forest = trees.Forest((prefix.forest.trees * 14)[:14])
+    walk = trees.Walk(vectors, every=4)
+    known, done = models.best_prefix(forest.prefix(9), vectors, patience=99, walk=walk, block=3)
+    assert len(known) == 9 and not done and 9 - walk.at <= 4 + 3
+    known, _ = models.best_prefix(forest, vectors, patience=99, history=known, walk=walk, block=3)
+    assert 14 - walk.at <= 4 + 3 and known == trees.auc_by_round(forest, vectors, 0, 14)
+
+
+def test_rows_that_pass_the_same_tests_are_explained_once(monkeypatch):
+    made, shares = [], trees._shares
+    monkeypatch.setattr(trees, "_shares", lambda leaves, columns: made.append(columns.shape[1]) or shares(leaves, columns))
+    tree = trees.Tree(np.array([0, 1, -1, -1, -1]), np.array([0.5, 0.3, np.inf, np.inf, np.inf]), np.array([1, 2, -1, -1, -1]),
+                      np.array([4, 3, -1, -1, -1]), np.array([0, 0, 1.0, -2.0, 3.0]), np.array([10, 6, 4, 2, 4.0]))
+    x = np.random.default_rng(3).random((500, 2))
+    x[:6] = [[np.nan, 0.1], [np.inf, 0.1], [-np.inf, 0.1], [0.1, np.nan], [0.1, -np.inf], [np.nan, np.nan]]
+    forest = trees.Forest((tree,))
+    got = trees.shapley(forest, x)
+    assert made == [4]
+    assert np.allclose(got.sum(axis=1) + forest.base(), forest.margins(x))
+
+
 def test_forest_of_a_rare_class_has_probabilities(card, train):
     vectors = stage(card.vectors(train, ["app_id", "y"]), "test-vectors")
     model = models.fit_forest(vectors, numTrees=5)
