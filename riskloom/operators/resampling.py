@@ -158,26 +158,29 @@ def _nearest_pivot(pivots, by: str):
     return run
 
 
-def _reach(pivots: dict[object, np.ndarray], stats: dict[tuple, dict], k: int) -> list[tuple]:
-    """Which rows of cell j can be neighbours of a row of cell i: those at least ``lb`` from their pivot.
+def _other_cells(pivots, radii, by: str):
+    """Rows once for each other cell that may hold a neighbour; ``pivots`` is a broadcast.
 
-    theta_i bounds the k-th neighbour distance of any row of cell i, from the k+1
-    smallest pivot distances of every cell; by the triangle inequality a row s of
-    cell j is at least |p_i p_j| - radius_i - |s p_j| away from cell i.
+    ``theta`` is a distance within which a row has all the neighbours it asks for.  By the
+    triangle inequality a row of cell j is at least |r p_j| - radius_j away from row r; and as
+    no pivot is nearer to it than p_j, it lies beyond the plane between p_j and r's own pivot.
     """
-    out = []
-    for g, p in pivots.items():
-        cells = [c for (gg, c) in stats if gg == g]
-        for i in cells:
-            between = {j: float(np.sqrt(((p[i] - p[j]) ** 2).sum())) for j in cells}
-            reachable = sorted(between[j] + d for j in cells for d in stats[(g, j)]["nearest"])
-            radius = stats[(g, i)]["radius"]
-            theta = radius + reachable[k] if len(reachable) > k else math.inf
-            for j in cells:
-                lb = (between[j] - radius - theta) * (1 - 1e-9) - 1e-9
-                if lb <= stats[(g, j)]["radius"]:
-                    out.append((g, int(j), int(i), float(lb)))
-    return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for g, part in pdf.groupby(by):
+                x, p, theta, cell = np.stack(part["vec"]).astype(float), pivots.value[g], part["theta"].to_numpy(float), part["cell"].to_numpy()
+                near = ((x - p[cell]) ** 2).sum(axis=1)
+                for j in range(len(p)):
+                    if (g, j) not in radii:
+                        continue
+                    far, between = ((x - p[j]) ** 2).sum(axis=1), np.sqrt(((p[cell] - p[j]) ** 2).sum(axis=1))
+                    plane = np.divide(far - near, 2 * between, out=np.zeros(len(x)), where=between > 0)
+                    slack = 1e-9 * (far + near) / np.where(between > 0, between, 1.0)
+                    least = np.maximum(np.sqrt(far) - radii[(g, j)], plane - slack)
+                    ask = (cell != j) & ~(least * (1 - 1e-9) - 1e-8 > theta)
+                    if ask.any():
+                        yield part.loc[ask, [by, "copy", "vec"]].assign(target=np.int32(j))
+    return run
 
 
 def _closest(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,10 +253,11 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     one point per distinct vector asks, and at most k+1 per distinct vector answer,
     however often a vector occurs.
 
-    Then a partition-based kNN join: points go to the cell of their nearest pivot,
-    and a candidate is sent to another cell only if the triangle inequality cannot
-    rule it out there.  Cells are cut into chunks on both sides, so a dense cell
-    becomes many bounded tasks.  Equal distances are ordered by id.
+    Then a partition-based kNN join: points go to the cell of their nearest pivot and
+    look for neighbours there.  With the distance of the last one found, a point asks
+    only those other cells that the triangle inequality cannot rule out.  Cells are cut
+    into chunks on both sides, so a dense cell becomes many bounded tasks.  Equal
+    distances are ordered by id.
 
     With many dimensions the triangle inequality rules out little and all pairs of a group
     are looked at; ``hashed_neighbours`` is the operator for large groups.
@@ -265,37 +269,43 @@ def nearest_neighbours(df: DataFrame, k: int = NEIGHBOURS, key: str = "vec_id",
     cells = {g: max(1, math.ceil(n / rows_per_cell)) for g, n in sizes.items()}
     pivots = _pivots(points.where("nth = 1"), by, "id", "vec", cells)
     shape = f"`{by}` {kind}, id bigint, vec array<double>, copy binary, nth int, cell int, d double"
-    placed = stage(points.mapInPandas(_nearest_pivot(spark.sparkContext.broadcast(pivots), by), shape), "cells")
-
-    w = Window.partitionBy(by, "cell").orderBy("d")
-    nearest = (placed.select(by, "cell", "d").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k + 1)
-               .groupBy(by, "cell").agg(F.collect_list("d").alias("nearest")))
-    extent = placed.groupBy(by, "cell").agg(F.max("d").alias("radius"), F.count_if(F.col("nth") == 1).alias("n"))
-    stats = {(r[by], r["cell"]): r.asDict() for r in extent.join(nearest, [by, "cell"]).collect()}
-
-    pairs = _reach(pivots, stats, k)
-    reach = spark.createDataFrame(pairs, f"`{by}` {kind}, cell int, target int, lb double")
-    sent = (placed.join(sized_broadcast(reach, len(pairs)), [by, "cell"]).where(F.col("d") >= F.col("lb"))
-            .select(by, "target", "id", "vec"))
-    counts = sent.groupBy(by, "target").agg(F.count(F.lit(1)).alias("n")).collect()
-    parts = spark.createDataFrame(
-        [(r[by], r["target"], max(1, math.ceil(stats[(r[by], r["target"])]["n"] / chunk)), math.ceil(r["n"] / chunk))
-         for r in counts], f"`{by}` {kind}, target int, lparts int, rparts int")
+    shared = spark.sparkContext.broadcast(pivots)
+    placed = stage(points.mapInPandas(_nearest_pivot(shared, by), shape), "cells")
+
+    extent = placed.groupBy(by, "cell").agg(F.max("d").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+    radii = {(r[by], r["cell"]): r["radius"] for r in extent}
 
     def chunk_no(n: str):
-        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        return F.pmod(F.xxhash64("id" if n == "rparts" else "copy"), F.col(n)).cast("int")
 
     def spread(n: str):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = (placed.where("nth = 1").withColumnRenamed("cell", "target").join(sized_broadcast(parts, len(counts)), [by, "target"])
-              .select(*[F.col(c).alias(c) for c in (by, "target", "copy", "vec")],  # new attribute ids for the self cogroup
-                      chunk_no("lparts").alias("lc"), spread("rparts").alias("rc")))
-    answering = (sent.join(sized_broadcast(parts, len(counts)), [by, "target"])
-                 .select(by, "target", "id", "vec", chunk_no("rparts").alias("rc"), spread("lparts").alias("lc")))
-    groups = [by, "target", "lc", "rc"]
-    local = asking.groupBy(*groups).cogroup(answering.groupBy(*groups)).applyInPandas(
-        _local_neighbours(k + 1, by, vectors),
-        f"`{by}` {kind}, copy binary, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else ""))
+
+    def nearest_of(asking: DataFrame, name: str) -> DataFrame:
+        """The nearest rows of cell ``target`` for each row that asks it, in bounded chunks on both sides."""
+        asked = asking.groupBy(by, "target").agg(F.count(F.lit(1)).alias("n")).collect()
+        own = {(r[by], r["cell"]): r["n"] for r in extent}
+        parts = sized_broadcast(spark.createDataFrame(
+            [(r[by], r["target"], max(1, math.ceil(r["n"] / chunk)), max(1, math.ceil(own[(r[by], r["target"])] / chunk))) for r in asked],
+            f"`{by}` {kind}, target int, lparts int, rparts int"), len(asked))
+        left = asking.join(parts, [by, "target"]).select(by, "target", "copy", "vec", chunk_no("lparts").alias("lc"), spread("rparts").alias("rc"))
+        right = placed.withColumnRenamed("cell", "target").join(parts, [by, "target"]).select(
+            *[F.col(c).alias(c) for c in (by, "target", "id", "vec")],  # new attribute ids for the self cogroup
+            chunk_no("rparts").alias("rc"), spread("lparts").alias("lc"))
+        groups = [by, "target", "lc", "rc"]
+        return stage(left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(
+            _local_neighbours(k + 1, by, vectors),
+            f"`{by}` {kind}, copy binary, nn_id bigint, distance double" + (", nn_vec array<double>" if vectors else "")), name)
+
+    first = placed.where("nth = 1").select(by, F.col("cell").alias("target"), "copy", "vec")
+    local = nearest_of(first, "own-neighbours")
+    if len(extent) > len(sizes):
+        # How far a row's own cell has as many rows as it asks for; without so many it asks every cell.
+        theta = local.groupBy(by, "copy").agg(F.sort_array(F.collect_list("distance")).alias("far")).select(
+            by, "copy", F.coalesce(F.get("far", F.lit(k)), F.lit(math.inf)).alias("theta"))
+        wide = placed.where("nth = 1").select(by, "cell", "copy", "vec").join(theta, [by, "copy"])
+        more = wide.mapInPandas(_other_cells(shared, radii, by), f"`{by}` {kind}, copy binary, vec array<double>, target int")
+        local = local.unionByName(nearest_of(stage(more, "asking"), "other-neighbours"))
     return _for_rows(rows, local, k, key, by, vectors, rows_per_salt)
 
 

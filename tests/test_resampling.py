@@ -75,6 +75,23 @@ def test_neighbours_against_brute_force(spark, settings):
     assert {i: list(g["nn_id"]) for i, g in got.groupby("vec_id")} == want
 
 
+def test_rows_ask_few_other_cells():
+    """Cells with a row within the distance are asked, and most others are not, though every cell reaches far."""
+    from types import SimpleNamespace
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(4000, 5))
+    pivots = points[:40].copy()
+    far = np.sqrt(((points[:, None] - pivots) ** 2).sum(axis=2))
+    cell, theta = far.argmin(axis=1), rng.uniform(0, 0.5, len(points))
+    radii = {(0, j): far[cell == j, j].max() for j in range(40)}
+    pdf = pd.DataFrame({"g": 0, "cell": cell, "copy": np.arange(len(points)), "vec": list(points), "theta": theta})[:300]
+    asked = {(r.copy, r.target) for out in resampling._other_cells(SimpleNamespace(value={0: pivots}), radii, "g")([pdf]) for r in out.itertuples()}
+    for i in range(300):
+        within = np.sqrt(((points - points[i]) ** 2).sum(axis=1)) <= theta[i]
+        assert {(i, j) for j in np.unique(cell[within]) if j != cell[i]} <= asked
+    assert len(asked) < 300 * 39 / 4
+
+
 def clustered(spark, n, copies=0):
     rng = np.random.default_rng(7)
     points = rng.normal(size=(60, 24))[rng.integers(0, 60, n)] * 4 + rng.normal(size=(n, 24)) * 0.4
