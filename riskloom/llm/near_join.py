@@ -151,10 +151,10 @@ def cell_counts(grams: np.ndarray, cells: int = CELLS) -> bytes:
 def cell_bits(held: np.ndarray, mean: float) -> np.ndarray:
     """A bit per cell and count, of the counts around ``mean``: whether the cell has as many, in words of 64 bits.
 
-    Sets differ by at least the number of bits in which they differ.
+    Sets differ by at least the number of bits in which they differ.  Where cells hold little, one count is enough.
     """
-    first = max(1, round(mean) - 1)
-    return np.concatenate([np.packbits(held >= first + i, axis=1) for i in range(2 if mean < 2 else 4)], axis=1).view(np.uint64)
+    levels = [1 if mean < 1.1 else 2] if mean < 1.5 else range(max(1, round(mean) - 1), max(1, round(mean) - 1) + (2 if mean < 2 else 4))
+    return np.concatenate([np.packbits(held >= level, axis=1) for level in levels], axis=1).view(np.uint64)
 
 
 def possible_pairs(group: dict[str, np.ndarray], asks: np.ndarray, meets: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -265,9 +265,6 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         scheme, cache, seen = Scheme(*scheme_args), {}, set()
         sigs, nodes, ns, held = [], [], [], 0
 
-        def pieces(batch):
-            return (batch.slice(at, PIECE) for at in range(0, batch.num_rows, PIECE))
-
         def flush():
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             n = np.concatenate(ns)
@@ -275,11 +272,11 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
             sig, node, n = sig[order], node[order], n[order]
             first = np.concatenate([[True], sig[1:] != sig[:-1]])
             head = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-            yield from pieces(_batch(1, _signed(sig[first]), _signed(sig[first]), node[first], n[first]))
-            rest = ~first
-            if rest.any():
-                yield from pieces(_batch(2, _signed(mix(sig[rest] + node[rest].view(np.uint64))), _signed(sig[rest]), node[rest], n[rest],
-                                         node[head[rest]], n[head[rest]]))
+            one, rest = np.flatnonzero(first), np.flatnonzero(~first)
+            for i in (one[at:at + PIECE] for at in range(0, len(one), PIECE)):
+                yield _batch(1, _signed(sig[i]), _signed(sig[i]), node[i], n[i])
+            for i in (rest[at:at + PIECE] for at in range(0, len(rest), PIECE)):
+                yield _batch(2, _signed(mix(sig[i] + node[i].view(np.uint64))), _signed(sig[i]), node[i], n[i], node[head[i]], n[head[i]])
 
         for batch in batches:
             for part in slices(batch, size=SLICE):
