@@ -57,6 +57,8 @@ SLOTS = 1 << 21
 BLOCK = 2048
 #: Rows of blocks that get their cells in one pass, and passes at most: a row with its cells takes several times the room of one without.
 PASS_ROWS, MOST_PASSES = 1_000_000, 8
+#: Rows of a small table that are worth a task of their own.
+TASK_ROWS = 1 << 14
 #: Bytes of text whose sets are signed at a time, pairs that are looked at together in a block, and pairs so few that no bits are made.
 SLICE, PAIRS, FEW = 2 << 20, 1 << 15, 1 << 11
 
@@ -240,6 +242,11 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return out
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more tasks than about so many rows are worth, one for each core at least."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / TASK_ROWS)))
+
+
 def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``n_links``.
 
@@ -334,13 +341,14 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                   .mapInArrow(bucket, ROW).drop("key"), "near-rows", partition_by=["kind"])
     doc_nodes = table.where("kind = 0").select("doc_id", "r", "node", "n")
     members = table.where("kind = 2").select("sig", "node", "n", "pivot", "pn")
+    size = members.count()
     alike = F.least("n", "pn") * F.lit(den) >= F.greatest("n", "pn") * F.lit(num)
     pairs = members.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"), (F.col("n") + F.col("pn")).alias("both")).distinct()
 
     # One row per set that shares a bucket: a document that holds it, and its counts.
     wanted = members.select("node").union(members.select(F.col("pivot").alias("node"))).distinct()
-    sketches = stage(table.where("kind = 0 and doc_id is not null").join(wanted, "node", "left_semi")
-                     .groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "near-sketches")
+    sketches = stage(few(table.where("kind = 0 and doc_id is not null").join(wanted, "node", "left_semi")
+                         .groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), size), "near-sketches")
 
     def sets_of(batches):
         for part in (part for batch in batches for part in slices(batch, size=SLICE)):
@@ -360,27 +368,32 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         whole: ``CELLS`` cells tell large sets apart no better than chance.
         """
         candidates = stage(candidates, "near-candidates")
+        # Whole sets are larger than other rows.
+        rows_here, sets_here = 2 * (found := candidates.count()), 16 * found
+        if not found:
+            return candidates
         ends = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-        readers = stage(sketches.join(ends, "node", "left_semi").select("node", "doc_id"), "near-readers")
+        readers = stage(few(sketches.join(ends, "node", "left_semi").select("node", "doc_id"), rows_here), "near-readers")
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         bits = (readers.select(F.floor(slot / 32).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int))").alias("bit"))
                 .groupBy("word").agg(F.bit_or("bit").alias("bits")))
         texts = (rows.withColumn("word", F.floor(slot / 32)).join(F.broadcast(bits), "word")
                  .where(f"(shiftright(bits, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int)) & 1L) = 1").select("text"))
         made = texts.mapInArrow(sets_of, "node long, grams array<long>, fine binary").join(readers, "node", "left_semi").dropDuplicates(["node"])
-        made = stage(made.select("node", "grams", "fine"), "near-sets")
+        made = stage(few(made.select("node", "grams", "fine"), sets_here), "near-sets")
         large = made.where("fine is not null").select("node", F.size("grams").alias("n"), "fine")
-        large_a, large_b = (large.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}")) for x in "ab")
-        near = (candidates.join(large_b, "b").join(large_a, "a").select("a", "b", (F.col("na") + F.col("nb")).alias("both"), "ca", "cb")
-                .mapInArrow(lambda batches: close(batches, FINE), "a long, b long"))
-        nodes = large.select("node", F.lit(True).alias("large"))
-        small = (candidates.join(nodes.withColumnsRenamed({"node": "a", "large": "la"}), "a", "left").join(nodes.withColumnsRenamed({"node": "b", "large": "lb"}), "b", "left")
-                 .where("la is null or lb is null").select("a", "b"))
-        candidates = stage(small.unionByName(near), "near-candidates")
+        if not large.isEmpty():
+            large_a, large_b = (large.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"c{x}")) for x in "ab")
+            near = (candidates.join(large_b, "b").join(large_a, "a").select("a", "b", (F.col("na") + F.col("nb")).alias("both"), "ca", "cb")
+                    .mapInArrow(lambda batches: close(batches, FINE), "a long, b long"))
+            nodes = large.select("node", F.lit(True).alias("large"))
+            small = (candidates.join(nodes.withColumnsRenamed({"node": "a", "large": "la"}), "a", "left").join(nodes.withColumnsRenamed({"node": "b", "large": "lb"}), "b", "left")
+                     .where("la is null or lb is null").select("a", "b"))
+            candidates = stage(few(small.unionByName(near), sets_here), "near-candidates")
         a, b = (made.select(F.col("node").alias(x), F.col("grams").alias(f"g{x}")) for x in "ab")
         common = F.size(F.array_intersect("ga", "gb"))
         union = F.size("ga") + F.size("gb") - common
-        return candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b")
+        return few(candidates.join(b, "b").join(a, "a").where(common * F.lit(den) >= union * F.lit(num)).select("a", "b"), sets_here)
 
     def counts(batch, column, size=CELLS):
         return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(-1, size)
@@ -395,9 +408,9 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                 yield part.select(["a", "b"]).filter(pa.array(may))
 
     cells = sketches.select("node", "cells")
-    pairs = (pairs.join(cells.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")
-             .join(cells.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
-             .select("a", "b", "both", "ca", "cb").mapInArrow(close, "a long, b long"))
+    pairs = few(pairs.join(cells.withColumnsRenamed({"node": "b", "cells": "cb"}), "b")
+                .join(cells.withColumnsRenamed({"node": "a", "cells": "ca"}), "a")
+                .select("a", "b", "both", "ca", "cb"), size).mapInArrow(close, "a long, b long")
     links = stage(verified(pairs), "near-links")
 
     def blocks(batches, best):
@@ -429,8 +442,8 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         if held is not None:
             yield from done(held, [0, len(held["sig"])])
 
-    def across(inside: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-        """Candidates between components (``a``, ``b``): the closest of each set in a block, or all.
+    def across(inside: DataFrame, labels: DataFrame, best: bool) -> DataFrame | None:
+        """Candidates between components (``a``, ``b``): the closest of each set in a block, or all; None where no bucket is apart.
 
         Of buckets of more than two sets (a pair has been compared) that are still apart,
         one of those with the same sets.  Small ones are one block, larger ones go as blocks
@@ -454,24 +467,34 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         outsiders = large.where("label <> main").select(
             *kept, F.lit(0).alias("side"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("tall").cast("long")).cast("int").alias("i"),
             F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"))
-        placed = stage(small.unionByName(against, allowMissingColumns=False).unionByName(outsiders), "near-placed")
-        passes = min(MOST_PASSES, max(1, ceil(placed.count() / PASS_ROWS)))
+        placed = stage(few(small.unionByName(against, allowMissingColumns=False).unionByName(outsiders), 2 * size), "near-placed")
+        if not (count := placed.count()):
+            return None
+        passes = min(MOST_PASSES, ceil(count / PASS_ROWS))
         met = []
         for p in range(passes):
             part = placed.where(F.pmod(F.xxhash64("sig"), F.lit(passes)) == p)
-            met.append(stage(part.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-                             .mapInArrow(lambda batches: blocks(batches, best), "a long, b long, sig long"), "near-met"))
+            part = part.join(cells, "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            # A row of a block meets many others.
+            met.append(stage(few(part, 8 * count // passes).mapInArrow(lambda batches: blocks(batches, best), "a long, b long, sig long"), "near-met"))
         return reduce(DataFrame.union, met)
 
-    labels = stage(components(links, "near-labels"), "near-labels")
-    inside = stage(members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct(), "near-inside")
+    labels = stage(few(components(links, "near-labels"), size), "near-labels")
+    inside = stage(few(members.select("sig", "node", "n").union(members.select("sig", "pivot", "pn")).distinct(), 2 * size), "near-inside")
     for best in (True, False):
         met = across(inside, labels, best)
-        more = stage(verified(met.select("a", "b").distinct()), "near-links")
-        links = links.union(more)
-        labels = stage(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), "near-labels"), "near-labels")
+        if met is None:
+            break
+        more = stage(verified(few(met.select("a", "b").distinct(), 2 * size)), "near-links")
+        if not more.isEmpty():
+            links = links.union(more)
+            known = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+            labels = stage(few(components(known.union(more), "near-labels"), size), "near-labels")
         # Buckets all of whose candidates have been given are done; the others come again for all that are still apart.
-        inside = inside.join(met.where("sig is not null").select("sig").distinct(), "sig", "left_semi")
+        open_ = met.where("sig is not null").select("sig").distinct()
+        if not best or open_.isEmpty():
+            break
+        inside = inside.join(open_, "sig", "left_semi")
     links = links.distinct()
 
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
@@ -479,7 +502,7 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     first = doc_nodes.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = first.join(labels, "node", "left").join(degree, "node", "left").select(
         "node", "least", "n_links", F.coalesce("label", "node").alias("label"))
-    joined = stage(joined, "near-nodes")
+    joined = stage(few(joined, size), "near-nodes")
     root = joined.groupBy("label").agg(F.min("least").alias("root"))
     roots = joined.join(root, "label").select("node", "root", "n_links")
     return doc_nodes.join(roots, "node", "left").select(

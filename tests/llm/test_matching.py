@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from riskloom.llm import graph, line_winnow, near_join, nra_topk
+from riskloom.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -125,6 +126,28 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_pieces_and_of_one_piece(spark, monkeypatch):
+    """Few edges are one piece and need no rounds; more are contracted piece by piece, with the same result."""
+    rng, names = np.random.default_rng(5), []
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(900 + i, 901 + i) for i in range(60)] + [(None, 7)], "a long, b long")
+    monkeypatch.setattr(graph, "stage", lambda df, name: names.append(name) or stage(df, name))
+    whole = sorted(map(tuple, graph.components(edges).collect()))
+    assert names == ["components"]
+    monkeypatch.setattr(graph, "PIECE", 40)
+    assert sorted(map(tuple, graph.components(edges.repartition(12)).collect())) == whole and len(names) > 2
+    assert {n for n, _ in whole if n >= 900} == set(range(900, 961)) and all(label == 900 for n, label in whole if n >= 900)
+
+
+def test_join_ends_when_no_bucket_is_apart(spark, monkeypatch):
+    """Copies leave nothing to compare in blocks, so no further pass is made over their buckets."""
+    names = []
+    monkeypatch.setattr(near_join, "write_stage", lambda df, name, by=(): names.append(name) or stage(df, name, by))
+    rows = [(i, " ".join(f"w{(i // 4) * 40 + j}" for j in range(30)) + (" one" if i % 4 else " two")) for i in range(40)]
+    got = Counter(tuple(r)[:3] for r in near_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    assert got == components_of(rows, 3, 90, 100)
+    assert names.count("near-placed") == 1 and names.count("near-candidates") == 1
+
+
 def deduped(rows, min_words=50):
     rows = sorted(rows)
     lines = {d: t.split("\n") for d, t in rows}
