@@ -17,7 +17,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -31,6 +31,8 @@ from riskloom.llm.words import Words, slices
 from riskloom.staging import stage
 
 CAPACITY, END = 4096, 1
+#: Bytes of text that are tokenised at a time.
+SLICE = 2 << 20
 #: Sequences per group, on average.
 BINS = 600
 #: A bin filled to this share is not packed again.
@@ -122,29 +124,30 @@ def token_arrays(texts: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray]
     return flat[at], ends[w.starts]
 
 
+def cut(batches: Iterator[pa.RecordBatch], ids: WordIds, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of some batches of documents, about ``SLICE`` bytes of text at a time."""
+    for batch in batches:
+        for part in slices(batch, size=SLICE):
+            flat, starts = token_arrays(part.column("text"), ids)
+            doc, piece, start, length, crc = [], [], [], [], []
+            for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                own = np.append(flat[starts[i]:starts[i + 1]], np.uint32(end)).astype("<u4")
+                for k in range(0, len(own), capacity):
+                    one = own[k:k + capacity]
+                    doc.append(doc_id)
+                    piece.append(k // capacity)
+                    start.append(k)
+                    length.append(len(one))
+                    crc.append(zlib.crc32(one.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` of every document's pieces."""
-    def cut(batches):
-        ids = WordIds(tokenizer)
-        for batch in batches:
-            for part in slices(batch):
-                flat, starts = token_arrays(part.column("text"), ids)
-                doc, piece, start, length, crc = [], [], [], [], []
-                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    own = np.append(flat[starts[i]:starts[i + 1]], np.uint32(end)).astype("<u4")
-                    for k in range(0, len(own), capacity):
-                        one = own[k:k + capacity]
-                        doc.append(doc_id)
-                        piece.append(k // capacity)
-                        start.append(k)
-                        length.append(len(one))
-                        crc.append(zlib.crc32(one.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lambda batches: cut(batches, WordIds(tokenizer), capacity, end), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -27,7 +27,7 @@ from riskloom.llm.words import Words, gram_hashes, mix, slices
 SCALE = 30.0
 MAX_TRAIN = 12_000
 SHARDS = 6
-#: Bytes of text whose features are held at a time when documents are scored.
+#: Bytes of text whose features are held at a time.
 SLICE = 2 << 20
 
 _RUNS = [(re.compile(p), s) for p, s in (
@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", bits: int =
     def learn(batches):
         learners, kept = {}, {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 idx, starts = features(part.column("text"), bits)
                 for i, (y, s) in enumerate(zip(part.column("label").to_pylist(), part.column("shard").to_pylist())):
                     at, count = np.unique(idx[starts[i]:starts[i + 1]], return_counts=True)

@@ -142,6 +142,22 @@ def test_packing_in_many_groups(spark, tiny, monkeypatch):
     assert len({r.sequence_id for r in rows}) <= ceil(total / 4096) + 2
 
 
+def test_little_text_is_tokenised_at_a_time(monkeypatch):
+    """A batch of many texts goes in slices, with the pieces that the batch has as a whole."""
+    import pyarrow as pa
+    sizes, whole, ids = [], packing.token_arrays, packing.WordIds(TOKENIZER)
+    monkeypatch.setattr(packing, "token_arrays", lambda texts, ids: sizes.append(texts.nbytes) or whole(texts, ids))
+    texts = [f"some words of text {i} " * 5_000 for i in range(60)]
+    batch = pa.record_batch({"doc_id": pa.array(range(60)), "text": pa.array(texts)})
+    got = [r for part in packing.cut([batch], ids, 4096, 1) for r in part.to_pylist()]
+    assert max(sizes) < (2 << 20) + 200_000 and len(sizes) > 1
+    flat, starts = whole(batch.column("text"), ids)
+    for r in got:
+        own = np.append(flat[starts[r["doc_id"]]:starts[r["doc_id"] + 1]], np.uint32(1)).astype("<u4")
+        assert zlib.crc32(own[r["start"]:r["start"] + 4096].tobytes()) == r["ids_crc32"]
+    assert sum(r["length"] for r in got) == len(flat) + 60
+
+
 def test_packing_on_odd_rows(odd, none):
     check_packing(odd)
     assert packing.pack(none, TOKENIZER).count() == 0
