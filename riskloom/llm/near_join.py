@@ -9,6 +9,12 @@ partitions more than that are made, so that a set can leave out signatures of pa
 which it has nothing: while its partitions with an empty choice are fewer than the
 partitions sure to agree, one that agrees has none.
 
+Where parts would hold few shingles (below a similarity of about 0.85) a band takes
+prefixes instead: all sets put their shingles in one order, and of two similar sets the
+first shingle in common is among the first n - ceil(t n) + 1 of both.  Each of these is a
+signature.  The order puts shingles that many sets hold last; which these are is counted
+on a share of the texts, which moves work, never a result.
+
 From the signatures to components:
 
 1. Tasks sort what they have of each signature and send on one row of it (its first
@@ -47,6 +53,8 @@ BUFFER, PIECE = 1_000_000, 1 << 16
 #: A band takes the fewest signatures that cover so many shingles each, among plans with at most so many signatures;
 #: bands of larger sets take one part per choice.
 LEAST_FEATURES, MOST_SIGNATURES = 6, 64
+#: Orders of shingles look at one text of so many for shingles that come twice in those texts, and keep them in so many bits.
+SHARE, COMMON = 32, 1 << 23
 #: Cells of the count sketch that comparisons look at first.
 CELLS = 256
 #: Cells of the sketch that is compared before two whole sets meet, for sets of so many shingles.
@@ -82,8 +90,8 @@ class Scheme:
             t += 1
         return out
 
-    def parts(self, band: int) -> tuple[int, int, int, int]:
-        """n1, n2, k2 and the number of partitions sure to agree, for a band."""
+    def plan(self, band: int) -> tuple[int, float, int, int, int]:
+        """Signatures of a set of a band, shingles that each covers, partitions needed, n2 and k2."""
         while len(self.lows) < band + 2:
             self.lows.append(max(self.lows[-1] + 1, ceil(self.lows[-1] * Fraction(self.den, self.num) ** 3)))
         low, high = self.lows[band], self.lows[band + 1] - 1
@@ -94,11 +102,24 @@ class Scheme:
             plans.append((need * comb(n2, k2), mid / need * (n2 - k2) / n2, need, n2, k2))
         few = [p for p in plans if p[0] <= MOST_SIGNATURES]
         sharp = [p for p in few if p[1] >= LEAST_FEATURES]
-        _, cover, need, n2, k2 = min(sharp) if sharp else max(few, key=lambda p: p[1]) if few else plans[0]
+        return min(sharp) if sharp else max(few, key=lambda p: p[1]) if few else plans[0]
+
+    def parts(self, band: int) -> tuple[int, int, int, int]:
+        """n1, n2, k2 and the number of partitions sure to agree, for a band."""
+        _, cover, need, n2, k2 = self.plan(band)
         empty = need * comb(n2, k2) * exp(-cover)
         spare = ceil(empty + 2 * sqrt(empty)) if need > 1 else 0
         return need + spare, n2, k2, spare + 1
 
+    def prefix(self, size: int) -> int:
+        """How many of the first shingles of a set hold one that is also among the first of any similar set."""
+        return size + 1 + -size * self.num // self.den
+
+    def prefixed(self, band: int) -> bool:
+        """Whether sets meet in a band by their first shingles: where parts cover little and these are fewer."""
+        made, cover, *_ = self.plan(band)
+        return cover < LEAST_FEATURES and self.prefix(self.lows[band + 1] - 1) < made
+
 
 def signatures_of(grams: np.ndarray, row: np.ndarray, rows: int, band: int, parts: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Signatures in a band of some sets (distinct shingle hashes and the number of the set each is of), and whose each is."""
@@ -120,6 +141,18 @@ def signatures(grams: np.ndarray, band: int, parts: tuple[int, int, int, int]) -
     return signatures_of(grams, np.zeros(len(grams), np.int64), 1, band, parts)[0]
 
 
+def places(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Place of each shingle in the order of all: by hash, those marked in the bitmap ``common`` after all others."""
+    slot = grams % np.uint64(8 * len(common))
+    late = (common[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+    return mix(grams + np.uint64(0x3C6EF372)) >> np.uint64(1) | late.astype(np.uint64) << np.uint64(63)
+
+
+def first_places(at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` first of the places of a set, and any that equal the last of them."""
+    return at[at <= np.partition(at, size - 1)[size - 1]]
+
+
 def shingles(words: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
     """Distinct shingles of a document from its word hashes and the hashes of its runs of ``n``."""
     if len(words) >= n:
@@ -264,12 +297,34 @@ def join_components(docs: DataFrame, shingle: int = 3, num: int = 90, den: int =
     return _found(docs, shingle, num, den).drop("r")
 
 
+def _common(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Bitmap of the shingles that come more than once in the texts of one hash value of ``SHARE``."""
+    def counted(batches):
+        for part in (part for batch in batches for part in slices(batch, size=SLICE)):
+            sets = [grams for _, grams in set_rows(part, shingle)]
+            if sets:
+                gram, m = np.unique(np.concatenate(sets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(gram)), pa.array(m)], names=["gram", "m"])
+
+    some = rows.where(F.pmod("r", F.lit(SHARE)) == 0).select("text").mapInArrow(counted, "gram long, m long")
+    often = some.groupBy("gram").agg(F.sum("m").alias("m")).where("m > 1")
+    # The remainder by a power of two is the same for signed numbers.
+    slot = F.col("gram").bitwiseAND(F.lit(COMMON - 1))
+    words = (often.select(F.shiftright(slot, 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits"))).toArrow()
+    out = np.zeros(COMMON // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
 def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """``join_components`` with ``r``, the hash of a row's text."""
     scheme_args = (num, den)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("r", F.xxhash64("text"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, shingle) if any(map(Scheme(num, den).prefixed, range(20))) else None)
 
     def sign(batches):
-        scheme, cache, seen = Scheme(*scheme_args), {}, set()
+        scheme, cache, ways, seen, late = Scheme(*scheme_args), {}, {}, set(), common.value
         sigs, nodes, ns, held = [], [], [], 0
 
         def flush():
@@ -291,15 +346,29 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                 if not sets:
                     continue
                 node, n = np.array([node_of(x) for x in sets], np.int64), np.array([len(x) for x in sets], np.int32)
-                bands = {}
+                bands, firsts = {}, []
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     if not n[i] or doc_id is None or node[i] in seen:
                         continue
                     if len(seen) > BUFFER:
                         seen.clear()
                     seen.add(node[i])
-                    for band in scheme.bands(int(n[i])):
-                        bands.setdefault(band, []).append(i)
+                    own = scheme.bands(int(n[i]))
+                    for band in own:
+                        if band not in ways:
+                            ways[band] = late is not None and scheme.prefixed(band)
+                        if not ways[band]:
+                            bands.setdefault(band, []).append(i)
+                    if any(ways[band] for band in own):
+                        firsts.append(i)
+                if firsts:
+                    at = np.split(places(np.concatenate([sets[i] for i in firsts]), late), np.cumsum(n[firsts])[:-1])
+                    s = [first_places(x, scheme.prefix(len(x))) for x in at]
+                    of = np.repeat(firsts, [len(x) for x in s])
+                    sigs.append(mix(np.concatenate(s)))
+                    nodes.append(node[of])
+                    ns.append(n[of])
+                    held += len(of)
                 for band, own in bands.items():
                     if band not in cache:
                         cache[band] = scheme.parts(band)
@@ -308,9 +377,9 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
                     nodes.append(node[own][of])
                     ns.append(n[own][of])
                     held += len(s)
-                    if held >= BUFFER:
-                        yield from flush()
-                        sigs, nodes, ns, held = [], [], [], 0
+                if held >= BUFFER:
+                    yield from flush()
+                    sigs, nodes, ns, held = [], [], [], 0
                 key = _signed(mix(node.view(np.uint64) + np.arange(len(node), dtype=np.uint64)))
                 yield _batch(0, key, None, node, n, doc_id=part.column("doc_id"), r=part.column("r"), cells=[cell_counts(x) for x in sets])
         if held:
@@ -336,8 +405,7 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
             if rest.any():
                 yield _batch(2, _signed(sig[rest]), sig[rest], node[rest], n[rest], old[rest], oldn[rest])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stage(rows.withColumn("r", F.xxhash64("text")).mapInArrow(sign, ROW).repartition("key").sortWithinPartitions("kind", "sig", "node")
+    table = stage(rows.mapInArrow(sign, ROW).repartition("key").sortWithinPartitions("kind", "sig", "node")
                   .mapInArrow(bucket, ROW).drop("key"), "near-rows", partition_by=["kind"])
     doc_nodes = table.where("kind = 0").select("doc_id", "r", "node", "n")
     members = table.where("kind = 2").select("sig", "node", "n", "pivot", "pn")
@@ -377,7 +445,7 @@ def _found(docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
         bits = (readers.select(F.floor(slot / 32).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int))").alias("bit"))
                 .groupBy("word").agg(F.bit_or("bit").alias("bits")))
-        texts = (rows.withColumn("word", F.floor(slot / 32)).join(F.broadcast(bits), "word")
+        texts = (rows.drop("r").withColumn("word", F.floor(slot / 32)).join(F.broadcast(bits), "word")
                  .where(f"(shiftright(bits, cast(pmod(xxhash64(doc_id), {SLOTS}) % 32 as int)) & 1L) = 1").select("text"))
         made = texts.mapInArrow(sets_of, "node long, grams array<long>, fine binary").join(readers, "node", "left_semi").dropDuplicates(["node"])
         made = stage(few(made.select("node", "grams", "fine"), sets_here), "near-sets")

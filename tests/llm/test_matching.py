@@ -119,6 +119,40 @@ def test_similar_sets_share_a_signature(size, num):
             assert made[0] & made[1]
 
 
+@pytest.mark.parametrize("size", [1, 6, 60, 700])
+@pytest.mark.parametrize("num", [60, 80])
+def test_similar_sets_share_a_first_shingle(size, num):
+    """Whatever is marked as common: two similar sets meet by their first shingles, of which there are fewer than parts."""
+    rng, scheme = np.random.default_rng(size), near_join.Scheme(num, 100)
+    for _ in range(25):
+        a = np.unique(rng.integers(0, 1 << 62, size).astype(np.uint64))
+        out, new = rng.integers(0, size // 2 + 1, 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[:size - out], rng.integers(0, 1 << 62, new).astype(np.uint64)]))
+        common = len(np.intersect1d(a, b))
+        marked = rng.integers(0, 256, 1 << 10).astype(np.uint8)
+        if len(b) and 100 * common >= num * (len(a) + len(b) - common):
+            made = [set(near_join.first_places(near_join.places(x, marked), scheme.prefix(len(x))).tolist()) for x in (a, b)]
+            assert made[0] & made[1]
+    own = scheme.bands(size)[0]
+    if scheme.prefixed(own):
+        assert scheme.prefix(size) < len(near_join.signatures(a, own, scheme.parts(own)))
+    assert scheme.prefixed(own) or size < 6
+
+
+def test_first_shingles_are_seldom_those_that_many_sets_hold(spark, monkeypatch):
+    """Texts that share a passage and little else do not meet, so they are not compared."""
+    rng, staged = np.random.default_rng(2), {}
+    passage = " ".join(f"p{j}" for j in range(40))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(80))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + f" more{rng.integers(1 << 40)}") for i in range(0, 300, 50)]
+    monkeypatch.setattr(near_join, "write_stage", lambda df, name, by=(): staged.update({name: (out := stage(df, name, by))}) or out)
+    monkeypatch.setattr(near_join, "SHARE", 2, raising=False)
+    got = Counter(tuple(r)[:3] for r in near_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect())
+    assert got == components_of(rows, 5, 80, 100)
+    members = staged["near-rows"].where("kind = 2").select("node", "pivot")
+    assert {x for r in members.collect() for x in r} == {r.node for r in staged["near-rows"].where("kind = 0 and (doc_id >= 1000 or doc_id % 50 = 0)").collect()}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
